@@ -51,3 +51,18 @@ edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach(s, t) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.s, edge.b FROM reach JOIN edge ON reach.t = edge.a),
 low AS (SELECT s AS doc_id, min(t) AS component_id FROM reach GROUP BY s)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN low USING (doc_id)"""
+
+
+def line_dedup(width: int) -> str:
+    key = " || chr(10) || ".join(f"lead(t, {j}) OVER w" if j else "t" for j in range(width))
+    return f"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+line AS (SELECT doc_id, unnest(lines) AS x, unnest(range(0, len(lines))) AS i FROM d),
+solid AS (SELECT doc_id, i, trim(x, ' ') AS t FROM line WHERE trim(x, ' ') <> ''),
+win AS (SELECT doc_id, i AS start, lead(i, {width - 1}) OVER w + 1 AS stop, {key} AS g FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, start) AS n FROM win WHERE stop IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start, stop)) AS i FROM ranked WHERE n > 1),
+kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS t, count(*) AS n FROM line ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines), 0) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       CASE WHEN text IS NULL THEN NULL ELSE coalesce(t, '') END AS text
+FROM d LEFT JOIN kept USING (doc_id)"""

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, oracles, substring_dedup
+from . import decontaminate, line_dedup, mixing, near_dedup, oracles, substring_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, folder, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     kept = substring_dedup.remove_spans(docs, substring_dedup.repeated_spans(docs, window=50))
@@ -24,16 +28,23 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), k=5, percent=80)
 
 
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_table(spark, folder, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, folder, "documents"), k=3, percent=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op8_mixing": op8_mixing,
     "op9_near_dedup": op9_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": oracles.line_dedup(3),
     "op3_substring_dedup": oracles.substring_dedup(50),
     "op4_decontaminate": oracles.leaks(5, 80),
     "op9_near_dedup": oracles.near_duplicates(3, 85),
