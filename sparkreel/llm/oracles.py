@@ -66,3 +66,22 @@ kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS t, count(*) AS n FR
 SELECT d.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines), 0) - coalesce(n, 0) AS BIGINT) AS n_removed,
        CASE WHEN text IS NULL THEN NULL ELSE coalesce(t, '') END AS text
 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+def backoff_scores(alpha: float, min_count: int) -> str:
+    """Order three."""
+    return f"""
+WITH d AS (SELECT doc_id, {words("coalesce(text, '')")} AS w FROM documents),
+word AS (SELECT doc_id, unnest(w) AS c, unnest(range(1, len(w) + 1)) AS i FROM d),
+gram AS (SELECT doc_id, i, lag(c, 2) OVER s AS a, lag(c) OVER s AS b, c FROM word WINDOW s AS (PARTITION BY doc_id ORDER BY i)),
+one AS (SELECT c, count(*) AS n FROM gram GROUP BY c),
+two AS (SELECT b, c, count(*) AS n FROM gram WHERE b IS NOT NULL GROUP BY b, c),
+three AS (SELECT a, b, c, count(*) AS n FROM gram WHERE a IS NOT NULL GROUP BY a, b, c),
+scored AS (SELECT gram.doc_id, coalesce(three.n, 0) >= {min_count} AS is_full,
+  CASE WHEN three.n >= {min_count} THEN ln(CAST(three.n AS DOUBLE) / history.n)
+       WHEN two.n >= {min_count} THEN ln(CAST(two.n AS DOUBLE) / last.n) + CASE WHEN gram.a IS NULL THEN 0 ELSE ln({alpha}) END
+       ELSE ln(CAST(one.n AS DOUBLE) / (SELECT count(*) FROM gram)) + CASE WHEN gram.b IS NULL THEN 0 WHEN gram.a IS NULL THEN ln({alpha}) ELSE ln({alpha}) + ln({alpha}) END END AS v
+  FROM gram JOIN one ON one.c = gram.c LEFT JOIN one AS last ON last.c = gram.b LEFT JOIN two ON two.b = gram.b AND two.c = gram.c
+  LEFT JOIN two AS history ON history.b = gram.a AND history.c = gram.b LEFT JOIN three ON three.a = gram.a AND three.b = gram.b AND three.c = gram.c)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(m, 0) AS BIGINT) AS n_full, CAST(coalesce(s, 0) AS BIGINT) AS score_micros
+FROM d LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE is_full) AS m, sum(CAST(round(v * 1e6) AS BIGINT)) AS s FROM scored GROUP BY doc_id) USING (doc_id)"""

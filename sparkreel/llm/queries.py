@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, near_dedup, oracles, substring_dedup
+from . import decontaminate, line_dedup, lm_score, mixing, near_dedup, oracles, pii, substring_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.backoff_scores(_table(spark, folder, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, folder, "documents"))
 
@@ -36,14 +40,21 @@ def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, folder, "documents"), k=3, percent=85)
 
 
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op2_line_dedup": op2_line_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op8_mixing": op8_mixing,
     "op9_near_dedup": op9_near_dedup,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_lm_score": oracles.backoff_scores(lm_score.ALPHA, lm_score.MIN_COUNT),
     "op2_line_dedup": oracles.line_dedup(3),
     "op3_substring_dedup": oracles.substring_dedup(50),
     "op4_decontaminate": oracles.leaks(5, 80),
