@@ -45,8 +45,8 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return runs.groupBy("doc_id", "print", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
 
 
-def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_lines, n_removed, text for every row of docs: text without later occurrences of windows.
+def dedup_lines(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_lines, n_removed, text and the columns in keep for every row of docs: text without later occurrences of windows.
 
     Null text stays null and has no lines; an empty text has one empty line. Rows
     without an id take no part and stay as they are. Documents with fewer than
@@ -57,8 +57,9 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(F.col("text").cast("string")).alias("print"),
         F.split(F.col("text").cast("string"), "\n", -1).alias("lines"),
+        F.struct(F.lit(0).alias("_"), *[F.col(c).alias(c) for c in keep]).alias("kept"),
     )
-    ranges = repeated_ranges(parts.where("size(lines) >= %d" % width), width)
+    ranges = repeated_ranges(parts.drop("kept").where("size(lines) >= %d" % width), width)
     cuts = ranges.groupBy("doc_id", "print").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
     joined = parts.join(cuts, ["doc_id", "print"], "left")
     n = F.coalesce(F.size("lines"), F.lit(0))
@@ -68,4 +69,4 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     kept = F.flatten(F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda r: F.slice(F.col("lines"), r["a"] + 1, r["b"] - r["a"])))
     removed = F.coalesce(F.aggregate("cuts", F.lit(0), lambda total, r: total + r["stop"] - r["start"]), F.lit(0))
     text = F.array_join(F.when(F.col("cuts").isNull(), F.col("lines")).otherwise(kept), "\n")
-    return joined.select("doc_id", n.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), text.alias("text"))
+    return joined.select("doc_id", n.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), text.alias("text"), *[F.col("kept").getField(c).alias(c) for c in keep])

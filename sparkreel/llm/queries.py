@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, lm_score, mixing, near_dedup, oracles, pii, substring_dedup
+from . import (
+    decontaminate,
+    language_id,
+    line_dedup,
+    lm_score,
+    media,
+    mixing,
+    near_dedup,
+    oracles,
+    pii,
+    substring_dedup,
+    url_filter,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +44,20 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), k=5, percent=80)
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = language_id.train(language_id.training_rows(docs))
+    return language_id.predict(docs, model).withColumn("held_out", language_id.held_out())
+
+
+def op6_media(spark: SparkSession, folder: str) -> DataFrame:
+    return media.described(media.stored(_table(spark, folder, "documents"))).drop("error")
+
+
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judged_pages(_table(spark, folder, "pages"), _table(spark, folder, "labels"))
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents"))
 
@@ -49,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op5_language_id": op5_language_id,
+    "op6_media": op6_media,
+    "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
     "op9_near_dedup": op9_near_dedup,
     "op10_pii": op10_pii,
