@@ -19,6 +19,8 @@ Histories end at the start of a document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,75 +33,95 @@ BLOCK_BYTES = 12_000_000
 ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
-_MASK = np.uint64((1 << 48) - 1)
 #: Stands for "all words" among the single words.
 _TOTAL = np.uint64(0x7F4A7C15F39CC060)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """One byte for a count below 255; the others follow as int64."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+    """A bit for each count says whether it is over 1; those have a byte each; from 255 on they follow as int64."""
+    many = counts[counts > 1]
+    return np.packbits(counts > 1).tobytes() + np.minimum(many, 255).astype(np.uint8).tobytes() + many[many >= 255].astype("<i8").tobytes()
 
 
 def unpack_counts(packed: bytes, n: int) -> np.ndarray:
-    counts = np.frombuffer(packed, np.uint8, n).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(packed, "<i8", offset=n)
+    """n counts; those that are not over 1 come back as 1."""
+    head = -(-n // 8)
+    over = np.unpackbits(np.frombuffer(packed, np.uint8, head), count=n).astype(bool)
+    many = np.frombuffer(packed, np.uint8, int(over.sum()), head).astype(np.int64)
+    many[many == 255] = np.frombuffer(packed, "<i8", offset=head + len(many))
+    counts = np.ones(n, np.int64)
+    counts[over] = many
     return counts
 
 
 def pack_keys(values: np.ndarray) -> bytes:
-    """The low 48 bits of each hash."""
-    return (values & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + ((values & _MASK) >> np.uint64(32)).astype("<u2").tobytes()
+    """Ascending 48-bit keys: the first one, then differences in as few bytes as the largest needs."""
+    steps = np.diff(values)
+    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
+    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return values[:1].astype("<u8").tobytes() + bytes([width]) + np.ascontiguousarray(planes).tobytes()
 
 
 def unpack_keys(packed: bytes) -> np.ndarray:
-    n = len(packed) // 6
-    return np.frombuffer(packed, "<u4", n).astype(np.uint64) | np.frombuffer(packed, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
+    first, width = np.frombuffer(packed, "<u8", 1), packed[8]
+    planes = np.frombuffer(packed, np.uint8, offset=9).reshape(width, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :width] = planes.T
+    return np.cumsum(np.r_[first, steps.view("<u8").ravel()])
 
 
 class _Block:
-    """A block's words, and for each order its different n-grams in the order of their requests."""
+    """A block's words; for each order, one after the other, its different n-grams in the order of their requests."""
 
-    def __init__(self, texts: pa.ChunkedArray, order: int, buckets: int):
-        parts = list(K.words(texts))
-        self.sizes = np.concatenate([np.diff(w.first) for w in parts]) if parts else np.empty(0, np.int64)
-        hashes = np.concatenate([w.hashes for w in parts]) if parts else np.empty(0, np.uint64)
+    def __init__(self, texts: pa.ChunkedArray):
+        parts = [(np.diff(w.first), w.hashes) for w in K.words(texts)]
+        self.sizes = np.concatenate([x for x, _ in parts]) if parts else np.empty(0, np.int64)
+        self.hashes = np.concatenate([x for _, x in parts]) if parts else np.empty(0, np.uint64)
         first = np.cumsum(self.sizes) - self.sizes
-        self.place = np.arange(len(hashes)) - np.repeat(first, self.sizes)
-        self.orders = []
-        grams = hashes
+        self.place = (np.arange(len(self.hashes)) - np.repeat(first, self.sizes)).astype(np.int32)
+
+    def orders(self, order: int, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(n, words at which an n-gram ends, its number, keys, counts, buckets, request order); single words end with the total."""
+        grams = self.hashes
         for n in range(1, order + 1):
             if n > 1:
                 # The n-gram that ends at word i: the shorter one that ends at i, and the word before it.
-                earlier = np.r_[np.zeros(n - 1, np.uint64), hashes][: len(hashes)]
+                earlier = np.r_[np.zeros(n - 1, np.uint64), self.hashes][: len(self.hashes)]
                 grams = K.mix(grams * np.uint64(0xFF51AFD7ED558CCD) + earlier + np.uint64(n))
-            has = np.flatnonzero(self.place >= n - 1)
-            values = grams[has]
-            unique, back, counts = np.unique(values, return_inverse=True, return_counts=True)
+            has = np.flatnonzero(self.place >= n - 1).astype(np.int32)
+            unique, back, counts = np.unique(grams[has], return_inverse=True, return_counts=True)
+            back = back.astype(np.int32)
             if n == 1:
-                unique, counts = np.r_[unique, _TOTAL], np.r_[counts, len(hashes)]
-            bucket = (K.mix(unique ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            self.orders.append((has, back, unique, counts, bucket[by], by))
+                unique, counts = np.r_[unique, _TOTAL], np.r_[counts, len(self.hashes)]
+            bucket = (K.mix(unique ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(buckets)).astype(np.int32)
+            keys = unique >> np.uint64(16)
+            # The total was appended out of order.
+            by = np.lexsort((keys, bucket)).astype(np.int32)
+            yield n, has, back, keys, counts, bucket[by], by
 
 
 def _request_task(order: int, buckets: int):
     def run(group: pa.Table) -> pa.Table:
         number = group["block"][0].as_py()
         out: dict[str, list] = {x: [] for x in ("bucket", "block", "n", "keys", "counts")}
-        for n, (_, _, unique, counts, bucket, by) in enumerate(_Block(group["text"], order, buckets).orders, 1):
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
-            for a, b in zip(starts, np.r_[starts[1:], len(bucket)] if len(bucket) else [], strict=True):
+        for n, _, _, keys, counts, bucket, by in _Block(group["text"]).orders(order, buckets):
+            for a, b in _runs(bucket):
                 out["bucket"].append(int(bucket[a]))
                 out["block"].append(number)
                 out["n"].append(n)
-                out["keys"].append(pack_keys(unique[by[a:b]]))
+                out["keys"].append(pack_keys(keys[by[a:b]]))
                 out["counts"].append(pack_counts(counts[by[a:b]]))
         return pa.table(out, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
     return run
 
 
+def _runs(bucket: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, stop) of the runs of equal values."""
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, int)
+    return zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True) if len(starts) else iter(())
+
+
 def _count_task(group: pa.Table) -> pa.Table:
     number, orders, blocks = group["bucket"][0].as_py(), group["n"].to_numpy(), group["block"].to_numpy()
     out: dict[str, list] = {x: [] for x in ("block", "n", "bucket", "counts")}
@@ -121,17 +143,14 @@ def _count_task(group: pa.Table) -> pa.Table:
 
 def _score_task(order: int, buckets: int, alpha: float, min_count: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        block = _Block(docs["text"], order, buckets)
+        block = _Block(docs["text"])
         at = {(n, b): i for i, (n, b) in enumerate(zip(answers["n"].to_pylist(), answers["bucket"].to_pylist(), strict=True))}
         words = len(block.place)
         found, total = [], 1
-        for n, (has, back, unique, _, bucket, by) in enumerate(block.orders, 1):
-            sums = np.zeros(len(unique), np.int64)
-            ends = np.searchsorted(bucket, np.unique(bucket), "right")
-            start = 0
-            for stop in ends:
-                sums[by[start:stop]] = unpack_counts(answers["counts"][at[n, int(bucket[start])]].as_py(), stop - start)
-                start = stop
+        for n, has, back, keys, _, bucket, by in block.orders(order, buckets):
+            sums = np.zeros(len(keys), np.int64)
+            for a, b in _runs(bucket):
+                sums[by[a:b]] = unpack_counts(answers["counts"][at[n, int(bucket[a])]].as_py(), b - a)
             if n == 1:
                 total = sums[-1]
             counts = np.zeros(words, np.int64)
