@@ -5,35 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Schemes and suffixes of the known containers.
-SCHEMES = {"screen:": "screenclock"}
+from . import containers
+
+READERS = {"flv": containers.flv, "mpegps": containers.mpegps, "mpa": containers.mpa, "ac3": containers.ac3, "wav": containers.wav}
+# Suffixes of the known containers.
 SUFFIXES = {".flv": "flv", ".mpg": "mpegps", ".mpeg": "mpegps", ".vob": "mpegps", ".mp1": "mpa", ".mp2": "mpa", ".ac3": "ac3", ".wav": "wav"}
+SCREEN = "screen:"
 
 
 def format_of(url: str) -> str:
-    """Name of the registered source for a URL, by scheme, else by suffix."""
-    low = url.lower()
-    for scheme, name in SCHEMES.items():
-        if low.startswith(scheme):
-            return name
+    """Name of the source for a URL, by suffix."""
     for suffix, name in SUFFIXES.items():
-        if low.endswith(suffix):
+        if url.lower().endswith(suffix):
             return name
     raise ValueError(f"no source reads {url!r}")
 
 
-def open_source(spark: SparkSession, url: str, **options: str) -> DataFrame:
-    """The samples of a file, a folder given with format=..., or a capture scheme."""
-    from . import register
-
-    register(spark)
-    name = options.pop("format", None) or format_of(url)
-    reader = spark.read.format(name).options(**options)
-    return reader.load() if url.lower().startswith(tuple(SCHEMES)) else reader.load(local_url(url))
-
-
-def local_url(url: str) -> str:
-    return url[8:].replace("%20", " ") if url.lower().startswith("file:///") else url
+def open_source(spark: SparkSession, url: str, format: str | None = None, **options) -> DataFrame:
+    """The records of a file, of a folder or pattern given with its format, or of the screen clock."""
+    if url.lower().startswith(SCREEN):
+        return containers.screen_clock(spark, **options)
+    return READERS[format or format_of(url)](spark, url, **options)
 
 
 def local_path(url: Column) -> Column:
