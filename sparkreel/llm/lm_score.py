@@ -38,13 +38,12 @@ _TOTAL = np.uint64(0x7F4A7C15F39CC060)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """A bit for each count says whether it is over 1; those have a byte each; from 255 on they follow as int64."""
-    many = counts[counts > 1]
-    return np.packbits(counts > 1).tobytes() + np.minimum(many, 255).astype(np.uint8).tobytes() + many[many >= 255].astype("<i8").tobytes()
+    """A bit for each count says whether it is not 1; those have a byte each; from 255 on they follow as int64."""
+    other = counts[counts != 1]
+    return np.packbits(counts != 1).tobytes() + np.minimum(other, 255).astype(np.uint8).tobytes() + other[other >= 255].astype("<i8").tobytes()
 
 
 def unpack_counts(packed: bytes, n: int) -> np.ndarray:
-    """n counts; those that are not over 1 come back as 1."""
     head = -(-n // 8)
     over = np.unpackbits(np.frombuffer(packed, np.uint8, head), count=n).astype(bool)
     many = np.frombuffer(packed, np.uint8, int(over.sum()), head).astype(np.int64)
