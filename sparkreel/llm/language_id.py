@@ -46,8 +46,10 @@ class Model(NamedTuple):
 
 def codewords(n: int) -> np.ndarray:
     """[n, bits] of -1 and 1: every split of up to EXHAUSTIVE languages, else seeded random bits far apart."""
+    if n < 2:
+        return np.zeros((n, 0), np.int8)
     if n <= EXHAUSTIVE:
-        splits = [[1, *(1 if s >> i & 1 else -1 for i in range(n - 1))] for s in range(2 ** max(n - 1, 0) - 1)]
+        splits = [[1, *(1 if s >> i & 1 else -1 for i in range(n - 1))] for s in range(2 ** (n - 1) - 1)]
         return np.array(splits, np.int8).reshape(-1, n).T
     bits, draw = max(15, math.ceil(10 * math.log2(n))), np.random.default_rng(0)
     tries = [draw.choice(np.array([-1, 1], np.int8), (n, bits)) for _ in range(200)]

@@ -86,8 +86,8 @@ def _edge_task(window: int):
 def repeated_spans(docs: DataFrame, window: int = 50, seed: int = SEED) -> DataFrame:
     """doc_id, start, stop, source_id: runs of words that also start in a document with a smaller id.
 
-    start counts words from 0, stop is exclusive, source_id is the smallest id
-    with those words. One row per path or single edge, so rows of a document
+    start counts words from 0, stop is exclusive, source_id is an earlier id that
+    has those words: the smallest one with the same path or edge. One row per path or single edge, so rows of a document
     overlap; merged, they cover exactly the words of repeated windows. Documents
     without an id or with fewer than `window` words have none.
     """
