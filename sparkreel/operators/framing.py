@@ -47,3 +47,17 @@ def coalesced(df: DataFrame, keys: list[str], order: str, value: str) -> DataFra
     """The buffers of a sample as one string or binary, in order."""
     parts = F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda x: x[value])
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("buffers"), F.array_join(parts, "").alias("joined"))
+
+
+def chunk_states(codes: DataFrame, keys: list[str], order: str, code: str = "code") -> DataFrame:
+    """Video start codes with their unit and whether they begin a new picture's access unit.
+
+    Units: slice (1 to 175), picture (0), sequence (179), extension (181), user (178),
+    end (183), gop (184), else other. A sequence, group or picture unit begins an
+    access unit if the one before it in its stream was a slice or there was none.
+    """
+    c = F.col(code)
+    unit = F.when(c == 0, "picture").when(c.between(1, 0xAF), "slice").when(c == 0xB3, "sequence").when(c == 0xB5, "extension").when(c == 0xB2, "user").when(c == 0xB7, "end").when(c == 0xB8, "gop").otherwise("other")
+    before = F.lag("unit").over(Window.partitionBy(*keys).orderBy(order))
+    begins = F.col("unit").isin("sequence", "gop", "picture") & (before.isNull() | (before == "slice"))
+    return codes.withColumn("unit", unit).withColumn("begins", F.coalesce(begins, F.lit(False)))

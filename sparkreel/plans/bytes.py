@@ -150,6 +150,30 @@ def pes_header(t: Tables) -> DataFrame:
     return t.blocks().select("page_id", x.alias("x")).select("page_id", *[f"x.{c}" for c in ("size", "pts", "dts", "payload_at", "payload_size", "error")])
 
 
+def _entry(i: int) -> str:
+    at = 12 + 3 * i
+    return f"{word(at, 1)} AS id{i}, {field(at + 1, 2, 3, 13)} * CASE {field(at + 1, 2, 2, 1)} WHEN 1 THEN 1024 ELSE 128 END AS bound{i}"
+
+
+@query(f"""WITH {BLOCKS} SELECT page_id, {field(6, 6, 1, 22)} AS rate_bound, {field(6, 6, 24, 6)} AS audio_bound, {field(6, 6, 30, 1)} = 1 AS fixed, {field(6, 6, 35, 5)} AS video_bound, {_entry(0)}, {_entry(1)} FROM blocks""")
+def system_header(t: Tables) -> DataFrame:
+    """Headers with two stream entries each."""
+    d = F.col("data")
+    h = headers.system_header(F.concat(F.substring(d, 1, 4), F.unhex(F.lit("000C")), F.substring(d, 7, 26)))
+    entries = [F.get("h.streams", F.lit(i)).getField(x).alias(f"{x}{i}") for i in (0, 1) for x in ("id", "bound")]
+    return t.blocks().select("page_id", h.alias("h")).select("page_id", "h.rate_bound", "h.audio_bound", "h.fixed", "h.video_bound", *entries)
+
+
+@query(f"""WITH {BLOCKS} SELECT page_id, {_clock(10)} AS pts, 15 AS payload_at, {word(4, 2)} - 9 AS payload_size FROM blocks""")
+def packet_header(t: Tables) -> DataFrame:
+    """Version 1 packets with four stuffing bytes and a time stamp."""
+    d = F.col("data")
+    mark = F.unhex(F.lpad(F.hex(B.be(d, 10, 1) % 16 + 32), 2, "0"))
+    data = F.concat(F.substring(d, 1, 6), F.unhex(F.lit("FFFFFFFF")), mark, F.substring(d, 12, 21))
+    h = headers.packet1_header(data)
+    return t.blocks().select("page_id", h.alias("h")).select("page_id", "h.pts", F.col("h.payload_at").cast("int").alias("payload_at"), "h.payload_size")
+
+
 # Code tables
 
 

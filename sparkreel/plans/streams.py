@@ -358,6 +358,36 @@ def marker_positions(t: Tables) -> DataFrame:
     return t.read("pages").select("page_id", F.explode(framing.marker_places(F.col("html").cast("binary"), b"<p>")).alias("at"))
 
 
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, [0, 1, 2, 179, 181, 184, 178, 183, 200, 3, 4, 0][1 + l_partkey % 12] AS code FROM lineitem),
+u AS (SELECT *, CASE WHEN code = 0 THEN 'picture' WHEN code BETWEEN 1 AND 175 THEN 'slice' WHEN code = 179 THEN 'sequence' WHEN code = 181 THEN 'extension' WHEN code = 178 THEN 'user' WHEN code = 183 THEN 'end' WHEN code = 184 THEN 'gop' ELSE 'other' END AS unit FROM c),
+b AS (SELECT *, lag(unit) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS before FROM u)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unit, unit IN ('sequence', 'gop', 'picture') AND (before IS NULL OR before = 'slice') AS begins FROM b""")
+def chunk_states(t: Tables) -> DataFrame:
+    codes = F.array(*[F.lit(x) for x in (0, 1, 2, 179, 181, 184, 178, 183, 200, 3, 4, 0)])
+    rows = t.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.element_at(codes, (F.col("l_partkey") % 12 + 1).cast("int")).alias("code"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("place"))
+    return framing.chunk_states(rows, ["l_orderkey"], "place").drop("code", "place")
+
+
+@query("""WITH h AS (SELECT p_partkey, p_size % 2 + 1 AS channels, CASE p_partkey % 3 WHEN 0 THEN 44100 ELSE 48000 END AS rate FROM part)
+SELECT a.p_partkey, a.channels = b.channels AND a.rate = b.rate AS same FROM h a JOIN h b ON b.p_partkey = a.p_partkey + 1""")
+def wave_compare(t: Tables) -> DataFrame:
+    """Headers of neighbouring files, written as bytes and read back."""
+    from ..sinks.wave import header
+
+    p = t.read("part").select("p_partkey", F.col("p_size") % 2 == 0, (F.col("p_partkey") % 3 == 0).alias("cd"), (F.col("p_size") % 2 + 1).alias("channels"))
+    made = [(c, r, header(F.lit(0), c, r, 16)) for c in (1, 2) for r in (44100, 48000)]
+    data = F.coalesce(*[F.when((F.col("channels") == c) & (F.col("cd") == F.lit(r == 44100)), x) for c, r, x in made])
+    h = p.select("p_partkey", headers.riff(data).alias("h"))
+    other = h.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("h").alias("g"))
+    return h.join(other, "p_partkey").select("p_partkey", headers.same_wave(F.col("h"), F.col("g")).alias("same"))
+
+
+@query("""SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS size, hex(encode(text)[5:8]) AS head, hex(encode(text)[-4:]) AS tail FROM documents""")
+def byte_ranges(t: Tables) -> DataFrame:
+    d = F.col("text").cast("binary")
+    return t.read("documents").select("doc_id", F.octet_length("text").cast("bigint").alias("size"), F.hex(F.substring(d, 5, 4)).alias("head"), F.hex(F.substring(d, -4, 4)).alias("tail"))
+
+
 @query("""SELECT conv_id, count(*) AS buffers, string_agg(text, '' ORDER BY turn) AS joined FROM conversations GROUP BY conv_id""")
 def coalesce_buffers(t: Tables) -> DataFrame:
     return framing.coalesced(t.read("conversations").select("conv_id", "turn", "text"), ["conv_id"], "turn", "text")

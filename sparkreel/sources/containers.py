@@ -25,6 +25,14 @@ _BATCH = 512
 Record = tuple[int, int | None, int | None, int | None, bytes, bytes, str | None]
 
 
+def after_sei(data: bytes) -> bytes:
+    """An AVC payload of length-prefixed units without supplemental information units at its start."""
+    at = 0
+    while at + 5 <= len(data) and data[at + 4] & 0x1F == 6:
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return data[min(at, len(data)) :]
+
+
 def flv_tags(data: bytes) -> Iterator[Record]:
     """(at, type, size, ms, head, payload, error) of each tag after the file header; a record with an error is the last."""
     if len(data) < 9 or data[:3] != b"FLV" or data[3] != 1 or int.from_bytes(data[5:9], "big") != 9:
@@ -196,6 +204,13 @@ def screen_stream(spark: SparkSession, per_second: int = 10) -> DataFrame:
     return ticks.select(F.col("value").alias("seq"), (F.col("value") * frame).alias("pts_hns"), F.lit(frame).cast("bigint").alias("dur_hns"), "timestamp")
 
 
+def ranges(spark: SparkSession, path: str, start: int, length: int) -> DataFrame:
+    """path, size and `length` bytes from `start` of each file; a negative start counts from the end."""
+    size = F.octet_length("content").cast("bigint")
+    first = F.lit(start) if start >= 0 else F.greatest(size + start, F.lit(0)).cast("int")
+    return _files(spark, path).select("path", size.alias("size"), F.substring("content", first + 1, F.lit(length)).alias("data"))
+
+
 def catalog(rows: DataFrame) -> DataFrame:
     """One row for each stream of each file of flv(): rows, bytes, first and last time, duration."""
     spans = timeline.stream_span(rows.where("stream_id is not null"), ["path", "stream_id"], "seq", "pts_hns")

@@ -138,3 +138,16 @@ def test_resolver_and_clock(spark):
     with pytest.raises(ValueError):
         resolver.format_of("a.txt")
     assert rows(resolver.open_source(spark, "screen:", rows=3), "pts_hns") == [(0,), (1_000_000,), (2_000_000,)]
+
+
+def test_after_sei():
+    unit = lambda kind, n: (n + 1).to_bytes(4, "big") + bytes([kind]) + b"p" * n
+    picture = unit(0x65, 9)
+    assert containers.after_sei(unit(6, 300) + unit(0x06, 2) + picture) == picture
+    assert containers.after_sei(picture) == picture and containers.after_sei(b"\0\0") == b"\0\0" and containers.after_sei(unit(6, 3)) == b""
+
+
+def test_byte_ranges(spark, tmp_path):
+    (tmp_path / "f").write_bytes(bytes(range(100)))
+    for start, want in ((0, b"\0\1\2"), (97, b"abc"), (99, b"c"), (-2, b"bc"), (-500, b"\0\1\2"), (500, b"")):
+        assert containers.ranges(spark, str(tmp_path), start, 3).select("size", "data").first() == (100, want)
