@@ -120,7 +120,7 @@ def train(rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, parts: in
     languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     code = codewords(len(languages))
     if code.size == 0:
-        return Model(languages, code.reshape(len(languages), -1), np.zeros((SLOTS, 0), np.float32), np.ones(0), np.ones(0))
+        return Model(languages, code, np.zeros((SLOTS, 0), np.float32), np.ones(0), np.ones(0))
     sample = _sample(rows, rows_per_language).repartition(parts)
     tables = sample.mapInArrow(_count_task(languages), "counts binary").collect()  # at most `parts` tables
     counts = np.sum([np.frombuffer(t["counts"], np.int64).reshape(len(languages), SLOTS) for t in tables], axis=0)
