@@ -19,6 +19,7 @@ Histories end at the start of a document.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import input_bytes, text_column
 
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 8_000_000
 ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
@@ -54,19 +55,43 @@ def unpack_counts(packed: bytes, n: int) -> np.ndarray:
 
 
 def pack_keys(values: np.ndarray) -> bytes:
-    """Ascending 48-bit keys: the first one, then differences in as few bytes as the largest needs."""
+    """Ascending 48-bit keys: the first one, then differences as four low bytes each and Huffman-coded high bytes."""
     steps = np.diff(values)
-    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
-    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
-    return values[:1].astype("<u8").tobytes() + bytes([width]) + np.ascontiguousarray(planes).tobytes()
+    high = (steps >> np.uint64(32)).astype("<u2")
+    coder = zlib.compressobj(1, strategy=zlib.Z_HUFFMAN_ONLY)
+    packed = coder.compress(high.view(np.uint8).reshape(-1, 2).T.tobytes()) + coder.flush()
+    return values[:1].astype("<u8").tobytes() + (steps & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + packed + len(steps).to_bytes(8, "little")
 
 
 def unpack_keys(packed: bytes) -> np.ndarray:
-    first, width = np.frombuffer(packed, "<u8", 1), packed[8]
-    planes = np.frombuffer(packed, np.uint8, offset=9).reshape(width, -1)
-    steps = np.zeros((planes.shape[1], 8), np.uint8)
-    steps[:, :width] = planes.T
-    return np.cumsum(np.r_[first, steps.view("<u8").ravel()])
+    n = int.from_bytes(packed[-8:], "little")
+    low = np.frombuffer(packed, "<u4", n, 8).astype(np.uint64)
+    high = np.frombuffer(zlib.decompress(packed[8 + 4 * n : -8]), np.uint8).reshape(2, n).astype(np.uint64)
+    steps = low | high[0] << np.uint64(32) | high[1] << np.uint64(40)
+    return np.cumsum(np.r_[np.frombuffer(packed, "<u8", 1), steps])
+
+
+_DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+
+def _pack_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one block and batch together, compressed."""
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        out: dict[str, list] = {"block": [], "docs": []}
+        for a, b in _runs(block[order]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _DOCS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(pa.Table.from_batches([batch.select(["doc_id", "text"])]).take(pa.array(order[a:b])).cast(_DOCS))
+            out["block"].append(int(block[order[a]]))
+            out["docs"].append(sink.getvalue().to_pybytes())
+        yield pa.record_batch([pa.array(out["block"], pa.int32()), pa.array(out["docs"], pa.binary())], names=["block", "docs"])
+
+
+def _docs(group: pa.Table) -> pa.Table:
+    parts = [pa.ipc.open_stream(x.as_py()).read_all() for x in group["docs"]]
+    return pa.concat_tables(parts) if parts else _DOCS.empty_table()
 
 
 class _Block:
@@ -103,7 +128,7 @@ def _request_task(order: int, buckets: int):
     def run(group: pa.Table) -> pa.Table:
         number = group["block"][0].as_py()
         out: dict[str, list] = {x: [] for x in ("bucket", "block", "n", "keys", "counts")}
-        for n, _, _, keys, counts, bucket, by in _Block(group["text"]).orders(order, buckets):
+        for n, _, _, keys, counts, bucket, by in _Block(_docs(group)["text"]).orders(order, buckets):
             for a, b in _runs(bucket):
                 out["bucket"].append(int(bucket[a]))
                 out["block"].append(number)
@@ -142,6 +167,7 @@ def _count_task(group: pa.Table) -> pa.Table:
 
 def _score_task(order: int, buckets: int, alpha: float, min_count: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = _docs(docs)
         block = _Block(docs["text"])
         at = {(n, b): i for i, (n, b) in enumerate(zip(answers["n"].to_pylist(), answers["bucket"].to_pylist(), strict=True))}
         words = len(block.place)
@@ -181,7 +207,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, mi
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
     blocks = max(1, -(-input_bytes(docs) // block_bytes))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).mapInArrow(_pack_task, "block int, docs binary")
     requests = dealt.groupBy("block").applyInArrow(_request_task(order, blocks), "bucket int, block int, n int, keys binary, counts binary")
     answers = requests.groupBy("bucket").applyInArrow(_count_task, "block int, n int, bucket int, counts binary")
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block"))
