@@ -151,3 +151,21 @@ def test_byte_ranges(spark, tmp_path):
     (tmp_path / "f").write_bytes(bytes(range(100)))
     for start, want in ((0, b"\0\1\2"), (97, b"abc"), (99, b"c"), (-2, b"bc"), (-500, b"\0\1\2"), (500, b"")):
         assert containers.ranges(spark, str(tmp_path), start, 3).select("size", "data").first() == (100, want)
+
+
+def test_release_waits_for_the_clock(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from sparkreel.streaming import release
+
+    start = datetime(2024, 1, 1)
+    batches = [[("s", 0, 5), ("s", 1, 2)], [("s", 2, 20), ("s", 3, 3)], [("s", 4, 21)], [("s", 5, 90)]]
+    for i, batch in enumerate(batches):
+        df = spark.createDataFrame([(k, n, start + timedelta(seconds=t)) for k, n, t in batch], "stream_id string, seq long, ts timestamp")
+        df.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema("stream_id string, seq long, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    query = release.released(stream).writeStream.format("memory").queryName("gone").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    got = rows(spark.table("gone"), "pts_ms", "seq", "late_ms")
+    assert got[0][1] == 1 and got == sorted(got)
+    assert {n for _, n, _ in got} >= {0, 1, 2, 3, 4} and all(late >= 0 for *_, late in got)
