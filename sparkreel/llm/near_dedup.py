@@ -39,6 +39,8 @@ LEVELS = 4000
 MISS = 1e-7
 #: A pair goes on to verification unless its likelihood falls at (threshold - SLACK).
 SLACK = 0.1
+#: Points that a step generates at most, unless it has more elements.
+STEP_POINTS = 30_000
 #: Shingles of one block of a cluster; larger clusters are compared block by block.
 BLOCK_SHINGLES = 6_000_000
 
@@ -50,17 +52,26 @@ def band_rows(threshold: float, registers: int = REGISTERS, miss: float = MISS)
 
 
 def sketch(values: np.ndarray, rows: np.ndarray, n_rows: int, registers: int = REGISTERS) -> np.ndarray:
-    """uint16 registers [n_rows, registers] of the distinct (value, row) pairs given; rows ascend."""
+    """uint16 registers [n_rows, registers] of the distinct (value, row) pairs given; rows ascend.
+
+    Point j of an element comes a random while after point j - 1 and falls on a
+    random register, both by hashes of (value, j). An element is done once its
+    points come later than all minima of its row; few elements take many points at once.
+    """
     low = np.full(n_rows * registers, np.inf)
-    now, state = np.zeros(len(values)), K.mix(values ^ np.uint64(0x1B873593CC9E2D51))
-    cell = rows.astype(np.int64) * registers
-    scale = 1.0 / registers
+    now, cell, state = np.zeros(len(values)), rows.astype(np.int64) * registers, K.mix(values ^ np.uint64(0x1B873593CC9E2D51))
+    done, step = 0, np.uint64(0x9E3779B97F4A7C15)
     while len(state):
-        state = K.mix(state + np.uint64(0x9E3779B97F4A7C15))
-        now = now - np.log(((state >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * scale
-        register = ((K.mix(state) >> np.uint64(32)) * np.uint64(registers) >> np.uint64(32)).astype(np.int64)
-        np.minimum.at(low, cell + register, now)
-        worst = low.reshape(n_rows, registers).max(axis=1)
+        many = int(np.clip(STEP_POINTS // len(state), 1, 512))
+        points = K.mix(state[:, None] + np.arange(done + 1, done + many + 1, dtype=np.uint64) * step)
+        gaps = np.log(((points >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+        times = now[:, None] - np.cumsum(gaps, axis=1) / registers
+        register = (points * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) * np.uint64(registers) >> np.uint64(32)
+        np.minimum.at(low, (cell[:, None] + register.astype(np.int64)).ravel(), times.ravel())
+        now, done = times[:, -1], done + many
+        which = np.unique(cell)
+        worst = np.zeros(n_rows)
+        worst[which // registers] = low.reshape(n_rows, registers)[which // registers].max(axis=1)
         alive = now < worst[cell // registers]
         state, now, cell = state[alive], now[alive], cell[alive]
     low = low.reshape(n_rows, registers)
