@@ -14,22 +14,24 @@ DEFAULT_FOLDER = "/tmp/checkpoints"
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = DEFAULT_FOLDER
-        spark.conf.set("spark.checkpoint.dir", folder) if _settable(spark) else None
-    return folder.rstrip("/")
-
-
-def _settable(spark: SparkSession) -> bool:
-    return bool(spark.conf.isModifiable("spark.checkpoint.dir"))
+    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_FOLDER).rstrip("/")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: its lineage ends at files every executor sees."""
+    return _stored(df, name)[0]
+
+
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def _discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def text_column(name: str = "text") -> Column:
@@ -56,8 +58,9 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     Null ends and self loops add nothing; an empty graph gives no rows.
     """
     edges = edges.select(F.col("a").alias("a"), F.col("b").alias("b")).where("a is not null and b is not null and a <> b")
-    both = cut(edges.union(edges.select("b", "a")).distinct(), "edges")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
+    spark = edges.sparkSession
+    both, kept = _stored(edges.union(edges.select("b", "a")).distinct(), "edges")
+    labels, last = _stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
     for _ in range(rounds):
         near = (
             both.join(labels.withColumnRenamed("node", "b"), "b")
@@ -70,10 +73,12 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         )
         jumps = hooks.select(F.col("node").alias("low"), F.col("low").alias("lower"))
         step = hooks.join(jumps, "low", "left").select("node", F.coalesce("lower", "low").alias("component"))
-        fresh = cut(step, "labels")
+        fresh, path = _stored(step, "labels")
         moved = fresh.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old")
         done = moved.limit(1).count() == 0
-        labels = fresh
+        _discard(spark, last)
+        labels, last = fresh, path
         if done:
+            _discard(spark, kept)
             return labels
     raise RuntimeError(f"labels still move after {rounds} rounds")
