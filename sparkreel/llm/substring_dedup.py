@@ -67,18 +67,28 @@ def _path_task(window: int, seed: int):
 
 
 def _edge_task(window: int):
+    """Single edges of the opened paths; places of one edge in a document that touch are one row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, opened = batch.column("doc_id").to_numpy(), batch.column("opened")
+            cuts, part = opened.offsets.to_numpy(), opened.values
+            seeds, at, count = (part.field(x).to_numpy() for x in ("seed", "at", "edges"))
             for w in K.words(batch.column("text")):
-                for i, row in enumerate(w.rows):
-                    part = opened[row].values
-                    seeds, at, count = (part.field(x).to_numpy() for x in ("seed", "at", "edges"))
-                    which = np.repeat(np.arange(len(at)), count)
-                    place = at[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-                    begin = w.first[i] + place
-                    values = K._ranges(w.hashes, begin, begin + window, K._WORD_BASE + 2) if len(begin) else np.empty(0, np.uint64)
-                    yield pa.record_batch([pa.array(seeds[which], pa.int64()), pa.array(K.unsigned(values)), pa.array(np.full(len(begin), ids[row]), pa.int64()), pa.array(place, pa.int32())], names=["seed", "edge", "doc_id", "at"])
+                own = np.arange(cuts[w.rows.start], cuts[w.rows.stop])
+                row = np.repeat(np.arange(len(w.rows)), np.diff(cuts[w.rows.start : w.rows.stop + 1]))
+                which = np.repeat(np.arange(len(own)), count[own])
+                place = at[own][which] + np.arange(len(which)) - np.repeat(np.cumsum(count[own]) - count[own], count[own])
+                begin = w.first[row[which]] + place
+                edge = K.unsigned(K._ranges(w.hashes, begin, begin + window, K._WORD_BASE + 2)) if len(begin) else np.empty(0, np.int64)
+                seed, row = seeds[own][which], row[which]
+                order = np.lexsort((place, edge, seed, row))
+                seed, edge, row, place = seed[order], edge[order], row[order], place[order]
+                head = np.ones(len(order), bool)
+                head[1:] = (seed[1:] != seed[:-1]) | (edge[1:] != edge[:-1]) | (row[1:] != row[:-1]) | (place[1:] - place[:-1] > window)
+                start = np.flatnonzero(head)
+                last = np.r_[start[1:], len(order)] - 1 if len(start) else start
+                yield pa.record_batch([pa.array(seed[start]), pa.array(edge[start]), pa.array(ids[w.rows.start + row[start]], pa.int64()), pa.array(place[start], pa.int32()), pa.array(place[last] + window, pa.int32())], names=["seed", "edge", "doc_id", "start", "stop"])
 
     return run
 
@@ -105,11 +115,11 @@ def repeated_spans(docs: DataFrame, window: int = 50, seed: int = SEED) -> DataF
         firsts.join(forks, "seed").select(F.col("source_id").alias("doc_id"), F.struct("seed", F.col("source_at").alias("at"), "edges").alias("path"))
         .groupBy("doc_id").agg(F.collect_list("path").alias("opened"))
     )
-    edges = cut(docs.join(opened, "doc_id").mapInArrow(_edge_task(window), "seed long, edge long, doc_id long, at int"), "edges")
+    edges = cut(docs.join(opened, "doc_id").mapInArrow(_edge_task(window), "seed long, edge long, doc_id long, start int, stop int"), "edges")
     owners = edges.groupBy("seed", "edge").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last_id")).where("source_id < last_id")
     single = (
         edges.join(owners, ["seed", "edge"]).where("doc_id > source_id")
-        .select("doc_id", F.col("at").alias("start"), (F.col("at") + window).alias("stop"), "source_id")
+        .select("doc_id", "start", "stop", "source_id")
     )
     return whole.union(single)
 
