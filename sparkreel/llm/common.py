@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_FOLDER = "/tmp/checkpoints"
+EDGES_A_TASK = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,34 +52,32 @@ def ragged(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType | None = None
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b): component is its smallest node.
 
-    Nodes take the smallest label among their neighbours, their label's node
-    takes it over too, and labels then jump to their label's label. A round is a
-    few joins and minima with map-side combining, so a node with very many edges
-    is split like any skewed join key. Every round ends in a shared table.
-    Null ends and self loops add nothing; an empty graph gives no rows.
+    In a round a node's label jumps to its label's label, then the node and its
+    label's node take the smallest label among the node and its neighbours. That
+    is two minima with map-side combining, so a node with very many edges is split
+    like any skewed join key. Every round ends in a shared table. Null ends and
+    self loops add nothing; an empty graph gives no rows.
     """
     edges = edges.select(F.col("a").alias("a"), F.col("b").alias("b")).where("a is not null and b is not null and a <> b")
     spark = edges.sparkSession
     both, kept = _stored(edges.union(edges.select("b", "a")).distinct(), "edges")
-    labels, last = _stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
+    # Small label tables as few files; a task has about EDGES_A_TASK edges at most.
+    parts = both.count() // EDGES_A_TASK + 1
+    first = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component"))
+    labels, last = _stored(first.coalesce(parts), "labels")
+    nothing = F.lit(None).cast("long")
     for _ in range(rounds):
-        near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        )
-        seen = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("low"))
-        hooks = (
-            seen.select(F.col("component").alias("node"), "low").union(seen.select("node", "low"))
-            .groupBy("node").agg(F.min("low").alias("low"))
-        )
-        jumps = hooks.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        step = hooks.join(jumps, "low", "left").select("node", F.coalesce("lower", "low").alias("component"))
-        fresh, path = _stored(step, "labels")
-        moved = fresh.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old")
-        done = moved.limit(1).count() == 0
+        above = labels.select(F.col("node").alias("component"), F.col("component").alias("low"))
+        jumped = labels.withColumn("old", F.col("component")).join(above, "component").select("node", "low", "old")
+        near = both.join(jumped.select(F.col("node").alias("b"), "low"), "b").select(F.col("a").alias("node"), "low", nothing.alias("own"), nothing.alias("old"))
+        seen = near.unionByName(jumped.withColumn("own", F.col("low"))).groupBy("node").agg(F.min("low").alias("low"), F.max("own").alias("own"), F.max("old").alias("old"))
+        hooks = seen.select(F.explode(F.array(F.struct("node", "low", "old"), F.struct(F.col("own").alias("node"), "low", nothing.alias("old")))).alias("x")).select("x.*")
+        lowest = hooks.groupBy("node").agg(F.min("low").alias("component"), F.max("old").alias("old"))
+        fresh, path = _stored(lowest.coalesce(parts), "labels")
+        moved = fresh.where("component <> old").limit(1).count()
         _discard(spark, last)
-        labels, last = fresh, path
-        if done:
+        labels, last = fresh.select("node", "component"), path
+        if not moved:
             _discard(spark, kept)
             return labels
     raise RuntimeError(f"labels still move after {rounds} rounds")

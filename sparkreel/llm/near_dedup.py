@@ -275,9 +275,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float
     keyed = reps.select("doc_id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
     pivots = keyed.join(shared.select("key", "a"), "key").where("doc_id <> a").groupBy(F.col("doc_id").alias("b")).agg(F.array_sort(F.collect_set("a")).alias("a"))
-    # A document's pivots and itself as a chain: as connected as a star to each pivot, but shared by the whole group.
-    chain = F.zip_with("a", F.concat(F.slice("a", 2, F.size("a")), F.array("b")), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
-    candidates = pivots.select(F.explode(chain).alias("e")).select("e.*").distinct()
+    # Its smallest pivot linked to the others and to the document: as connected as links to each pivot, but mostly the same ones in a group.
+    star = F.explode(F.concat(F.slice("a", 2, F.size("a")), F.array("b")))
+    candidates = pivots.select(F.get("a", F.lit(0)).alias("a"), star.alias("b")).distinct()
     clusters = components(candidates)
 
     totals = sketches.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n_shingles").alias("n"))
