@@ -42,3 +42,26 @@ def test_run_and_empty_table(spark, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{FOLDER}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    odd = [(None, None, None, None, None), (1, None, "en", "a", 3), (2, "", None, None, None), (3, "12 34", "en", "b", -1), (4, "the same words", None, "", None), (4, "the same words", None, "", None), (None, "words without an id", "de", None, 0), (5, "x" * 100_000, "fr", "a", None)]
+    full = [(100 + i, "the and of that with words " * (3 + i), "en", "a", None) for i in range(8)] + [(200 + i, "der die und nicht auf worte " * (3 + i), "de", "b", None) for i in range(8)]
+    docs = spark.createDataFrame(odd + full, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("kept", "score", "block", "print", "lines", "n_tokens", "component"):
+        docs = docs.withColumn(name, F.lit("x"))
+    for name, stage in pipeline.STAGES:
+        out = cut(stage(spark, docs, FOLDER), name)
+        ids = {r[0] for r in out.select("doc_id").collect()}
+        if name == "language":
+            assert ids >= {100, 200} and not ids & {1, 2, 3}
+        elif name == "lines":
+            assert {1, 2, 3, 4, 5, None} <= ids and out.count() == docs.count()
+        elif name == "near_duplicates":
+            assert {1, 2, 3, 4, 5, None} <= ids and out.where("doc_id = 4").count() == 2
+        elif name == "decontamination":
+            assert out.count() == docs.count()
+        else:
+            assert out.count() > 0
+        if name != "mixing":
+            assert out.columns == list(pipeline.COLUMNS)
