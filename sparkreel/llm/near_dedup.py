@@ -9,14 +9,18 @@ in a register with about their Jaccard similarity.
 
 1. Equal sets collapse to the smallest document id.
 2. Bands of registers give buckets; buckets that share documents form clusters.
-3. Inside a cluster (in blocks if it is large), pairs that share a bucket are
-   estimated by the joint likelihood of their registers and the survivors are
-   verified on full sets.
+3. Inside a cluster, pairs that share a bucket are estimated by the joint
+   likelihood of their registers and the survivors are verified on full sets.
 4. Verified links form components.
 
 Only links that join different components are searched for, so large groups
 need few comparisons: every member is compared with a pivot, and those that the
-pivot does not link are compared with everything that shares a bucket.
+pivot does not link are compared with everything that shares a bucket. A cluster
+that is too large for a task is compared inside blocks; then each component's
+first document in a bucket with the bucket's pivot; and last, in buckets that
+still hold several components, the documents outside the largest one with the
+others. Blocks of a group of near copies become one component in the second
+step, so the work follows the documents that are not linked, not the group.
 """
 
 from __future__ import annotations
@@ -190,22 +194,23 @@ class _Forest:
             self.up = above
 
 
-def links(ids: np.ndarray, block: np.ndarray, values: np.ndarray, cuts: np.ndarray, table: np.ndarray, rows_per_band: int, percent: int, slack: float) -> list[tuple[int, int]]:
+def links(ids: np.ndarray, values: np.ndarray, cuts: np.ndarray, table: np.ndarray, rows_per_band: int, percent: int, slack: float, labels: np.ndarray | None = None, few: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Verified links that span the components among the rows.
 
     After a bucket, any two of its rows are in one component or were compared,
-    so a pair that shared an earlier bucket is never looked at again. Of two
-    blocks, pairs inside one are left to that block's own task.
+    so a pair that shared an earlier bucket is never looked at again. Rows with
+    one label are in one component from the start. With few, only rows where it
+    is true are compared with rows where it is false.
     """
     n, sizes = len(ids), np.diff(cuts)
     forest, found, keys = _Forest(n), [], band_keys(table, rows_per_band)
+    if labels is not None:
+        _, first, at = np.unique(labels, return_index=True, return_inverse=True)
+        forest.up = first[at]
     codes = np.unique(values, return_inverse=True)[1]
     mark = np.zeros(len(codes) + 1, bool)
-    two = len(np.unique(block)) > 1
 
     def compare(x: int, others: np.ndarray, band: int) -> None:
-        if two:
-            others = others[block[others] != block[x]]
         others = others[~(keys[others, :band] == keys[x, :band]).any(axis=1)]
         hopeful = [likely(table[x], table[part], int(sizes[x]), sizes[part].astype(float), percent / 100 - slack) for part in np.array_split(others, len(others) // 4096 + 1)]
         others = others[np.concatenate(hopeful)]
@@ -215,7 +220,7 @@ def links(ids: np.ndarray, block: np.ndarray, values: np.ndarray, cuts: np.ndarr
         mark[own] = True
         shared = np.array([np.count_nonzero(mark[codes[cuts[y] : cuts[y + 1]]]) for y in others])
         mark[own] = False
-        for y in others[100 * shared >= percent * (sizes[x] + sizes[others] - shared)]:
+        for y in others[(shared > 0) & (100 * shared >= percent * (sizes[x] + sizes[others] - shared))]:
             if forest.join(x, int(y)):
                 found.append((int(ids[x]), int(ids[y])))
 
@@ -228,6 +233,12 @@ def links(ids: np.ndarray, block: np.ndarray, values: np.ndarray, cuts: np.ndarr
             roots = forest.roots()[members]
             if (roots == roots[0]).all():
                 continue
+            if few is not None:
+                many = members[~few[members]]
+                for x in members[few[members]]:
+                    roots = forest.roots()
+                    compare(int(x), many[roots[many] != roots[x]], band)
+                continue
             heads, at, counts = np.unique(roots, return_inverse=True, return_counts=True)
             pivot = int(members[at == counts.argmax()][0])
             compare(pivot, members[roots != heads[counts.argmax()]], band)
@@ -241,19 +252,75 @@ def links(ids: np.ndarray, block: np.ndarray, values: np.ndarray, cuts: np.ndarr
     return found
 
 
+_LINKS = "a long, b long"
+
+
 def _link_task(k: int, rows_per_band: int, percent: int, slack: float):
+    """Links inside a block; with the columns label and few, those that are still to be found."""
+
     def run(group: pa.Table) -> pa.Table:
-        ids, block = group["doc_id"].to_numpy(), group["block"].to_numpy()
         parts = list(_sets(group["text"], k))
         values = np.concatenate([v for _, v, _ in parts])
         cuts = np.r_[0, np.cumsum(np.concatenate([np.diff(c) for _, _, c in parts]))]
         table = np.concatenate([_registers(v, c) for _, v, c in parts])
-        found = links(ids, block, values, cuts, table, rows_per_band, percent, slack)
+        labels, few = (group[c].to_numpy() for c in ("label", "few")) if "few" in group.column_names else (None, None)
+        found = links(group["doc_id"].to_numpy(), values, cuts, table, rows_per_band, percent, slack, labels, few)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return run
 
 
+def _pair_task(k: int, percent: int, rows: int = 64):
+    """Those of the pairs (a, text_a, b, text_b) that are linked."""
+
+    def sets(texts: pa.Array) -> list[np.ndarray]:
+        return [x for _, values, cuts in _sets(texts, k) for x in np.split(values, cuts[1:-1])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, rows) for i in range(0, batch.num_rows, rows)):
+                pairs = list(zip(sets(part.column("text_a")), sets(part.column("text_b")), strict=True))
+                shared = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in pairs])
+                total = np.array([len(x) + len(y) for x, y in pairs])
+                yield part.select(["a", "b"]).filter(pa.array((shared > 0) & (100 * shared >= percent * (total - shared))))
+
+    return run
+
+
+def _open_buckets(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """Postings of the buckets that hold several components, with label, home and pivot.
+
+    home is the component with the most documents in the bucket, pivot its smallest one there.
+    """
+    labels = components(found).withColumnRenamed("node", "doc_id")
+    own = keyed.join(labels, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+    held = own.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("head"))
+    homes = held.groupBy("key").agg(F.max(F.struct("n", "head", "label")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return own.join(homes.select("key", F.col("most.label").alias("home"), F.col("most.head").alias("pivot")), "key")
+
+
+def _pivot_pairs(opened: DataFrame) -> DataFrame:
+    """(a, b): a bucket's pivot, and the first document there of each other component."""
+    heads = opened.where("label <> home").groupBy("key", "label").agg(F.min("doc_id").alias("b"), F.min("pivot").alias("a"))
+    return heads.select("a", "b").distinct()
+
+
+def _grid(opened: DataFrame, totals: DataFrame, block_shingles: int) -> DataFrame:
+    """doc_id, label, few, cluster, cell: blocks of documents outside a bucket's home (few) against blocks of all in open buckets."""
+    rows = opened.groupBy("doc_id", "cluster", "label").agg(F.bool_or(F.col("label") != F.col("home")).alias("strays"))
+    rows = rows.join(totals.withColumnRenamed("node", "doc_id"), "doc_id")
+    blocks = rows.groupBy("cluster").agg(F.ceil(F.sum(F.when(F.col("strays"), F.col("n"))) / block_shingles).cast("int").alias("high"), F.ceil(F.sum("n") / block_shingles).cast("int").alias("wide"))
+    rows = rows.join(blocks, "cluster")
+
+    def dealt(few: bool) -> DataFrame:
+        own, other = ("high", "wide") if few else ("wide", "high")
+        block, across = F.pmod(F.xxhash64("doc_id"), F.col(own)), F.sequence(F.lit(0), F.col(other) - 1)
+        cells = F.transform(across, lambda x: block * F.col("wide") + x if few else x * F.col("wide") + block)
+        return (rows.where("strays") if few else rows).select("doc_id", "label", F.lit(few).alias("few"), "cluster", F.explode(cells).alias("cell"))
+
+    return dealt(True).unionByName(dealt(False))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float = SLACK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text).
 
@@ -281,14 +348,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float
     clusters = components(candidates)
 
     totals = sketches.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n_shingles").alias("n"))
-    sizes = clusters.join(totals, "node").groupBy("component").agg(F.sum("n").alias("total"))
-    parts = F.ceil(F.col("total") / block_shingles).cast("int")
-    placed = clusters.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), parts.alias("parts"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.least("block", other) * F.col("parts") + F.greatest("block", other))
-    placed = placed.select("doc_id", "cluster", "block", F.explode(pairs).alias("pair"))
-    verified = docs.join(placed, "doc_id").groupBy("cluster", "pair").applyInArrow(_link_task(k, rows_per_band, percent, slack), "a long, b long")
-    joined = components(verified.union(same))
+    sizes = clusters.join(totals, "node").groupBy("component").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("parts"))
+    placed = clusters.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("block"))
+    task = _link_task(k, rows_per_band, percent, slack)
+    found = docs.join(placed.drop("parts"), "doc_id").groupBy("cluster", "block").applyInArrow(task, _LINKS).union(same)
+    if not sizes.where("parts > 1").isEmpty():
+        found = cut(found, "links")
+        wide = keyed.join(placed.where("parts > 1").select("doc_id", "cluster"), "doc_id")
+        pairs = _pivot_pairs(_open_buckets(wide, found))
+        texts = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        found = cut(found.union(texts.mapInArrow(_pair_task(k, percent), _LINKS)), "links")
+        left = _grid(cut(_open_buckets(wide, found), "open"), totals, block_shingles)
+        found = found.union(docs.join(left, "doc_id").groupBy("cluster", "cell").applyInArrow(task, _LINKS))
+    joined = components(found)
     labelled = sketches.drop("keys").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return labelled.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
