@@ -8,8 +8,9 @@ repeats of a passage in other documents give the same paths.
 1. Each document's edges compact to paths (seed, print of its words, place).
 2. A join on (seed, print) finds each path's first document: later ones are
    repeats as a whole.
-3. Seeds with several prints branch. Only there, first places of the prints are
-   opened into single edges, joined on (seed, edge).
+3. Seeds with several prints branch. Only there, one place of each print is
+   opened into single edges, joined on (seed, edge). What repeats there repeats
+   at every place of the print in that document.
 4. Per document the covered places merge into spans, with the coordinates of
    their source.
 
@@ -67,7 +68,7 @@ def _path_task(window: int, seed: int):
 
 
 def _edge_task(window: int):
-    """Single edges of the opened paths; places of one edge in a document that touch are one row."""
+    """Single edges of the opened paths, with the path's first word; places of one edge in a path that touch are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,14 +82,14 @@ def _edge_task(window: int):
                 place = at[own][which] + np.arange(len(which)) - np.repeat(np.cumsum(count[own]) - count[own], count[own])
                 begin = w.first[row[which]] + place
                 edge = K.unsigned(K._ranges(w.hashes, begin, begin + window, K._WORD_BASE + 2)) if len(begin) else np.empty(0, np.int64)
-                seed, row = seeds[own][which], row[which]
-                order = np.lexsort((place, edge, seed, row))
-                seed, edge, row, place = seed[order], edge[order], row[order], place[order]
+                order = np.lexsort((place, edge, which))
+                path, edge, place = which[order], edge[order], place[order]
+                seed, row, head_at = seeds[own][path], row[path], at[own][path]
                 head = np.ones(len(order), bool)
-                head[1:] = (seed[1:] != seed[:-1]) | (edge[1:] != edge[:-1]) | (row[1:] != row[:-1]) | (place[1:] - place[:-1] > window)
+                head[1:] = (path[1:] != path[:-1]) | (edge[1:] != edge[:-1]) | (place[1:] - place[:-1] > window)
                 start = np.flatnonzero(head)
                 last = np.r_[start[1:], len(order)] - 1 if len(start) else start
-                yield pa.record_batch([pa.array(seed[start]), pa.array(edge[start]), pa.array(ids[w.rows.start + row[start]], pa.int64()), pa.array(place[start], pa.int32()), pa.array(place[last] + window, pa.int32())], names=["seed", "edge", "doc_id", "start", "stop"])
+                yield pa.record_batch([pa.array(seed[start]), pa.array(edge[start]), pa.array(ids[w.rows.start + row[start]], pa.int64()), pa.array(head_at[start], pa.int32()), pa.array(place[start] - head_at[start], pa.int32()), pa.array(place[last] + window - head_at[start], pa.int32())], names=["seed", "edge", "doc_id", "source_at", "begin", "end"])
 
     return run
 
@@ -105,21 +106,23 @@ def repeated_spans(docs: DataFrame, window: int = 50, seed: int = SEED) -> DataF
     found = cut(docs.mapInArrow(_path_task(window, seed), "seed long, print long, doc_id long, at int, edges int"), "paths")
     firsts = found.groupBy("seed", "print").agg(F.min("doc_id").alias("source_id"), F.min_by("at", "doc_id").alias("source_at"), F.first("edges").alias("edges"), F.count(F.lit(1)).alias("places"))
     firsts = cut(firsts, "firsts")
-    whole = (
-        found.join(firsts.where("places > 1").select("seed", "print", "source_id"), ["seed", "print"])
-        .where("doc_id > source_id")
-        .select("doc_id", F.col("at").alias("start"), (F.col("at") + F.col("edges") + (window - 1)).alias("stop"), "source_id")
-    )
+    later = found.join(firsts.where("places > 1").select("seed", "print", "source_id", "source_at"), ["seed", "print"])
+    later = cut(later.where("doc_id > source_id or at <> source_at").select("seed", "doc_id", "at", "edges", "source_id", "source_at"), "later")
+    whole = later.where("doc_id > source_id").select("doc_id", F.col("at").alias("start"), (F.col("at") + F.col("edges") + (window - 1)).alias("stop"), "source_id")
     forks = firsts.groupBy("seed").agg(F.count(F.lit(1)).alias("prints")).where("prints > 1").select("seed")
     opened = (
         firsts.join(forks, "seed").select(F.col("source_id").alias("doc_id"), F.struct("seed", F.col("source_at").alias("at"), "edges").alias("path"))
         .groupBy("doc_id").agg(F.collect_list("path").alias("opened"))
     )
-    edges = cut(docs.join(opened, "doc_id").mapInArrow(_edge_task(window), "seed long, edge long, doc_id long, start int, stop int"), "edges")
+    edges = cut(docs.join(opened, "doc_id").mapInArrow(_edge_task(window), "seed long, edge long, doc_id long, source_at int, begin int, end int"), "edges")
     owners = edges.groupBy("seed", "edge").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last_id")).where("source_id < last_id")
+    # Other places of an opened path in the document that it was opened in.
+    again = later.where("doc_id = source_id").groupBy("doc_id", "seed", "source_at").agg(F.collect_list("at").alias("again"))
+    places = F.concat(F.array("source_at"), F.coalesce("again", F.array().cast("array<int>")))
     single = (
-        edges.join(owners, ["seed", "edge"]).where("doc_id > source_id")
-        .select("doc_id", "start", "stop", "source_id")
+        edges.join(owners, ["seed", "edge"]).where("doc_id > source_id").join(again, ["doc_id", "seed", "source_at"], "left")
+        .select("doc_id", "begin", "end", "source_id", F.explode(places).alias("at"))
+        .select("doc_id", (F.col("at") + F.col("begin")).alias("start"), (F.col("at") + F.col("end")).alias("stop"), "source_id")
     )
     return whole.union(single)
 

@@ -139,6 +139,16 @@ def test_span_sources(docs):
     assert spans == [(7, 0, 80, True), (9, 0, 80, True)]
 
 
+def test_passage_repeated_inside_a_document(docs):
+    draw = random.Random(11)
+    passage = prose(150, draw)
+    part = " ".join(passage.split()[20:105])
+    data = [(1, f"{prose(30, draw)} {part} {prose(30, draw)}"), (2, " ".join(f"{passage} {prose(n, draw)}" for n in (60, 3, 0, 40))), (3, f"{part} {passage} {part}")]
+    out = substring_dedup.remove_spans(docs(data), substring_dedup.repeated_spans(docs(data)))
+    got = {r[0]: r[1:] for r in rows(out)}
+    assert got == brute.spans_removed(data, 50) and got[2][1] == 4 * 85
+
+
 # 4 Decontamination
 
 
