@@ -1,9 +1,10 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Seeds are entities that fixed patterns find and checks confirm. A lexical
-pattern is what stands around an entity: the word before it, or the words before
-and after it. Candidates are other words with digits. Patterns and values form a
-graph that is scored in rounds:
+pattern is what stands around an entity in the text: the word before it, or the
+words before and after it, whatever they hold; where an entity begins or ends
+inside a word, the rest of that word. Candidates are other single words with
+digits. Patterns and values form a graph that is scored in rounds:
 
 - a pattern's score for a kind is the summed score of its values of that kind
   over the number of its different values, if enough different values support it;
@@ -25,8 +26,9 @@ ROUNDS = 3
 #: Least score of a trusted pattern or value, and least number of different values that support a pattern.
 TRUST = 0.8
 SUPPORT = 3
-#: Characters of a gap in which the neighbouring word is looked for.
+#: Neighbouring words of more characters are compared by their SHA-256.
 CONTEXT = 64
+_BLANK = r"[\x20\x09-\x0D]+"
 
 # The contract's patterns. A match can only begin where a run of its first class
 # begins or where the last match ended; saying so keeps long runs linear.
@@ -73,14 +75,19 @@ def confirmed(kind: Column, value: Column) -> Column:
     )
 
 
+def _pieces(text: Column) -> Column:
+    """The words of a text; the first or last is empty where blanks begin or end it."""
+    return F.split(text, _BLANK, -1)
+
+
 def _found(text: Column, kind: str) -> Column:
-    """array<struct> of a pattern's matches, each with the length of the gap before it and the text around it."""
+    """array<struct> of a pattern's matches, each with length, runs of blanks and last piece's length of the gap before it."""
     pattern = PATTERNS[kind]
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(gaps, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    rows = F.zip_with(pairs, F.slice(gaps, 2, F.size(gaps)), lambda x, after: F.struct(F.lit(kind).alias("kind"), F.char_length(x["g"]).cast("long").alias("gap"), x["m"].alias("value"), F.substring(x["g"], -CONTEXT, CONTEXT).alias("before"), F.substring(after, 1, CONTEXT).alias("after")))
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    pairs = F.transform(F.filter(pairs, lambda x: x["m"].isNotNull()), lambda x: F.struct(F.char_length(x["g"]).alias("gap"), _pieces(x["g"]).alias("pieces"), x["m"].alias("value")))
+    rows = F.transform(pairs, lambda x: F.struct(F.lit(kind).alias("kind"), x["gap"].cast("long").alias("gap"), (F.size(x["pieces"]) - 1).cast("long").alias("blanks"), F.char_length(F.element_at(x["pieces"], -1)).alias("tail"), x["value"].alias("value")))
     mark = {"email": text.contains("@"), "phone": text.contains("+")}.get(kind, text.rlike("[0-9]"))
-    return F.when(mark, F.filter(rows, lambda r: r["value"].isNotNull())).otherwise(F.array())
+    return F.when(mark, rows).otherwise(F.array())
 
 
 def _key(docs: DataFrame) -> list[Column]:
@@ -88,19 +95,48 @@ def _key(docs: DataFrame) -> list[Column]:
     return [F.xxhash64(F.lit(1), "doc_id", "text").alias("k1"), F.xxhash64(F.lit(2), "text", "doc_id").alias("k2")]
 
 
+def _neighbours(docs: DataFrame) -> DataFrame:
+    """k1, k2, at, word, previous, next of the words in which a match can begin or end; at counts words from 0."""
+
+    def around(words: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).rlike("[0-9@+]"))
+        return F.transform(places, lambda i: F.struct(i.cast("long").alias("at"), F.get(words, i).alias("word"), F.coalesce(F.get(words, i - 1), F.lit("")).alias("previous"), F.coalesce(F.get(words, i + 1), F.lit("")).alias("next")))
+
+    # An array of one, so that the words are split once.
+    rows = docs.where(F.col("text").rlike("[0-9@+]")).select(*_key(docs), F.transform(F.array(_pieces(F.col("text"))), around).alias("around"))
+    return rows.select("k1", "k2", F.explode(F.flatten("around")).alias("x")).select("k1", "k2", "x.*").dropDuplicates(["k1", "k2", "at"])
+
+
 def matches(docs: DataFrame) -> DataFrame:
-    """k1, k2, kind, start, stop, value, left, right of all matches, before any check. Places are code points."""
+    """k1, k2, kind, start, stop, value, left, right of all matches, before any check. Places are code points.
+
+    No match begins or ends with a blank, so runs of blanks before a match count the words before it.
+    """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(*_key(docs), F.concat(*[_found(text, kind) for kind in PATTERNS]).alias("found"))
     rows = rows.where(F.size("found") > 0).select("k1", "k2", F.posexplode("found").alias("n", "f")).select("k1", "k2", "n", "f.*")
     rows = rows.dropDuplicates(["k1", "k2", "n"])
-    so_far = Window.partitionBy("k1", "k2", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stop = F.sum(F.col("gap") + F.char_length("value")).over(so_far)
-    return rows.select(
-        "k1", "k2", "kind", (stop - F.char_length("value")).alias("start"), stop.alias("stop"), "value",
-        F.lower(F.regexp_extract("before", r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*$", 1)).alias("left"),
-        F.lower(F.regexp_extract("after", r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)).alias("right"),
-    )
+    order = Window.partitionBy("k1", "k2", "kind").orderBy("n")
+    so_far, before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inner", (F.size(_pieces(F.col("value"))) - 1).cast("long")).withColumn("end", F.char_length(F.element_at(_pieces(F.col("value")), -1)))
+    rows = rows.select("*", F.sum(F.col("gap") + F.char_length("value")).over(so_far).alias("stop"), F.sum(F.col("blanks") + F.col("inner")).over(so_far).alias("last"))
+    rows = rows.withColumn("start", F.col("stop") - F.char_length("value"))
+    # Where the words begin that hold the match's first and last character.
+    head = F.greatest(F.lit(0), F.max(F.when(F.col("blanks") > 0, F.col("start") - F.col("tail"))).over(so_far), F.max(F.when(F.col("inner") > 0, F.col("stop") - F.col("end"))).over(before))
+    rows = rows.select("k1", "k2", "kind", "start", "stop", "value", (F.col("last") - F.col("inner")).alias("first"), "last", "inner", "end", head.alias("head"))
+    into = (F.col("start") - F.col("head")).cast("int")
+    done = F.when(F.col("inner") > 0, F.col("end")).otherwise(F.col("stop") - F.col("head")).cast("int")
+    words = _neighbours(docs)
+    rows = rows.join(words.select("k1", "k2", F.col("at").alias("first"), F.col("word").alias("opening"), "previous"), ["k1", "k2", "first"], "left")
+    rows = rows.join(words.select("k1", "k2", F.col("at").alias("last"), F.col("word").alias("closing"), "next"), ["k1", "k2", "last"], "left")
+    left = F.when(into > 0, F.substring("opening", F.lit(1), into)).otherwise(F.col("previous"))
+    right = F.when(F.char_length("closing") > done, F.substring("closing", done + 1, F.char_length("closing"))).otherwise(F.col("next"))
+
+    def said(word: Column) -> Column:
+        word = F.lower(word)
+        return F.when(F.char_length(word) > CONTEXT, F.sha2(word, 256)).otherwise(word)
+
+    return rows.select("k1", "k2", "kind", "start", "stop", "value", said(left).alias("left"), said(right).alias("right"))
 
 
 def _candidates(found: DataFrame, base: DataFrame) -> DataFrame:

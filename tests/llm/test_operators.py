@@ -425,6 +425,21 @@ def test_patterns_find_unseen_identifiers(spark, docs):
     assert rows(pii.personal_data(empty(spark))) == []
 
 
+def test_contexts_are_words_of_the_text(docs):
+    texts = ["  call tel2: 0171 1.2.3.4 5.6.7.8,9.9.9.9\tx@y.zq end", "4111 1111 1111 1111 +1 (017) 555-7713) b2 \n", "id7:77", "é" * 90 + " 12 " + "é" * 91]
+    got = rows(pii.matches(docs(list(enumerate(texts)))), "kind", "value", "left", "right")
+    long = [hashlib.sha256(("é" * n).encode()).hexdigest() for n in (90, 91)]
+    want = [("word", "0171", "tel2:", "1.2.3.4"), ("ip", "1.2.3.4", "0171", "5.6.7.8,9.9.9.9"), ("ip", "9.9.9.9", "5.6.7.8,", "x@y.zq"), ("email", "x@y.zq", "5.6.7.8,9.9.9.9", "end"), ("word", "tel2:", "call", "0171"), ("phone", "+1 (017) 555-7713", "1111", ")"), ("word", "b2", "555-7713)", ""), ("word", "id7:77", "", ""), ("word", "12", *long), ("card", "4111 1111 1111 1111", "", "+1")]
+    assert set(want) <= set(got)
+
+
+def test_candidates_after_words_with_digits(docs):
+    seeds = [(i, f"call tel2: +1 (017) 555-77{10 + i} open") for i in range(20)]
+    hidden = [(100, "call tel2: 5557719 open"), (101, "call tel3: 5557719 open")]
+    out = {i: (s, n) for i, s, n in rows(pii.personal_data(docs(seeds + hidden)), "doc_id", "spans", "n_found")}
+    assert out[100] == ("phone:11:18", 1) and all(out[i][1] == 0 for i, _ in seeds)
+
+
 # All with SQL
 
 
