@@ -9,8 +9,8 @@ block's documents, and the scores of a document's words are summed.
 An n-gram crosses the network once for each block that has it, so a very
 frequent one costs a row's share for each block, not for each document, and no
 bucket grows with the frequency of its n-grams. Blocks and buckets grow in number
-with the input. An n-gram is identified by its bucket and 48 bits of its hash,
-with about a million n-grams to a bucket.
+with the input. An n-gram is identified by its number of words and its 64-bit
+hash, with about a million n-grams to a bucket.
 
 S(w | h) = count(h w) / count(h) if count(h w) >= min_count, else alpha * S(w | h
 without its first word); for a single word count(w) / count of all words.
@@ -55,19 +55,19 @@ def unpack_counts(packed: bytes, n: int) -> np.ndarray:
 
 
 def pack_keys(values: np.ndarray) -> bytes:
-    """Ascending 48-bit keys: the first one, then differences as four low bytes each and Huffman-coded high bytes."""
+    """Ascending 64-bit keys: the first one, then differences as four low bytes each and Huffman-coded high bytes."""
     steps = np.diff(values)
-    high = (steps >> np.uint64(32)).astype("<u2")
-    coder = zlib.compressobj(1, strategy=zlib.Z_HUFFMAN_ONLY)
-    packed = coder.compress(high.view(np.uint8).reshape(-1, 2).T.tobytes()) + coder.flush()
+    high = (steps >> np.uint64(32)).astype("<u4")
+    coder = zlib.compressobj(1, strategy=zlib.Z_RLE)
+    packed = coder.compress(high.view(np.uint8).reshape(-1, 4).T.tobytes()) + coder.flush()
     return values[:1].astype("<u8").tobytes() + (steps & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + packed + len(steps).to_bytes(8, "little")
 
 
 def unpack_keys(packed: bytes) -> np.ndarray:
     n = int.from_bytes(packed[-8:], "little")
     low = np.frombuffer(packed, "<u4", n, 8).astype(np.uint64)
-    high = np.frombuffer(zlib.decompress(packed[8 + 4 * n : -8]), np.uint8).reshape(2, n).astype(np.uint64)
-    steps = low | high[0] << np.uint64(32) | high[1] << np.uint64(40)
+    high = np.frombuffer(zlib.decompress(packed[8 + 4 * n : -8]), np.uint8).reshape(4, n).astype(np.uint64)
+    steps = low | high[0] << np.uint64(32) | high[1] << np.uint64(40) | high[2] << np.uint64(48) | high[3] << np.uint64(56)
     return np.cumsum(np.r_[np.frombuffer(packed, "<u8", 1), steps])
 
 
@@ -117,10 +117,10 @@ class _Block:
             back = back.astype(np.int32)
             if n == 1:
                 unique, counts = np.r_[unique, _TOTAL], np.r_[counts, len(self.hashes)]
-            bucket = (K.mix(unique ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(buckets)).astype(np.int32)
-            keys = unique >> np.uint64(16)
-            # The total was appended out of order.
-            by = np.lexsort((keys, bucket)).astype(np.int32)
+            # A bijection, so keys are whole hashes. Buckets are ranges of keys, which keeps a bucket's keys close.
+            keys = K.mix(unique ^ np.uint64(0xA0761D6478BD642F))
+            bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            by = np.argsort(keys).astype(np.int32)
             yield n, has, back, keys, counts, bucket[by], by
 
 

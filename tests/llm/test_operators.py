@@ -99,6 +99,18 @@ def test_packing_round_trips():
     assert lm_score.unpack_counts(lm_score.pack_counts(counts), len(counts)).tolist() == counts.tolist()
 
 
+def test_keys_are_whole_hashes():
+    import pyarrow as pa
+
+    keys = np.array([0, 1, 2**16, 2**40, 2**63 - 1, 2**63, 2**64 - 2, 2**64 - 1], np.uint64)
+    assert lm_score.unpack_keys(lm_score.pack_keys(keys)).tolist() == keys.tolist()
+    block = lm_score._Block(pa.chunked_array([["a b a"]]))
+    block.hashes = np.array([5 << 16 | 1, 5 << 16 | 2, 5 << 16 | 1], np.uint64)
+    _, _, back, keys, counts, _, by = next(block.orders(1, 1))
+    assert len(set(lm_score.unpack_keys(lm_score.pack_keys(keys[by])).tolist())) == 3
+    assert counts[back].tolist() == [2, 1, 2]
+
+
 # 2 Line dedup
 
 
