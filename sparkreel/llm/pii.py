@@ -10,8 +10,9 @@ digits. Patterns and values form a graph that is scored in rounds:
   over the number of its different values, if enough different values support it;
 - a value's score is that of at least one of its trusted patterns being right.
 
-Values scored high enough support patterns in the next round. At the end every
-candidate in the context of a trusted pattern is a span of the pattern's kind.
+Values scored high enough support patterns in the next round, until no pattern or
+value is new and the scores stand still. Then every candidate in the context of a
+trusted pattern is a span of the pattern's kind.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from pyspark.sql import functions as F
 from .common import cut
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
 #: Least score of a trusted pattern or value, and least number of different values that support a pattern.
 TRUST = 0.8
 SUPPORT = 3
+#: Scores only grow from round to round; a sum that grows by no more stands still.
+STILL = 1e-6
 #: Neighbouring words of more characters are compared by their SHA-256.
 CONTEXT = 64
 _BLANK = r"[\x20\x09-\x0D]+"
@@ -160,28 +162,32 @@ def _patterns() -> Column:
     return F.when(F.col("left") == "", F.array().cast("array<string>")).when(F.col("right") == "", F.array(F.concat_ws(" ", F.lit("L"), "left"))).otherwise(F.array(F.concat_ws(" ", F.lit("L"), "left"), both))
 
 
-def trusted_patterns(base: DataFrame, candidates: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
-    """pattern, kind, score of the patterns trusted after the last round."""
+def trusted_patterns(base: DataFrame, candidates: DataFrame, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
+    """pattern, kind, score of the patterns trusted in the end."""
     seeds = base.select("value", "kind").distinct().withColumn("score", F.lit(1.0))
     edges = base.unionByName(candidates).select(F.explode(_patterns()).alias("pattern"), "value").distinct()
     edges = cut(edges, "graph")
     sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"))
-    scores = seeds
-    for _ in range(rounds):
+    scores, before = seeds, None
+    while True:
         judged = edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("good"), F.count(F.lit(1)).alias("support"))
         patterns = (
             judged.where(F.col("support") >= support).join(sizes, "pattern")
             .select("pattern", "kind", (F.col("good") / F.col("values")).alias("score")).where(F.col("score") >= trust)
         )
         patterns = cut(patterns, "patterns")
+        total = F.coalesce(F.sum("score"), F.lit(0.0))
         wrong = F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))
         values = edges.join(patterns, "pattern").groupBy("value", "kind").agg((1 - wrong).alias("score")).where(F.col("score") >= trust)
         fresh = values.join(seeds.select("value", "kind"), ["value", "kind"], "left_anti")
         scores = cut(seeds.unionByName(fresh), "scores")
-    return patterns
+        now = [tuple(df.agg(F.count(F.lit(1)), total).first()) for df in (patterns, scores)]
+        if before is not None and all(a[0] == b[0] and b[1] - a[1] <= STILL for a, b in zip(before, now, strict=True)):
+            return patterns
+        before = now
 
 
-def personal_data(docs: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
+def personal_data(docs: DataFrame, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found for every row of docs(doc_id, text).
 
     The counts and base_sha256 cover the base spans, spans also those that the
@@ -194,7 +200,7 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, s
     found = cut(matches(docs), "matches")
     base = found.where("kind <> 'word'").where(confirmed(F.col("kind"), F.col("value")))
     candidates = cut(_candidates(found, base), "candidates")
-    patterns = trusted_patterns(base, candidates, rounds, trust, support)
+    patterns = trusted_patterns(base, candidates, trust, support)
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     best = (
         candidates.select("k1", "k2", "start", "stop", F.explode(_patterns()).alias("pattern")).join(patterns, "pattern")

@@ -452,6 +452,16 @@ def test_candidates_after_words_with_digits(docs):
     assert out[100] == ("phone:11:18", 1) and all(out[i][1] == 0 for i, _ in seeds)
 
 
+def test_long_chains_of_patterns_are_followed(docs):
+    steps = 7
+    data = [f"label0: +1 (017) 555-77{10 + i} end" for i in range(20)]
+    # The values of label n occur with label n + 1 too, the last label's own only there.
+    data += [f"label{n}: {n}00{i} end" for n in range(steps) for i in range(3)]
+    data += [f"label{n + 1}: {n}00{i} end" for n in range(steps) for i in range(3)]
+    found = rows(pii.personal_data(docs(list(enumerate(data))), trust=0.1), "n_found")
+    assert found == [(0,)] * 20 + [(1,)] * (6 * steps)
+
+
 # All with SQL
 
 
