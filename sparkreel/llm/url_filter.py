@@ -114,7 +114,8 @@ def judged_pages(pages: DataFrame, labels: DataFrame, rules: tuple = LISTED, sup
     """page_id, host, path, rule, verdict, mined, confidence for every row of pages(page_id, url).
 
     The longest listed rule decides; without one the url is blocked if a mined rule
-    fits, else allowed. Labels(doc_id, quality, toxic) belong to the page with that
+    fits, else allowed. A mined rule needs a share `support` of the labelled urls and
+    LEAST_URLS of them at least; with fewer labelled urls none is mined. Labels(doc_id, quality, toxic) belong to the page with that
     id: toxic or of quality 0 is bad. A page with several labels is bad if one is.
     A url that is null or has no :// has an empty host and path. Other columns are
     not read.
