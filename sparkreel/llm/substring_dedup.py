@@ -11,8 +11,8 @@ repeats of a passage in other documents give the same paths.
 3. Seeds with several prints branch. Only there, one place of each print is
    opened into single edges, joined on (seed, edge). What repeats there repeats
    at every place of the print in that document.
-4. Per document the covered places merge into spans, with the coordinates of
-   their source.
+4. Per document the covered places merge into spans, with the id of their
+   source. Words are not compared there: matches rest on the hashes.
 
 Only paths cross the network: about two rows for every (window - SEED + 2) words.
 Seed and print are independent 64-bit hashes, compared together.
