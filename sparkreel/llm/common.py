@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 import numpy as np
@@ -9,27 +11,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_FOLDER = "/tmp/checkpoints"
 EDGES_A_TASK = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_FOLDER).rstrip("/")
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset and driver and tasks are one process, a temporary folder of
+    this session's own; on a cluster such a folder would be seen by one machine only.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors and the driver share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: its lineage ends at files every executor sees."""
-    return _stored(df, name)[0]
+    return stored(df, name)[0]
 
 
-def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As cut, with the table's path, for discard()."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def _discard(spark: SparkSession, path: str) -> None:
+def discard(spark: SparkSession, path: str) -> None:
     """Deletes a table of the shared folder that nothing reads any more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
@@ -60,11 +72,11 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """
     edges = edges.select(F.col("a").alias("a"), F.col("b").alias("b")).where("a is not null and b is not null and a <> b")
     spark = edges.sparkSession
-    both, kept = _stored(edges.union(edges.select("b", "a")).distinct(), "edges")
+    both, kept = stored(edges.union(edges.select("b", "a")).distinct(), "edges")
     # Small label tables as few files; a task has about EDGES_A_TASK edges at most.
     parts = both.count() // EDGES_A_TASK + 1
     first = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component"))
-    labels, last = _stored(first.coalesce(parts), "labels")
+    labels, last = stored(first.coalesce(parts), "labels")
     nothing = F.lit(None).cast("long")
     for _ in range(rounds):
         above = labels.select(F.col("node").alias("component"), F.col("component").alias("low"))
@@ -73,11 +85,11 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         seen = near.unionByName(jumped.withColumn("own", F.col("low"))).groupBy("node").agg(F.min("low").alias("low"), F.max("own").alias("own"), F.max("old").alias("old"))
         hooks = seen.select(F.explode(F.array(F.struct("node", "low", "old"), F.struct(F.col("own").alias("node"), "low", nothing.alias("old")))).alias("x")).select("x.*")
         lowest = hooks.groupBy("node").agg(F.min("low").alias("component"), F.max("old").alias("old"))
-        fresh, path = _stored(lowest.coalesce(parts), "labels")
+        fresh, path = stored(lowest.coalesce(parts), "labels")
         moved = fresh.where("component <> old").limit(1).count()
-        _discard(spark, last)
+        discard(spark, last)
         labels, last = fresh.select("node", "component"), path
         if not moved:
-            _discard(spark, kept)
+            discard(spark, kept)
             return labels
     raise RuntimeError(f"labels still move after {rounds} rounds")
