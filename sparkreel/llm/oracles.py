@@ -85,3 +85,28 @@ scored AS (SELECT gram.doc_id, coalesce(three.n, 0) >= {min_count} AS is_full,
   LEFT JOIN two AS history ON history.b = gram.a AND history.c = gram.b LEFT JOIN three ON three.a = gram.a AND three.b = gram.b AND three.c = gram.c)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(m, 0) AS BIGINT) AS n_full, CAST(coalesce(s, 0) AS BIGINT) AS score_micros
 FROM d LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE is_full) AS m, sum(CAST(round(v * 1e6) AS BIGINT)) AS s FROM scored GROUP BY doc_id) USING (doc_id)"""
+
+
+def personal_data() -> str:
+    """The counts and the digest of the base spans."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    found = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, regexp_extract_all(t, '{p}') AS v, string_split_regex(t, '{p}') AS g FROM d" for rank, (kind, p) in enumerate(patterns.items()))
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{kind}') AS n_{kind}" for kind in patterns)
+    said = ", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in patterns)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+piece AS (SELECT doc_id, kind, rank, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x, unnest(list_transform(g[1:len(v)], lambda y: length(y))) AS gap FROM found),
+placed AS (SELECT *, regexp_replace(x, '[^0-9]', '', 'g') AS digits, CAST(sum(gap + length(x)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop FROM piece),
+good AS (SELECT doc_id, kind, rank, stop - length(x) AS start, stop FROM placed WHERE CASE kind
+  WHEN 'ip' THEN len(list_filter(string_split(x, '.'), lambda y: length(ltrim(y, '0')) > 3 OR coalesce(try_cast(ltrim(y, '0') AS INTEGER), 0) > 255)) = 0
+  WHEN 'card' THEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1),
+    lambda j: CASE WHEN j % 2 = 1 THEN ascii(digits[-j]) - 48 WHEN ascii(digits[-j]) > 52 THEN 2 * (ascii(digits[-j]) - 48) - 9 ELSE 2 * (ascii(digits[-j]) - 48) END)) % 10 = 0
+  WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15 ELSE true END),
+summed AS (SELECT doc_id, {counts}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM good GROUP BY doc_id)
+SELECT doc_id, {said}, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN summed USING (doc_id)"""

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import EDGES_A_TASK, cut, discard, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Least score of a trusted pattern or value, and least number of different values that support a pattern.
@@ -36,7 +36,7 @@ _BLANK = r"[\x20\x09-\x0D]+"
 # begins or where the last match ended; saying so keeps long runs linear.
 _MAIL = "A-Za-z0-9._%+-"
 PATTERNS = {
-    "email": rf"(?:(?<![{_MAIL}])|\G)[{_MAIL}]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": rf"(?:(?<![{_MAIL}])|\G)[{_MAIL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -128,17 +128,19 @@ def matches(docs: DataFrame) -> DataFrame:
     rows = rows.select("k1", "k2", "kind", "start", "stop", "value", (F.col("last") - F.col("inner")).alias("first"), "last", "inner", "end", head.alias("head"))
     into = (F.col("start") - F.col("head")).cast("int")
     done = F.when(F.col("inner") > 0, F.col("end")).otherwise(F.col("stop") - F.col("head")).cast("int")
-    words = _neighbours(docs)
-    rows = rows.join(words.select("k1", "k2", F.col("at").alias("first"), F.col("word").alias("opening"), "previous"), ["k1", "k2", "first"], "left")
-    rows = rows.join(words.select("k1", "k2", F.col("at").alias("last"), F.col("word").alias("closing"), "next"), ["k1", "k2", "last"], "left")
-    left = F.when(into > 0, F.substring("opening", F.lit(1), into)).otherwise(F.col("previous"))
-    right = F.when(F.char_length("closing") > done, F.substring("closing", done + 1, F.char_length("closing"))).otherwise(F.col("next"))
 
     def said(word: Column) -> Column:
         word = F.lower(word)
         return F.when(F.char_length(word) > CONTEXT, F.sha2(word, 256)).otherwise(word)
 
-    return rows.select("k1", "k2", "kind", "start", "stop", "value", said(left).alias("left"), said(right).alias("right"))
+    # One side after the other: between the joins a row has its context, not the whole word around it.
+    words = _neighbours(docs)
+    left = F.when(into > 0, F.substring("word", F.lit(1), into)).otherwise(F.col("previous"))
+    rows = rows.join(words.select("k1", "k2", F.col("at").alias("first"), "word", "previous"), ["k1", "k2", "first"], "left")
+    rows = rows.select("k1", "k2", "kind", "start", "stop", "value", "last", done.alias("done"), said(left).alias("left"))
+    right = F.when(F.char_length("word") > F.col("done"), F.substring("word", F.col("done") + 1, F.char_length("word"))).otherwise(F.col("next"))
+    rows = rows.join(words.select("k1", "k2", F.col("at").alias("last"), "word", "next"), ["k1", "k2", "last"], "left")
+    return rows.select("k1", "k2", "kind", "start", "stop", "value", "left", said(right).alias("right"))
 
 
 def _candidates(found: DataFrame, base: DataFrame) -> DataFrame:
@@ -148,10 +150,12 @@ def _candidates(found: DataFrame, base: DataFrame) -> DataFrame:
     core = F.regexp_replace(F.regexp_replace("value", r"^[^\p{L}\p{N}]+", ""), r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
     words = words.select("k1", "k2", F.lit("word").alias("kind"), (F.col("start") + head).alias("start"), (F.col("start") + head + F.char_length(core)).alias("stop"), core.alias("value"), "left", "right")
     both = words.unionByName(base)
-    order = Window.partitionBy("k1", "k2").orderBy("start", F.col("kind") == "word")
     seeded = F.col("kind") != "word"
-    reach = F.max(F.when(seeded, F.col("stop"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.min(F.when(seeded, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # Both frames begin at an end of the text: one that ends at the other end is summed anew for every row.
+    sides = (F.col("start"), F.col("kind") == "word"), (F.col("start").desc(), (F.col("kind") == "word").desc())
+    past, coming = (Window.partitionBy("k1", "k2").orderBy(*side).rowsBetween(Window.unboundedPreceding, -1) for side in sides)
+    reach = F.max(F.when(seeded, F.col("stop"))).over(past)
+    ahead = F.min(F.when(seeded, F.col("start"))).over(coming)
     free = both.withColumn("reach", reach).withColumn("ahead", ahead).where(~seeded & (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("ahead") >= F.col("stop"), F.lit(True))))
     return free.drop("reach", "ahead")
 
@@ -163,28 +167,35 @@ def _patterns() -> Column:
 
 
 def trusted_patterns(base: DataFrame, candidates: DataFrame, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
-    """pattern, kind, score of the patterns trusted in the end."""
-    seeds = base.select("value", "kind").distinct().withColumn("score", F.lit(1.0))
+    """pattern, kind, score of the patterns trusted in the end.
+
+    Scores only grow, so the set of patterns has settled once a round adds none and
+    their sum stands still. Tables of a round hold patterns, not matches: few files.
+    """
+    seeds = base.select("value", "kind").distinct()
     edges = base.unionByName(candidates).select(F.explode(_patterns()).alias("pattern"), "value").distinct()
-    edges = cut(edges, "graph")
+    edges, graph = stored(edges, "graph")
+    parts = edges.count() // EDGES_A_TASK + 1
     sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"))
-    scores, before = seeds, None
+    seeded = edges.join(seeds, "value").groupBy("pattern", "kind").agg(F.count(F.lit(1)).cast("double").alias("good"), F.count(F.lit(1)).alias("support"))
+    seeded, first = stored(seeded.coalesce(parts), "seeded")
+    goods, last, before = seeded, None, None
     while True:
-        judged = edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("good"), F.count(F.lit(1)).alias("support"))
-        patterns = (
-            judged.where(F.col("support") >= support).join(sizes, "pattern")
-            .select("pattern", "kind", (F.col("good") / F.col("values")).alias("score")).where(F.col("score") >= trust)
-        )
-        patterns = cut(patterns, "patterns")
-        total = F.coalesce(F.sum("score"), F.lit(0.0))
-        wrong = F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))
-        values = edges.join(patterns, "pattern").groupBy("value", "kind").agg((1 - wrong).alias("score")).where(F.col("score") >= trust)
-        fresh = values.join(seeds.select("value", "kind"), ["value", "kind"], "left_anti")
-        scores = cut(seeds.unionByName(fresh), "scores")
-        now = [tuple(df.agg(F.count(F.lit(1)), total).first()) for df in (patterns, scores)]
-        if before is not None and all(a[0] == b[0] and b[1] - a[1] <= STILL for a, b in zip(before, now, strict=True)):
+        judged = goods.groupBy("pattern", "kind").agg(F.sum("good").alias("good"), F.sum("support").alias("support")).where(F.col("support") >= support)
+        patterns = judged.join(sizes, "pattern").select("pattern", "kind", F.round(F.col("good") / F.col("values"), 9).alias("score")).where(F.col("score") >= trust)
+        patterns, path = stored(patterns.coalesce(parts), "patterns")
+        if last:
+            discard(edges.sparkSession, last)
+        now, last = tuple(patterns.agg(F.count(F.lit(1)), F.coalesce(F.sum("score"), F.lit(0.0))).first()), path
+        if before is not None and now[0] == before[0] and now[1] - before[1] <= STILL:
+            for path in (graph, first):
+                discard(edges.sparkSession, path)
             return patterns
         before = now
+        wrong = F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))
+        values = edges.join(patterns, "pattern").groupBy("value", "kind").agg(F.round(1 - wrong, 9).alias("score")).where(F.col("score") >= trust)
+        fresh = edges.join(values.join(seeds, ["value", "kind"], "left_anti"), "value").select("pattern", "kind", F.col("score").alias("good"), F.lit(1).cast("long").alias("support"))
+        goods = seeded.unionByName(fresh)
 
 
 def personal_data(docs: DataFrame, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
