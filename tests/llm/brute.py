@@ -47,24 +47,28 @@ def near(docs, k, percent):
     return components(sets, links)
 
 
-def spans_removed(docs, window):
+def spans_removed_by_row(docs, window):
     first = {}
     for i, t in docs:
         w = words(t)
         for p in range(len(w) - window + 1):
             g = tuple(w[p : p + window])
             first[g] = min(first.get(g, i), i)
-    out = {}
+    out = []
     for i, t in docs:
         w = words(t)
         gone = set()
         for p in range(len(w) - window + 1):
             if first[tuple(w[p : p + window])] < i:
                 gone |= set(range(p, p + window))
-        out[i] = (len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone))
+        out.append((i, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
     return out
 
 
+def spans_removed(docs, window):
+    return {i: tuple(rest) for i, *rest in spans_removed_by_row(docs, window)}
+
+
 def backoff(docs, order, alpha, least):
     counts = [Counter() for _ in range(order + 1)]
     for _, t in docs:

@@ -161,6 +161,37 @@ def test_passage_repeated_inside_a_document(docs):
     assert got == brute.spans_removed(data, 50) and got[2][1] == 4 * 85
 
 
+def test_substrings_of_rows_that_share_an_id(docs):
+    draw = random.Random(12)
+    passage, other = prose(120, draw), prose(70, draw)
+    tail = prose(10, draw)
+    cases = [
+        [(1, passage), (2, f"{tail} {passage}"), (2, "short text here")],
+        [(1, passage), (1, "tiny"), (1, None), (2, f"{passage[:400]} {other}"), (3, passage)],
+        [(1, passage), (1, f"{other} {passage}"), (1, f"{other} {passage}"), (2, f"{other} x"), (2, f"y {other} {passage} {passage}"), (2, f"y {passage}"), (2, f"y {passage}")],
+    ]
+    for data in cases:
+        out = substring_dedup.remove_spans(docs(data), substring_dedup.repeated_spans(docs(data)))
+        assert rows(out) == sorted(brute.spans_removed_by_row(data, 50))
+
+
+def test_substrings_of_branching_documents(docs):
+    draw = random.Random(14)
+    parts = [prose(n, draw) for n in (60, 35, 80, 20, 120)] + ["x " * 70 + "x", "x y " * 40 + "x"]
+    data = [(i // 2 if i % 7 == 0 else i, " ".join(draw.choice(parts) for _ in range(draw.randint(1, 5)))) for i in range(80)]
+    out = substring_dedup.remove_spans(docs(data), substring_dedup.repeated_spans(docs(data)))
+    assert rows(out) == sorted(brute.spans_removed_by_row(data, 50))
+
+
+def test_spans_count_only_where_the_source_has_their_words(docs):
+    passage = prose(80)
+    data = docs([(1, passage), (2, passage)])
+    spans = substring_dedup.repeated_spans(data)
+    assert rows(substring_dedup.remove_spans(data, spans), "n_removed") == [(0,), (80,)]
+    wrong = spans.withColumn("words", F.unhex(F.lit("00" * 16)))
+    assert rows(substring_dedup.remove_spans(data, wrong), "n_removed") == [(0,), (0,)]
+
+
 # 4 Decontamination
 
 
@@ -226,6 +257,51 @@ def test_many_languages(spark, docs):
     assert wrong <= 1
 
 
+def plain_slots(text):
+    """Hashed byte trigrams of a text, one for each byte."""
+    low = [32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()]
+    ring = [32, *low, 32]
+    return [((ring[i] << 16 | ring[i + 1] << 8 | ring[i + 2]) * 0x9E3779B1 % 2**32) >> 18 for i in range(len(low))]
+
+
+def test_training_and_decoding_by_brute_force(spark, docs):
+    draw = random.Random(17)
+    own = {"a": "anna otto la", "b": "bob be by", "c": "ciao c'e che", "d": "der die da"}
+    data = [(n, " ".join(draw.choice(own[lang].split() + ["x1", "é"]) for _ in range(draw.randint(1, 25))), lang) for n, lang in enumerate("abcd" * 12)]
+    model = language_id.train(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    code = language_id.codewords(4)
+    counts = np.zeros((4, language_id.SLOTS))
+    for _, t, lang in data:
+        for slot in plain_slots(t):
+            counts["abcd".index(lang)][slot] += 1
+    chance = [[(c + 0.5) / (row.sum() + 0.5 * len(row)) for c in row] for row in counts]
+    weights = np.array([[np.log(np.mean([chance[i][s] for i in range(4) if code[i][b] > 0])) - np.log(np.mean([chance[i][s] for i in range(4) if code[i][b] < 0])) for b in range(7)] for s in sorted({s for _, t, _ in data for s in plain_slots(t)})])
+    assert np.allclose(model.weights[sorted({s for _, t, _ in data for s in plain_slots(t)})], weights, atol=1e-5)
+
+    def plain_margins(text):
+        slots = plain_slots(text)
+        return [sum(float(model.weights[s][b]) for s in slots) / len(slots) * min(1, len(slots) / language_id.EVIDENCE) for b in range(7)]
+
+    rows_of = [(plain_margins(t), "abcd".index(lang)) for _, t, lang in data]
+    for b in range(7):
+        assert abs(model.scale[b] - np.mean([abs(m[b]) for m, _ in rows_of])) < 1e-6
+        wrong = min(max(np.mean([m[b] * code[i][b] <= 0 for m, i in rows_of]), 1e-3), 0.499)
+        assert abs(model.reliability[b] - np.log((1 - wrong) / wrong)) < 1e-6
+    texts = [(1, "anna be che"), (2, "bob"), (3, "der é"), (4, "x"), (5, "Otto DIE die")]
+    for (_, t), (i, lang, score, unsure) in zip(texts, rows(language_id.predict(docs(texts), model)), strict=True):
+        loss = [sum(np.log1p(np.exp(-3 * m * w / s)) * r for m, w, s, r in zip(plain_margins(t), code[n], model.scale, model.reliability, strict=True)) / np.mean(model.reliability) for n in range(4)]
+        assert lang == "abcd"[int(np.argmin(loss))], i
+        assert abs(score - 1 / sum(np.exp(min(loss) - x) for x in loss)) < 1e-6 and unsure == (score < language_id.SURE)
+
+
+def test_names_beyond_the_most_frequent_languages_are_not_learned(spark):
+    rows_of = [(n, "aa bb", "en") for n in range(40)] + [(100 + n, "cc dd", "fr") for n in range(30)] + [(1000 + n, "ee ff", f"x{n:05}") for n in range(10_000)]
+    df = spark.createDataFrame(rows_of, "doc_id long, text string, lang string")
+    model = language_id.train(df, max_languages=3)
+    assert model.languages == ["en", "fr", "x00000"]
+    assert len(language_id.train(df, rows_per_language=5).languages) <= language_id.MAX_LANGUAGES
+
+
 # 6 Media
 
 
@@ -328,6 +404,27 @@ def test_mined_rules_against_counting(spark):
     assert few.count() > 0
 
 
+@pytest.mark.parametrize("parts", [8, 14, 30])
+def test_parts_of_a_common_long_url_are_one_item(spark, parts):
+    long = "https://h.com/" + "/".join(f"dir{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(parts))
+    urls = [(i, long, True) for i in range(30)] + [(30 + i, f"https://h.com/x/{'ab'[i % 2]}", i < 4) for i in range(40)] + [(90, "https://h.com/diraa/other", False)]
+    labelled = spark.createDataFrame([(u, b) for _, u, b in urls], "url string, bad boolean")
+    mined = url_filter.mined_rules(labelled)
+    got = rows(mined, "antecedent", "confidence")
+    # All parts but the first one occur in the same urls; the first one is in another url too.
+    together = "\n".join(sorted(f"path=dir{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(1, parts)))
+    assert got == [(["path=diraa"], 30 / 31), ([together], 1.0)]
+    looked_up = spark.createDataFrame([(long,), ("https://other.org/dirba",), ("https://h.com/x/a",), ("https://h.com/diraa",)], "url string")
+    verdicts = dict(rows(url_filter.mined_verdicts(looked_up, mined), "url", "confidence"))
+    assert verdicts == {long: 1.0, "https://other.org/dirba": 1.0, "https://h.com/diraa": 30 / 31}
+
+
+def test_floor_of_mined_rules_is_a_parameter(spark):
+    labelled = spark.createDataFrame([(f"https://{'bad' if i < 5 else 'good'}.com/{i}", i < 5) for i in range(10)], "url string, bad boolean")
+    assert rows(url_filter.mined_rules(labelled)) == []
+    assert rows(url_filter.mined_rules(labelled, least_urls=5), "antecedent") == [(["host=bad"],)]
+
+
 # 8 Mixing
 
 
@@ -368,6 +465,52 @@ def test_mixture_meets_its_targets(spark, gain, repeats):
         assert n - whole[s] in (0, 1)
 
 
+@pytest.mark.parametrize(("budget", "slices", "most"), [(None, 10_000, 10**7), (None, 2, 0), (9000, 3, 0), (40_000, 1, 10**7)])
+def test_drawn_documents_by_brute_force(spark, budget, slices, most):
+    data, df = mixture(spark)
+    out = mixing.mix(df, budget=budget, block_tokens=300, slice_blocks=slices, most_bytes=most)
+    counted = df.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), mixing.token_count(F.col("text")).alias("n_tokens"))
+    plan = mixing.plan(counted, budget, 0.5, 4.0, 300, 0)
+    # Only the hashes come from Spark.
+    keyed = counted.join(plan, "source").withColumn("block", mixing.block_of("source", "doc_id", F.col("blocks"), 0))
+    keyed = keyed.select("source", "doc_id", "n_tokens", "whole", "block", F.xxhash64(F.lit(0), "source", "whole", "block").alias("block_key"), F.xxhash64(F.lit(0), "whole", "doc_id", "n_tokens").alias("doc_key"))
+    by_source = {}
+    for r in keyed.collect():
+        by_source.setdefault(r["source"], []).append(r)
+    tokens = {s: sum(r["n_tokens"] for r in rs) for s, rs in by_source.items()}
+    total = sum(tokens.values())
+    a = mixing.exponent(spark.createDataFrame(list(tokens.items()), "source string, tokens long"), budget or total, 0.5, 4.0)
+    z = sum((t / total) ** a for t in tokens.values())
+    want = []
+    for source, rs in by_source.items():
+        share = int((tokens[source] / total) ** a / z * (budget or total))
+        whole, rest = divmod(share, tokens[source])
+        assert rs[0]["whole"] == whole
+        blocks = {}
+        for r in rs:
+            blocks.setdefault((r["block_key"], r["block"]), []).append(r)
+        want += [(source, r["doc_id"], e) for r in rs for e in range(whole)]
+        for key in sorted(blocks):
+            size = sum(r["n_tokens"] for r in blocks[key])
+            if size <= rest:
+                want += [(source, r["doc_id"], whole) for r in blocks[key]]
+                rest -= size
+                continue
+            for r in sorted(blocks[key], key=lambda r: r["doc_key"]):
+                if r["n_tokens"] > rest:
+                    break
+                rest -= r["n_tokens"]
+                want.append((source, r["doc_id"], whole))
+            break
+    assert rows(out, "source", "doc_id", "epoch") == sorted(want)
+
+
+def test_a_budget_beyond_the_repeats_is_an_error(spark):
+    _, df = mixture(spark)
+    with pytest.raises(ValueError, match="repeats"):
+        mixing.mix(df, budget=10**6, max_repeats=4.0)
+
+
 def test_mixing_is_a_permutation_and_repeatable(spark):
     _, df = mixture(spark)
     a = rows(mixing.mix(df, block_tokens=300))
@@ -425,6 +568,22 @@ def test_base_spans(docs):
     assert got == sorted(want, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
 
 
+def test_base_spans_of_long_runs(docs):
+    n, many = 20_000, 1_000
+    texts = ["a@b" + ".c" * 100_000, "a@b.c" + "@d.e" * 300, "+1" + " 2" * many, "1-" * n + "1", "1." * many, "+" * n + "1", "x" * n + "1" + "-" * n, "a." * n + "@b.c", "a@" * n, "1 " * many, "+1" + "-2" * n]
+    data = list(enumerate(texts))
+    got = rows(pii.personal_data(docs(data)), "doc_id", "base_sha256")
+    assert got == [(i, hashlib.sha256(brute.personal(t).encode()).hexdigest()) for i, t in data]
+
+
+def test_base_spans_of_random_texts(docs):
+    draw = random.Random(13)
+    parts = ["a", "Z9", "@", ".", "-", "+", "1", "25", "256", " ", "é", "(", ")", "%", "_", "\u00a0", "4111 1111 1111 1111", "+1 017 5557713", "x@y.z", "1.2.3.4", "\t"]
+    data = [(i, "".join(draw.choice(parts) for _ in range(draw.randint(1, 40)))) for i in range(600)]
+    got = rows(pii.personal_data(docs(data)), "doc_id", "base_sha256")
+    assert got == [(i, hashlib.sha256(brute.personal(t).encode()).hexdigest()) for i, t in data]
+
+
 def test_patterns_find_unseen_identifiers(spark, docs):
     seeds = [(i, f"{prose(5)} hotline: +1 (017) 555-77{10 + i} open") for i in range(20)]
     hidden = [(100 + i, f"{prose(5)} hotline: 555 {i} open and badge 00{i}") for i in range(2)]
@@ -473,6 +632,6 @@ def db():
 def test_queries_equal_sql(spark, db):
     from sparkreel.llm.queries import ORACLE_SQL, QUERIES
 
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")) == list(range(1, 11))
     for name, sql in ORACLE_SQL.items():
         assert differences(QUERIES[name](spark, "/root/testdata/sf0.001"), db, sql) is None, name
