@@ -6,6 +6,7 @@ Bytes beyond the end of a value read as null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -24,6 +25,16 @@ def bits(word: Column, width: int, first: int, count: int) -> Column:
     return F.shiftright(word, width - first - count).bitwiseAND(F.lit((1 << count) - 1).cast("bigint"))
 
 
+def to_be(value: Column, n: int) -> Column:
+    """A number below 256**n as n big-endian bytes."""
+    return F.unhex(F.lpad(F.hex(value.cast("bigint")), 2 * n, "0"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def flag(word: Column, mask: int) -> Column:
     return word.bitwiseAND(F.lit(mask).cast("bigint")) != 0
 

@@ -10,8 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import tables as T
-from .bits import be, bits, clock33, flag
+from .bits import be, bits, clock33, flag, let
 from .clock import div
+from .sync import first_sync
 
 
 def _at(at: Column | int) -> Column:
@@ -37,6 +38,49 @@ def flv_video(payload: Column) -> Column:
     )
 
 
+def avc_config(payload: Column) -> Column:
+    """Profile, level, unit length size, first parameter sets and both after start codes, of an FLV tag with an AVC configuration; else null.
+
+    Sets are counted and measured where they stand; a cut configuration gives null sets.
+    """
+    def after(place: Column, count: Column) -> Column:
+        """Where `count` sets with their 16-bit lengths end that begin at `place`."""
+        steps = F.when(count > 0, F.sequence(F.lit(1), count.cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, place.cast("int"), lambda at, _: at + 2 + be(payload, at, 2).cast("int"))
+
+    def first(place: Column, count: Column) -> Column:
+        size = be(payload, place, 2)
+        data = F.substring(payload, place + 3, size.cast("int"))
+        return F.when((count > 0) & (F.octet_length(data) == size), data)
+
+    count = be(payload, 10, 1).bitwiseAND(0x1F)
+
+    def fields(place: Column) -> Column:
+        sps, pps = first(F.lit(11), count), first(place + 1, be(payload, place, 1))
+        code = F.unhex(F.lit("000001"))
+        return F.struct(
+            be(payload, 5, 1).alias("version"), be(payload, 6, 1).alias("profile"), be(payload, 8, 1).alias("level"), (be(payload, 9, 1).bitwiseAND(3) + 1).alias("length_size"),
+            count.alias("n_sps"), be(payload, place, 1).alias("n_pps"), sps.alias("sps"), pps.alias("pps"), F.concat(code, sps, code, pps).alias("record"),
+        )
+
+    mine = (bits(be(payload, 0, 1), 8, 4, 4) == 7) & (be(payload, 1, 1) == 0)
+    return F.when(mine, let(after(F.lit(11), count), fields))
+
+
+def flv_size(payload: Column) -> Column:
+    """Width and height that a video tag's own header gives: H.263, and VP6 key frames less the cropped part; else null."""
+    codec, word = bits(be(payload, 0, 1), 8, 4, 4), be(payload, 4, 6)
+    form = bits(word, 48, 6, 3)
+    fixed = {2: (352, 288), 3: (176, 144), 4: (128, 96), 5: (320, 240), 6: (160, 120)}
+    sizes = [[F.when(form == k, F.lit(v[i])) for k, v in fixed.items()] for i in (0, 1)]
+    h263 = [F.coalesce(F.when(form == 0, bits(word, 48, 9 + 8 * i, 8)), F.when(form == 1, bits(word, 48, 9 + 16 * i, 16)), *sizes[i]) for i in (0, 1)]
+    crop = be(payload, 1, 1)
+    vp6 = vp6_header(payload, F.when(codec == 5, 5).otherwise(2))
+    cropped = [vp6["columns"] * 16 - bits(crop, 8, 0, 4), vp6["rows"] * 16 - bits(crop, 8, 4, 4)]
+    value = [F.when(codec == 2, h263[i]).when(codec.isin(4, 5), cropped[i]).cast("bigint") for i in (0, 1)]
+    return F.struct(value[0].alias("width"), value[1].alias("height"))
+
+
 def flv_audio(payload: Column) -> Column:
     """Format, nominal and true rate, sample bits, channels; AAC: configuration packet or data."""
     head = be(payload, 0, 1)
@@ -139,6 +183,23 @@ def sequence_header(data: Column, at: Column | int = 0) -> Column:
     )
 
 
+def aspect(code: Column, mpeg1: bool = False) -> Column:
+    """num and den of an aspect code: of a pixel by version 1, of the display by version 2; null for other codes."""
+    ratios = {k: (v, 10000) for k, v in T.PIXEL_HEIGHTS.items()} if mpeg1 else T.ASPECTS
+    num, den = (F.coalesce(*[F.when(code == k, F.lit(v[i])) for k, v in ratios.items()]).cast("bigint") for i in (0, 1))
+    return F.struct(num.alias("num"), den.alias("den"))
+
+
+def found_sequence_header(data: Column, mpeg1: bool = False) -> Column:
+    """Place, fields and aspect of the first sequence header, which may stand at any byte of data; null without one."""
+
+    def fields(at: Column) -> Column:
+        header = sequence_header(data, at.cast("int"))
+        return F.when(at.isNotNull(), F.struct(at.cast("bigint").alias("at"), header.alias("header"), aspect(header["aspect_code"], mpeg1).alias("aspect")))
+
+    return let(first_sync(data, "000001B3"), fields)
+
+
 def sequence_extension(data: Column, at: Column | int = 0) -> Column:
     """Profile, progressive flag, chroma format and size extensions."""
     word = be(data, _at(at) + 4, 4)
@@ -172,19 +233,25 @@ def gop_header(data: Column, at: Column | int = 0) -> Column:
 
 def mpa_header(data: Column, at: Column | int = 0) -> Column:
     """MPEG audio frame header: version, layer, rates, channels, frame length in bytes, ok."""
-    word = be(data, at, 4)
+    return let(be(data, at, 4), _mpa_fields)
+
+
+def _mpa_fields(word: Column) -> Column:
     version_code, layer_code, index, rate_code = bits(word, 32, 11, 2), bits(word, 32, 13, 2), bits(word, 32, 16, 4), bits(word, 32, 20, 2)
-    low = (version_code != 3).cast("int")
-    layer = 4 - layer_code
-    kbps = T.mpa_kbps(low + 1, layer, index)
-    shift = F.when(version_code == 3, 1).when(version_code == 2, 2).otherwise(4)
-    rate = div(T.at(T.SAMPLE_RATES, rate_code), shift)
     padding, mode = bits(word, 32, 22, 1), bits(word, 32, 24, 2)
-    length = F.when(layer == 1, (div(kbps * 12000, rate) + padding) * 4).when(layer == 2, div(kbps * 144000, rate) + padding).otherwise(div(kbps * 144000, rate * (low + 1)) + padding)
+    low, layer = (version_code != 3).cast("int"), 4 - layer_code
+    shift = F.when(version_code == 3, 1).when(version_code == 2, 2).otherwise(4)
+    rates = F.struct(T.mpa_kbps(low + 1, layer, index).alias("kbps"), div(T.at(T.SAMPLE_RATES, rate_code), shift).alias("rate"))
     ok = (bits(word, 32, 0, 11) == 0x7FF) & (layer_code != 0) & (index != 15) & (rate_code != 3)
-    ok = F.coalesce(ok, F.lit(False))
-    fields = {"layer": layer, "kbps": kbps, "rate": rate, "channels": F.when(mode == 3, 1).otherwise(2).cast("bigint"), "frame_len": F.when(index != 0, length)}
-    return F.struct(*[F.when(ok, c.cast("bigint")).alias(n) for n, c in fields.items()], ok.alias("ok"))
+
+    def fields(x: Column) -> Column:
+        kbps, rate = x["kbps"], x["rate"]
+        length = F.when(layer == 1, (div(kbps * 12000, rate) + padding) * 4).when(layer == 2, div(kbps * 144000, rate) + padding).otherwise(div(kbps * 144000, rate * (low + 1)) + padding)
+        values = {"layer": layer, "kbps": kbps, "rate": rate, "channels": F.when(mode == 3, 1).otherwise(2), "frame_len": F.when(index != 0, length)}
+        good = F.coalesce(ok, F.lit(False))
+        return F.struct(*[F.when(good, c.cast("bigint")).alias(n) for n, c in values.items()], good.alias("ok"))
+
+    return let(rates, fields)
 
 
 def ac3_header(data: Column, at: Column | int = 0) -> Column:

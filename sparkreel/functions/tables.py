@@ -60,7 +60,6 @@ def frame_rates(spark: SparkSession) -> DataFrame:
 
 def mpa_kbps(version: Column, layer: Column, index: Column) -> Column:
     """Bit rate of an MPEG audio header; null where the tables have none."""
-    out = F.lit(None).cast("bigint")
-    for (v, n), rates in BIT_RATES.items():
-        out = F.when((version == v) & (layer == n), at(rates, index)).otherwise(out)
-    return out
+    rates = [kbps for key in sorted(BIT_RATES) for kbps in BIT_RATES[key]]
+    place = (version - 1) * 45 + (layer - 1) * 15 + index
+    return F.when(version.between(1, 2) & layer.between(1, 3) & index.between(0, 14), at(rates, place))

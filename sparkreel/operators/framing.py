@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sync import first_sync  # noqa: F401
+
 
 def marker_places(data: Column, marker: bytes) -> Column:
     """Byte positions of a marker, leftmost first, without overlaps."""
@@ -22,13 +24,6 @@ def start_codes(df: DataFrame, data: str, keys: list[str]) -> DataFrame:
     return found.select(*keys, "at", F.conv(F.hex(F.substring("__data", F.col("at").cast("int") + 4, F.lit(1))), 16, 10).cast("bigint").alias("code"))
 
 
-def first_sync(data: Column, marker: str) -> Column:
-    """Byte position of the first marker, given in hex and found on byte boundaries; null if there is none."""
-    place = F.length(F.regexp_extract(F.hex(data), f"^((?:[0-9A-F]{{2}})*?){marker}", 1))
-    has = F.hex(data).rlike(f"^(?:[0-9A-F]{{2}})*?{marker}")
-    return F.when(has, F.call_function("div", place, F.lit(2)))
-
-
 def slices(df: DataFrame, keys: list[str], order: str, opens: Column, value: str) -> DataFrame:
     """Rows between markers as one: keys, picture number, count and values in order. Rows before the first marker go."""
     sofar = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

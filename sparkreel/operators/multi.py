@@ -37,5 +37,5 @@ def union_streams(**streams: DataFrame) -> DataFrame:
 
 
 def lookup(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
-    """Attributes of codes from a code table of a few rows; unknown codes give null."""
-    return df.join(F.broadcast(table), on, "left")
+    """Attributes of codes from a code table; unknown codes give null. Catalyst broadcasts the table if its size allows."""
+    return df.join(table, on, "left")

@@ -22,7 +22,7 @@ def route(samples: DataFrame, targets: dict[str, str]) -> DataFrame:
 def without_payload(samples: DataFrame, catalog: DataFrame) -> DataFrame:
     """All samples; the payload of streams that are not selected is null."""
     chosen = catalog.select("stream_id", "selected")
-    return samples.join(F.broadcast(chosen), "stream_id", "left").withColumn("payload", F.when(F.col("selected"), F.col("payload"))).drop("selected")
+    return samples.join(chosen, "stream_id", "left").withColumn("payload", F.when(F.col("selected"), F.col("payload"))).drop("selected")
 
 
 def latest_epoch(df: DataFrame, keys: list[str], epoch: str) -> DataFrame:

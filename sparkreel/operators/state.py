@@ -14,7 +14,7 @@ def transitions(log: DataFrame, keys: list[str], order: str, state: str) -> Data
 def checked(log: DataFrame, keys: list[str], order: str, state: str, allowed: DataFrame) -> DataFrame:
     """The log's transitions with ok: whether (from_state, state) is among the allowed ones, a table of a few rows."""
     moves = transitions(log, keys, order, state)
-    legal = F.broadcast(allowed.select("from_state", F.col("to_state").alias(state)).distinct().withColumn("__ok", F.lit(True)))
+    legal = allowed.select("from_state", F.col("to_state").alias(state)).distinct().withColumn("__ok", F.lit(True))
     return moves.join(legal, ["from_state", state], "left").withColumn("ok", F.coalesce("__ok", F.lit(False))).drop("__ok")
 
 

@@ -1,9 +1,9 @@
 """Order and time operators over sample tables.
 
-Numbering and running sums that would need one global order are done in two
-passes: totals of blocks of the order column, then places inside a block. Blocks
-have a fixed width of the order column, so no task holds more than one block of
-one key, however long a stream is.
+Numbering, running sums and last known values that would need one global order
+are done in two passes: over blocks of the order column, then inside a block.
+Blocks have a fixed width of the order column, so no task holds more than one
+block of one key, however long a stream is.
 """
 
 from __future__ import annotations
@@ -35,19 +35,35 @@ def prefix_sum(df: DataFrame, keys: list[str], order: str, value: Column, name:
     return out.select(*[c for c in df.columns if not c.startswith("__")], (F.col("__inside") + F.col("__base")).cast("bigint").alias(name))
 
 
-def gap_fill(df: DataFrame, keys: list[str], order: str, pts: str, step: Column, name: str = "filled") -> DataFrame:
+def last_known(df: DataFrame, keys: list[str], order: str, value: Column, name: str, before: bool = False, width: int = BLOCK) -> DataFrame:
+    """df with the last value that is not null at each row or earlier (`before`: earlier only) in its stream.
+
+    Inside a block by a window; the last value of earlier blocks comes from a
+    window over one row for each block.
+    """
+    df = df.withColumn("__block", F.floor(F.col(order) / F.lit(float(width))).cast("bigint")).withColumn("__value", value)
+    ends = df.groupBy(*keys, "__block").agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col(order))).alias("__last"))
+    earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__block").alias("__b"), F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
+    inside = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
+    out = df.withColumn("__inside", F.last("__value", ignorenulls=True).over(inside))
+    same = [out[k].eqNullSafe(ends[f"__k_{k}"]) for k in keys] + [out["__block"].eqNullSafe(ends["__b"])]
+    out = out.join(ends, same)
+    return out.select(*[c for c in df.columns if c not in ("__block", "__value")], F.coalesce("__inside", "__carried").alias(name))
+
+
+def gap_fill(df: DataFrame, keys: list[str], order: str, pts: str, step: Column, name: str = "filled", width: int = BLOCK) -> DataFrame:
     """Missing times count on from the last known one by `step`; null before the first known one."""
-    sofar = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumn("__island", F.count(pts).over(sofar))
-    island = Window.partitionBy(*keys, "__island").orderBy(order)
-    anchor = F.max(pts).over(Window.partitionBy(*keys, "__island"))
-    return df.withColumn(name, F.when(F.col("__island") > 0, anchor + (F.row_number().over(island) - 1) * step).cast("bigint")).drop("__island")
+    placed = numbered(df, keys, order, "__place", width)
+    anchor = F.when(F.col(pts).isNotNull(), F.struct(F.col(pts).alias("pts"), F.col("__place").alias("place")))
+    placed = last_known(placed, keys, order, anchor, "__anchor", width=width)
+    return placed.withColumn(name, (F.col("__anchor.pts") + (F.col("__place") - F.col("__anchor.place")) * step).cast("bigint")).drop("__place", "__anchor")
 
 
-def lag_duration(df: DataFrame, keys: list[str], order: str, pts: str, name: str = "dur_hns") -> DataFrame:
+def lag_duration(df: DataFrame, keys: list[str], order: str, pts: str, name: str = "dur_hns", width: int = BLOCK) -> DataFrame:
     """Time since the sample before, the time itself for a stream's first. Without keys: across all streams."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn(name, (F.col(pts) - F.coalesce(F.lag(pts).over(w), F.lit(0))).cast("bigint"))
+    out = last_known(df, keys, order, F.struct(F.col(pts).alias("pts")), "__earlier", before=True, width=width)
+    return out.withColumn(name, (F.col(pts) - F.coalesce("__earlier.pts", F.lit(0))).cast("bigint")).drop("__earlier")
 
 
 def unwrapped(df: DataFrame, keys: list[str], order: str, pts: str, name: str = "pts_long") -> DataFrame:
@@ -83,8 +99,9 @@ def references(df: DataFrame, gop: list[str], decode: str, ptype: str, ident: st
 
 def after_first_key(df: DataFrame, keys: list[str], order: str, key: Column) -> DataFrame:
     """Rows from each stream's first key picture on."""
-    sofar = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("__seen", F.max(key.cast("int")).over(sofar)).where("__seen = 1").drop("__seen")
+    first = df.withColumn("__key", key).where("__key").groupBy(*keys).agg(F.min(order).alias("__first"))
+    first = first.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__first")
+    return df.join(first, [df[k].eqNullSafe(first[f"__k_{k}"]) for k in keys] + [df[order] >= first["__first"]]).select(*df.columns)
 
 
 def release(pts: Column, now: Column, frame: Column | int) -> Column:
@@ -101,8 +118,7 @@ def stream_span(df: DataFrame, keys: list[str], order: str, pts: str) -> DataFra
     return out.withColumn("dur_hns", F.col("last_pts") - F.col("first_pts"))
 
 
-def intervals_between(df: DataFrame, keys: list[str], order: str, opens: Column, closes: Column) -> DataFrame:
+def intervals_between(df: DataFrame, keys: list[str], order: str, opens: Column, closes: Column, width: int = BLOCK) -> DataFrame:
     """Rows while the last state change before or at them opened the stream."""
-    sofar = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    state = F.last(F.when(opens, F.lit(True)).when(closes, F.lit(False)), ignorenulls=True).over(sofar)
-    return df.withColumn("__open", F.coalesce(state, F.lit(False))).where("__open").drop("__open")
+    state = F.when(opens, F.lit(True)).when(closes, F.lit(False))
+    return last_known(df, keys, order, state, "__open", width=width).where("__open").drop("__open")

@@ -147,17 +147,22 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def _records(spark: SparkSession, path: str, walk: Callable, payload: bool) -> DataFrame:
-    return _files(spark, path).mapInArrow(_walk_task(walk, payload), _ROWS)
+def _records(files: DataFrame, walk: Callable, payload: bool) -> DataFrame:
+    return files.select("path", "content").mapInArrow(_walk_task(walk, payload), _ROWS)
 
 
 def flv(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """One row for each tag: stream, time, size, key flag, header fields of audio and video, payload.
+    """flv_rows of the files at a path."""
+    return flv_rows(_files(spark, path), payload)
+
+
+def flv_rows(files: DataFrame, payload: bool = True) -> DataFrame:
+    """One row for each tag of files(path, content): stream, time, size, key flag, header fields of audio and video, payload.
 
     The composition time of a video tag is part of its time; durations are those
     of each stream.
     """
-    tags = _records(spark, path, flv_tags, True)
+    tags = _records(files, flv_tags, True)
     kind = T.named({8: "audio", 9: "video", 18: "script"}, F.col("code"))
     video, audio = F.when(F.col("code") == 9, headers.flv_video(F.col("payload"))), F.when(F.col("code") == 8, headers.flv_audio(F.col("payload")))
     rows = tags.select("path", "seq", "at", kind.alias("stream_id"), "size", F.col("stamp").alias("ms"), video.alias("video"), audio.alias("audio"), (F.col("payload") if payload else F.lit(None).cast("binary")).alias("payload"), "error")
@@ -166,8 +171,13 @@ def flv(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
 
 
 def mpegps(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """One row for each pack, system header and packet with its fields."""
-    rows = _records(spark, path, program_packets, payload)
+    """mpegps_rows of the files at a path."""
+    return mpegps_rows(_files(spark, path), payload)
+
+
+def mpegps_rows(files: DataFrame, payload: bool = True) -> DataFrame:
+    """One row for each pack, system header and packet with its fields, of files(path, content)."""
+    rows = _records(files, program_packets, payload)
     kind = headers.stream_class(F.col("code"))
     return rows.select(
         "path", "seq", "at", "code", "size", kind["kind"].alias("kind"), kind["number"].alias("number"),
@@ -177,13 +187,23 @@ def mpegps(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
 
 
 def mpa(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """One row for each MPEG audio frame with its header."""
-    return _records(spark, path, mpa_frames, payload).select("path", "seq", "at", "size", headers.mpa_header(F.col("head")).alias("header"), "payload", "error")
+    """mpa_rows of the files at a path."""
+    return mpa_rows(_files(spark, path), payload)
+
+
+def mpa_rows(files: DataFrame, payload: bool = True) -> DataFrame:
+    """One row for each MPEG audio frame with its header, of files(path, content)."""
+    return _records(files, mpa_frames, payload).select("path", "seq", "at", "size", headers.mpa_header(F.col("head")).alias("header"), "payload", "error")
 
 
 def ac3(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """One row for each AC-3 frame with its sync information."""
-    return _records(spark, path, ac3_frames, payload).select("path", "seq", "at", "size", headers.ac3_header(F.col("head")).alias("header"), "payload", "error")
+    """ac3_rows of the files at a path."""
+    return ac3_rows(_files(spark, path), payload)
+
+
+def ac3_rows(files: DataFrame, payload: bool = True) -> DataFrame:
+    """One row for each AC-3 frame with its sync information, of files(path, content)."""
+    return _records(files, ac3_frames, payload).select("path", "seq", "at", "size", headers.ac3_header(F.col("head")).alias("header"), "payload", "error")
 
 
 def wav(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
@@ -205,10 +225,15 @@ def screen_stream(spark: SparkSession, per_second: int = 10) -> DataFrame:
 
 
 def ranges(spark: SparkSession, path: str, start: int, length: int) -> DataFrame:
-    """path, size and `length` bytes from `start` of each file; a negative start counts from the end."""
+    """range_rows of the files at a path."""
+    return range_rows(_files(spark, path), start, length)
+
+
+def range_rows(files: DataFrame, start: int, length: int) -> DataFrame:
+    """path, size and `length` bytes from `start` of each of files(path, content); a negative start counts from the end."""
     size = F.octet_length("content").cast("bigint")
     first = F.lit(start) if start >= 0 else F.greatest(size + start, F.lit(0)).cast("int")
-    return _files(spark, path).select("path", size.alias("size"), F.substring("content", first + 1, F.lit(length)).alias("data"))
+    return files.select("path", size.alias("size"), F.substring("content", first + 1, F.lit(length)).alias("data"))
 
 
 def catalog(rows: DataFrame) -> DataFrame:

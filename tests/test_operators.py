@@ -120,3 +120,23 @@ def test_registered_transforms(spark):
     assert rows(out, "display_seq", "decode_seq") == [(0, 1), (1, 3), (2, 2)]
     with pytest.raises(ValueError):
         pipeline.apply("mixer", df)
+
+
+def test_last_known_across_blocks(spark):
+    draw = [(s, n, n % 7 == 3 and n or None) for s in ("a", None) for n in (0, 1, 2, 3, 5, 9, 10, 11, 24, 25, 31, 40, 59, 60)]
+    df = spark.createDataFrame(draw, "s string, n long, v long")
+    for before in (False, True):
+        got = {(s, n): x for s, n, _, x in rows(timeline.last_known(df, ["s"], "n", F.col("v"), "x", before, width=10))}
+        for s, n, _ in draw:
+            known = [v for t, m, v in draw if t == s and v is not None and (m < n or m == n and not before)]
+            assert got[s, n] == (known[-1] if known else None)
+    assert rows(timeline.last_known(df.limit(0), ["s"], "n", F.col("v"), "x")) == []
+
+
+def test_durations_and_fills_do_not_depend_on_blocks(spark):
+    df = spark.createDataFrame([(n, n * n if n % 4 else None) for n in range(50)], "n long, pts long")
+    for width in (1, 7, 1000):
+        durations = dict(rows(timeline.lag_duration(df, [], "n", "pts", width=width), "n", "dur_hns"))
+        assert all(durations[n] == (None if n % 4 == 0 else n * n - (0 if n % 4 == 1 else (n - 1) ** 2)) for n in range(50))
+        filled = dict(rows(timeline.gap_fill(df, [], "n", "pts", F.lit(5), width=width), "n", "filled"))
+        assert all(filled[n] == (n * n if n % 4 else None if n == 0 else (n - 1) ** 2 + 5) for n in range(50))
