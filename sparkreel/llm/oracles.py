@@ -110,3 +110,27 @@ good AS (SELECT doc_id, kind, rank, stop - length(x) AS start, stop FROM placed
   WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15 ELSE true END),
 summed AS (SELECT doc_id, {counts}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM good GROUP BY doc_id)
 SELECT doc_id, {said}, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN summed USING (doc_id)"""
+
+
+def listed_urls(rules: tuple) -> str:
+    """Host, path and rule of every page."""
+    fits = ", ".join(f"('{host}', '{path}')" for host, path, _ in rules)
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+r(name, start) AS (VALUES {fits}),
+f AS (SELECT page_id, arg_max(name || start, length(name || start)) AS rule FROM h JOIN r ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY page_id)
+SELECT page_id, host, path, rule FROM h LEFT JOIN f USING (page_id)"""
+
+
+def media_payloads(frame: int) -> str:
+    """Sizes and digest of the payload that is read back from every stored text."""
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, length(h) // 2 AS n, greatest(1, (length(h) // 2 + {frame - 1}) // {frame}) * {frame} AS m FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(m AS BIGINT) AS payload_bytes, sha256(unhex(h || repeat('FF', CAST(m - n AS BIGINT)))) AS payload_sha256 FROM n"""
+
+
+def source_tokens() -> str:
+    """Tokens and documents of every source."""
+    return f"""SELECT coalesce(source, '') AS source, CAST(sum(len({words("coalesce(text, '')")})) AS BIGINT) AS tokens, count(*) AS documents FROM documents GROUP BY coalesce(source, '')"""

@@ -70,6 +70,22 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(_table(spark, folder, "documents"))
 
 
+def media_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """What SQL can say of op6_media."""
+    return op6_media(spark, folder).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """What SQL can say of op7_url_filter."""
+    return op7_url_filter(spark, folder).select("page_id", "host", "path", "rule")
+
+
+def mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """The source totals that op8_mixing begins with."""
+    docs = _table(spark, folder, "documents")
+    return mixing.source_tokens(docs.select("source", mixing.token_count(F.col("text")).alias("n_tokens")))
+
+
 def pii_base(spark: SparkSession, folder: str) -> DataFrame:
     """What SQL can say of op10_pii."""
     return op10_pii(spark, folder).drop("spans", "n_found")
@@ -87,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": op9_near_dedup,
     "op10_pii": op10_pii,
     # Columns of an operator that SQL can express, where it cannot express all.
+    "media_payloads": media_payloads,
+    "url_rules": url_rules,
+    "mixing_sources": mixing_sources,
     "pii_base": pii_base,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -95,5 +114,8 @@ ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": oracles.substring_dedup(50),
     "op4_decontaminate": oracles.leaks(5, 80),
     "op9_near_dedup": oracles.near_duplicates(3, 85),
+    "media_payloads": oracles.media_payloads(media.FRAME),
+    "url_rules": oracles.listed_urls(url_filter.LISTED),
+    "mixing_sources": oracles.source_tokens(),
     "pii_base": oracles.personal_data(),
 }
