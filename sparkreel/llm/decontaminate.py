@@ -11,8 +11,8 @@ long it is, so the search loses nothing. A document probes with the shingles
 below a partition's largest sketch value, and only partitions whose items it is
 large enough to hold. Candidates are verified on the full sets.
 
-Sketches up to INDEX_LIMIT hashes travel with the tasks; beyond that size the
-search is a shuffled join on the hash.
+Items up to INDEX_LIMIT shingles are broadcast; beyond that size the search is a
+shuffled join on the hash.
 """
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import text_column
+from .common import cut, text_column
 
 INDEX_LIMIT = 2_000_000
 _SLOTS = 1 << 22
@@ -66,13 +67,17 @@ def sketched_items(items: DataFrame, k: int, percent: int) -> DataFrame:
 class _Index:
     """Sketches of all items: partitions by size, a hash filter, postings."""
 
-    def __init__(self, rows: list, percent: int):
-        self.ids = np.array([r["item_id"] for r in rows], np.int64)
-        self.sets = [np.array(r["shingles"], np.int64).view(np.uint64) for r in rows]
+    def __init__(self, items: pa.Table, percent: int):
+        def lists(name: str) -> list[np.ndarray]:
+            return [x for part in items[name].chunks for x in np.split(part.flatten().to_numpy().view(np.uint64), np.cumsum(part.value_lengths().to_numpy())[:-1])]
+
+        items = pa.Table.from_batches([b for b in items.to_batches() if b.num_rows], items.schema)
+        self.ids = items["item_id"].to_numpy()
+        self.sets = lists("shingles")
         self.sizes = np.array([len(x) for x in self.sets], np.int64)
         self.least = needed(self.sizes, percent)
         part = np.floor(np.log2(np.maximum(self.sizes, 1))).astype(int)
-        hashes = [np.array(r["sketch"], np.int64).view(np.uint64) for r in rows]
+        hashes = lists("sketch")
         self.partitions = []
         for p in np.unique(part):
             own = np.flatnonzero(part == p)
@@ -95,8 +100,9 @@ class _Index:
         return found
 
 
-def _search_task(index: _Index, k: int):
+def _search_task(shared: Broadcast, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             out = []
@@ -149,13 +155,14 @@ def leaks(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80, inde
     id and text give repeated results. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).where("doc_id is not null")
-    sketched = sketched_items(items, k, percent)
-    size = sketched.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n"), F.max(F.element_at("sketch", -1)).alias("top")).first()["n"]
+    sketched = cut(sketched_items(items, k, percent), "items")
+    size = sketched.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
     if size <= index_limit:
-        rows = sketched.collect()  # at most index_limit hashes
-        if not rows:
+        table = sketched.toArrow()  # at most index_limit hashes
+        if not table.num_rows:
             return _scored(docs.sparkSession.createDataFrame([], _PAIRS))
-        return _scored(docs.mapInArrow(_search_task(_Index(rows, percent), k), _PAIRS))
+        index = docs.sparkSession.sparkContext.broadcast(_Index(table, percent))
+        return _scored(docs.mapInArrow(_search_task(index, k), _PAIRS))
     # Unsigned order of the last sketch value: flip the sign bit.
     top = sketched.agg(F.max(F.element_at("sketch", -1).bitwiseXOR(F.lit(-(1 << 63)))).alias("top")).first()["top"]
     probes = docs.mapInArrow(_probe_task(k, (top ^ -(1 << 63)) % (1 << 64)), "doc_id long, hash long")
