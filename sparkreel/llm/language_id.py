@@ -6,8 +6,9 @@ those that have not) gives a margin. Decoding picks the codeword with the
 smallest loss, where a bit's loss is weighted by how reliable the bit was on the
 training rows. A small distance to the runner-up flags the text as ambiguous.
 
-Training uses at most about `rows_per_language` rows of each language, chosen by
-a hash of the id. Prediction reads whole texts.
+Training uses at most about `rows_per_language` rows of each of the
+`max_languages` most frequent languages, chosen by a hash of the id; rarer names
+are not learned. Prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import text_column
+from .common import discard, stored, text_column
 
 ROWS_PER_LANGUAGE = 5_000
+#: Languages that a model has at most. Its tables have SLOTS numbers for each.
+MAX_LANGUAGES = 256
 SLOTS = 1 << 14
 #: Codes of random bits beyond this many languages; all distinct splits up to it.
 EXHAUSTIVE = 5
@@ -52,9 +55,15 @@ def codewords(n: int) -> np.ndarray:
         splits = [[1, *(1 if s >> i & 1 else -1 for i in range(n - 1))] for s in range(2 ** (n - 1) - 1)]
         return np.array(splits, np.int8).reshape(-1, n).T
     bits, draw = max(15, math.ceil(10 * math.log2(n))), np.random.default_rng(0)
-    tries = [draw.choice(np.array([-1, 1], np.int8), (n, bits)) for _ in range(200)]
-    apart = [(t[:, None] != t[None]).sum(2) + bits * np.eye(n, dtype=int) for t in tries]
-    return tries[int(np.argmax([a.min() for a in apart]))]
+    best, most = None, -1
+    for _ in range(200):
+        tried = draw.choice(np.array([-1, 1], np.int8), (n, bits))
+        agree = tried.astype(np.float32) @ tried.T
+        np.fill_diagonal(agree, -bits)
+        apart = (bits - agree.max()) / 2
+        if apart > most:
+            best, most = tried, apart
+    return best
 
 
 def _slots(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -83,52 +92,78 @@ def margins(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     return out
 
 
+_COUNTS = "language int, counts binary"
+
+
 def _count_task(languages: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(languages), SLOTS), np.int64)
         for batch in batches:
             which = pc.index_in(batch.column("lang"), pa.array(languages)).to_numpy(zero_copy_only=False)
             for rows, buf, offsets in K.sliced(batch.column("text"), 1 << 18):
-                own = np.repeat(which[rows.start : rows.stop], np.diff(offsets)).astype(np.int64)
-                counts += np.bincount(own * SLOTS + _slots(buf, offsets), minlength=counts.size).reshape(counts.shape)
-        yield pa.record_batch([pa.array([counts.tobytes()], pa.binary())], names=["counts"])
+                slots = _slots(buf, offsets)
+                for row, a, b in zip(rows, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    np.add.at(counts[which[row]], slots[a:b], 1)
+        some = np.flatnonzero(counts.any(axis=1))
+        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([counts[i].tobytes() for i in some], pa.binary())], names=["language", "counts"])
 
     return run
 
 
-def _margin_task(languages: list[str], weights: np.ndarray):
+def _sum_task(group: pa.Table) -> pa.Table:
+    total = np.zeros(SLOTS, np.int64)
+    for part in group["counts"]:
+        total += np.frombuffer(part.as_py(), np.int64)
+    return pa.table({"language": group["language"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _margin_task(languages: list[str], code: np.ndarray, weights: np.ndarray):
+    """Size of each training row's margin for each bit, and whether it has the wrong sign."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            which = pc.index_in(batch.column("lang"), pa.array(languages)).to_numpy(zero_copy_only=False)
             values = margins(batch.column("text"), weights)
-            yield pa.record_batch([batch.column("lang"), pa.array(values.tolist(), pa.list_(pa.float64()))], names=["lang", "margins"])
+            bits = np.tile(np.arange(code.shape[1], dtype=np.int32), len(values))
+            yield pa.record_batch([pa.array(bits), pa.array(np.abs(values).ravel()), pa.array((values * code[which] <= 0).astype(np.int32).ravel())], names=["bit", "size", "wrong"])
 
     return run
 
 
-def _sample(rows: DataFrame, rows_per_language: int) -> DataFrame:
-    """About rows_per_language rows of each language, by a hash of the id; all of a language with fewer."""
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+def _sample(rows: DataFrame, rows_per_language: int, max_languages: int) -> DataFrame:
+    """lang, text of about rows_per_language rows of each of the most frequent languages, by a hash of the id; all of a language with fewer.
+
+    Ties of frequency go to the first name. The broadcast table has max_languages rows at most.
+    """
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_languages)
     share = F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.col("n"))
     drawn = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return rows.join(F.broadcast(sizes.withColumn("share", share)), "lang").where(drawn < F.col("share")).select("lang", "text")
+    return rows.join(F.broadcast(sizes.select("lang", share.alias("share"))), "lang").where(drawn < F.col("share")).select("lang", "text")
 
 
-def train(rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, parts: int = 12) -> Model:
-    """rows(doc_id, text, lang). Languages are a small set by nature: their names, and a table of
-    SLOTS counts for each, come to the driver. Rows without text or lang teach nothing."""
+def train(rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, parts: int = 12, max_languages: int = MAX_LANGUAGES) -> Model:
+    """A model from rows(doc_id, text, lang); rows without one of them teach nothing.
+
+    The sample is stored once. To the driver come the names of the languages that
+    it has, max_languages at most, and a table of SLOTS counts for each. A language
+    whose few rows the draw leaves out is not learned.
+    """
     rows = rows.where("lang is not null and text is not null and doc_id is not null")
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    sample, sample_at = stored(_sample(rows, rows_per_language, max_languages).repartition(parts), "sample")
+    languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())  # at most max_languages
     code = codewords(len(languages))
     if code.size == 0:
+        discard(rows.sparkSession, sample_at)
         return Model(languages, code, np.zeros((SLOTS, 0), np.float32), np.ones(0), np.ones(0))
-    sample = _sample(rows, rows_per_language).repartition(parts)
-    tables = sample.mapInArrow(_count_task(languages), "counts binary").collect()  # at most `parts` tables
-    counts = np.sum([np.frombuffer(t["counts"], np.int64).reshape(len(languages), SLOTS) for t in tables], axis=0)
+    tables = sample.mapInArrow(_count_task(languages), _COUNTS).groupBy("language").applyInArrow(_sum_task, _COUNTS).collect()  # one for each language
+    counts = np.zeros((len(languages), SLOTS), np.int64)
+    for r in tables:
+        counts[r["language"]] = np.frombuffer(r["counts"], np.int64)
     chance = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
     weights = np.stack([np.log(chance[code[:, b] > 0].mean(0)) - np.log(chance[code[:, b] < 0].mean(0)) for b in range(code.shape[1])], axis=1).astype(np.float32)
-    signs = F.create_map(*[x for name, word in zip(languages, code, strict=True) for x in (F.lit(name), F.array(*[F.lit(int(v)) for v in word]))])
-    judged = sample.mapInArrow(_margin_task(languages, weights), "lang string, margins array<double>").select(F.posexplode(F.zip_with("margins", signs[F.col("lang")], lambda m, s: m * s)).alias("bit", "m"))
-    stats = {r["bit"]: r for r in judged.groupBy("bit").agg(F.avg(F.abs("m")).alias("scale"), F.avg((F.col("m") <= 0).cast("double")).alias("wrong")).collect()}
+    judged = sample.mapInArrow(_margin_task(languages, code, weights), "bit int, size double, wrong int")
+    stats = {r["bit"]: r for r in judged.groupBy("bit").agg(F.avg("size").alias("scale"), F.avg("wrong").alias("wrong")).collect()}  # one for each bit
+    discard(rows.sparkSession, sample_at)
     wrong = np.clip([stats[b]["wrong"] for b in range(code.shape[1])], 1e-3, 0.499)
     return Model(languages, code, weights, np.maximum([stats[b]["scale"] for b in range(code.shape[1])], 1e-9), np.log((1 - wrong) / wrong))
 
