@@ -11,8 +11,9 @@ from ..functions.sync import first_sync
 from ..operators import framing
 from ..sinks import images, wave
 from ..sources import containers
+from . import pipeline
 from .registry import query
-from .views import Tables
+from .views import PICTURES, PIXELS, SAMPLES, Tables
 
 #: Lines of an order, in the order of its file's records.
 _PLACE = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -217,3 +218,29 @@ def picture_times(t: Tables) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy(*_PLACE)
     rows = t.read("lineitem").select(F.col("l_orderkey").cast("string").alias("stream_id"), (F.row_number().over(w) - 1).cast("bigint").alias("decode_seq"), F.when(F.col("l_returnflag") == "A", "I").otherwise("P").alias("ptype"), F.col("l_partkey").alias("pts"), F.col("l_partkey").alias("dts"))
     return pictures.with_times(rows)
+
+
+@query(f"""WITH {PICTURES}, k AS (SELECT *, min(CASE WHEN ptype = 'I' THEN decode_seq END) OVER (PARTITION BY gop) AS first FROM pictures),
+g AS (SELECT *, sum(CASE WHEN ptype = 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY gop ORDER BY decode_seq ROWS UNBOUNDED PRECEDING) AS g FROM k WHERE decode_seq >= first)
+SELECT gop, decode_seq, row_number() OVER (PARTITION BY gop ORDER BY g, temporal_ref, decode_seq) - 1 AS display_seq FROM g""")
+def named_chain(t: Tables) -> DataFrame:
+    """Two registered transforms one after the other."""
+    return pipeline.chain(t.pictures(), "from_key", "reorder").select("gop", "decode_seq", "display_seq")
+
+
+@query(f"""WITH {PIXELS}, f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, y / 256.0::DOUBLE - 0.0625::DOUBLE AS y, u / 256.0::DOUBLE - 0.5::DOUBLE AS u, v / 256.0::DOUBLE - 0.5::DOUBLE AS v FROM pixels),
+c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest(least(y * 1.164::DOUBLE + v * 1.596::DOUBLE, 1::DOUBLE), 0::DOUBLE) AS r, greatest(least(y * 1.164::DOUBLE + u * (-0.391)::DOUBLE + v * (-0.813)::DOUBLE, 1::DOUBLE), 0::DOUBLE) AS g,
+greatest(least(y * 1.164::DOUBLE + u * 2.018::DOUBLE, 1::DOUBLE), 0::DOUBLE) AS b FROM f)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 1::DOUBLE - b AS r, 1::DOUBLE - r AS g, 1::DOUBLE - g AS b FROM c""")
+def named_effects(t: Tables) -> DataFrame:
+    """Registered picture effects with a parameter."""
+    out = pipeline.chain(t.pixels(), "to_rgb", ("swizzle", {"mode": 2}), "negative")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "r", "g", "b")
+
+
+@query(f"""WITH {SAMPLES}, a AS (SELECT * FROM samples WHERE stream_id = 'click'), b AS (SELECT * FROM samples WHERE stream_id = 'view')
+SELECT seq, a.pts_hns, greatest(least(a.payload + b.payload, 32767), -32768) AS mixed FROM a JOIN b USING (seq)""")
+def named_mixer(t: Tables) -> DataFrame:
+    """A registered transform with two inputs."""
+    s = t.samples()
+    return pipeline.apply("mixer", s.where("stream_id = 'click'"), s.where("stream_id = 'view'")).select("seq", "pts_hns", "mixed")

@@ -120,6 +120,9 @@ def test_registered_transforms(spark):
     assert rows(out, "display_seq", "decode_seq") == [(0, 1), (1, 3), (2, 2)]
     with pytest.raises(ValueError):
         pipeline.apply("mixer", df)
+    with pytest.raises(ValueError, match="no r, g, b"):
+        pipeline.apply("negative", df)
+    assert {"negative", "swizzle"} <= set(pipeline.names("video effect")) and "mixer" in pipeline.names()
 
 
 def test_last_known_across_blocks(spark):
