@@ -74,19 +74,37 @@ def unpack_keys(packed: bytes) -> np.ndarray:
 _DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
 
-def _pack_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one block and batch together, compressed."""
-    for batch in batches:
-        block = batch.column("block").to_numpy()
-        order = np.argsort(block, kind="stable")
-        out: dict[str, list] = {"block": [], "docs": []}
-        for a, b in _runs(block[order]):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, _DOCS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(pa.Table.from_batches([batch.select(["doc_id", "text"])]).take(pa.array(order[a:b])).cast(_DOCS))
-            out["block"].append(int(block[order[a]]))
-            out["docs"].append(sink.getvalue().to_pybytes())
-        yield pa.record_batch([pa.array(out["block"], pa.int32()), pa.array(out["docs"], pa.binary())], names=["block", "docs"])
+def _pack_task(blocks: int):
+    """Rows of one block and batch together, compressed.
+
+    A row's block follows from its hash and its number among the equal rows of its
+    partition: the same blocks whatever the order of the rows, and equal rows do not
+    meet in one block.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        for batch in batches:
+            hashes = batch.column("hash").to_numpy().view(np.uint64)
+            unique, back, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+            by = np.argsort(back, kind="stable")
+            number = np.empty(len(hashes), np.uint64)
+            number[by] = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+            number += np.array([seen.get(h, 0) for h in unique.tolist()], np.uint64)[back]
+            for h, n in zip(unique.tolist(), counts.tolist(), strict=True):
+                seen[h] = seen.get(h, 0) + n
+            block = ((K.mix(hashes + number * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            out: dict[str, list] = {"block": [], "docs": []}
+            for a, b in _runs(block[order]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, _DOCS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_table(pa.Table.from_batches([batch.select(["doc_id", "text"])]).take(pa.array(order[a:b])).cast(_DOCS))
+                out["block"].append(int(block[order[a]]))
+                out["docs"].append(sink.getvalue().to_pybytes())
+            yield pa.record_batch([pa.array(out["block"], pa.int32()), pa.array(out["docs"], pa.binary())], names=["block", "docs"])
+
+    return run
 
 
 def _docs(group: pa.Table) -> pa.Table:
@@ -207,7 +225,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, mi
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
     blocks = max(1, -(-input_bytes(docs) // block_bytes))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).mapInArrow(_pack_task, "block int, docs binary")
+    dealt = docs.withColumn("hash", F.xxhash64("doc_id", "text")).mapInArrow(_pack_task(blocks), "block int, docs binary")
     requests = dealt.groupBy("block").applyInArrow(_request_task(order, blocks), "bucket int, block int, n int, keys binary, counts binary")
     answers = requests.groupBy("bucket").applyInArrow(_count_task, "block int, n int, bucket int, counts binary")
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block"))

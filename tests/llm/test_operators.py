@@ -91,6 +91,23 @@ def test_backoff_edges(spark, docs):
     assert rows(lm_score.backoff_scores(empty(spark))) == []
 
 
+def test_equal_rows_are_dealt_to_different_blocks():
+    import pyarrow as pa
+
+    draw = np.random.default_rng(2)
+    hashes = np.r_[np.full(300, 5), draw.integers(0, 2**62, 100)]
+    dealt = []
+    for order in (np.arange(400), draw.permutation(400)):
+        batch = pa.record_batch([pa.array(hashes[order] % 1000), pa.array([f"t{h}" for h in hashes[order]]), pa.array(hashes[order])], names=["doc_id", "text", "hash"])
+        found = {}
+        for out in lm_score._pack_task(10)(iter([batch.slice(0, 150), batch.slice(150)])):
+            for block, docs in zip(out.column("block").to_pylist(), out.column("docs"), strict=True):
+                found.setdefault(block, []).extend(pa.ipc.open_stream(docs.as_py()).read_all()["text"].to_pylist())
+        dealt.append({b: sorted(t) for b, t in found.items()})
+    assert dealt[0] == dealt[1]
+    assert max(t.count("t5") for t in dealt[0].values()) < 60 and sum(map(len, dealt[0].values())) == 400
+
+
 def test_packing_round_trips():
     keys = np.array([0, 1, 5, 5, 2**40, 2**48 - 1], np.uint64)
     assert lm_score.unpack_keys(lm_score.pack_keys(keys)).tolist() == keys.tolist()
@@ -530,14 +547,20 @@ def test_mixing_edges(spark, docs):
 # 9 Near dedup
 
 
-@pytest.mark.parametrize(("k", "percent", "block"), [(3, 85, 10**6), (5, 80, 10**6), (3, 85, 700), (2, 60, 1500)])
-def test_near_duplicates(docs, k, percent, block):
+@pytest.mark.parametrize(("k", "percent", "block", "many"), [(3, 85, 10**6, 10**6), (5, 80, 10**6, 7), (3, 85, 700, 10**6), (2, 60, 1500, 20)])
+def test_near_duplicates(docs, k, percent, block, many):
     data = corpus()
-    got = {i: (n, c, keep) for i, n, c, keep in rows(near_dedup.near_duplicates(docs(data), k=k, percent=percent, block_shingles=block))}
+    got = {i: (n, c, keep) for i, n, c, keep in rows(near_dedup.near_duplicates(docs(data), k=k, percent=percent, block_shingles=block, block_documents=many))}
     want = brute.near(data, k, percent)
     assert got == {i: (len(brute.shingles(t, k)), want[i], want[i] == i) for i, t in data}
 
 
+def test_small_sets_at_the_threshold(docs):
+    data = [(n, " ".join(f"w{j}" for j in range(n + 2))) for n in range(1, 12)] + [(20 + n, " ".join(f"w{j}" for j in range(n + 3))) for n in range(1, 12)]
+    got = dict(rows(near_dedup.near_duplicates(docs(data), k=3, percent=85), "doc_id", "component_id"))
+    assert got == brute.near(data, 3, 85)
+
+
 def test_near_edges(spark, docs):
     got = rows(near_dedup.near_duplicates(docs(ODD + [(7, "same words here again"), (7, "é ü ß " * 5)]), k=3, percent=85), "doc_id", "component_id", "kept")
     # Document 7 has a text of document 3 and one of document 6, which links all three.
