@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import shutil
+import posixpath
 import uuid
 from dataclasses import dataclass
 
@@ -11,6 +10,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 
+def _place(folder: str):
+    """(file system, path) of a local folder or of a URL that Arrow knows, such as file, hdfs or s3."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    return FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (LocalFileSystem(), folder)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     names: list[str]
@@ -21,33 +27,39 @@ class _Writer(DataSourceWriter):
 
     def __init__(self, folder: str):
         self.folder = folder
-        self.pending = os.path.join(folder, f"_pending-{uuid.uuid4().hex}")
+        self.pending = f"_pending-{uuid.uuid4().hex}"
 
     def write(self, rows) -> Written:
-        own = os.path.join(self.pending, uuid.uuid4().hex)
-        os.makedirs(own, exist_ok=True)
+        files, base = _place(self.folder)
+        own = posixpath.join(base, self.pending, uuid.uuid4().hex)
+        files.create_dir(own, recursive=True)
         names = []
         for row in rows:
-            if os.path.basename(row["name"]) != row["name"]:
+            if posixpath.basename(row["name"]) != row["name"]:
                 raise ValueError(f"not a file name: {row['name']!r}")
-            path = os.path.join(own, row["name"])
-            with open(path, "wb") as f:
-                f.write(row["content"] or b"")
-            names.append(path)
+            names.append(posixpath.join(own, row["name"]))
+            with files.open_output_stream(names[-1]) as f:
+                f.write(bytes(row["content"] or b""))
         return Written(names)
 
     def commit(self, messages) -> None:
+        files, base = _place(self.folder)
         for message in messages:
             for path in message.names if message else []:
-                os.replace(path, os.path.join(self.folder, os.path.basename(path)))
-        shutil.rmtree(self.pending, ignore_errors=True)
+                files.move(path, posixpath.join(base, posixpath.basename(path)))
+        self.abort(messages)
 
     def abort(self, messages) -> None:
-        shutil.rmtree(self.pending, ignore_errors=True)
+        from pyarrow.fs import FileType
+
+        files, base = _place(self.folder)
+        pending = posixpath.join(base, self.pending)
+        if files.get_file_info(pending).type == FileType.Directory:
+            files.delete_dir(pending)
 
 
 class NamedFiles(DataSource):
-    """df.write.format("namedfiles").mode("append").save(folder); the folder is on a file system that all executors mount."""
+    """df.write.format("namedfiles").mode("append").save(folder); the folder is local to all executors, or a URL of a store that Arrow writes to."""
 
     @classmethod
     def name(cls) -> str:
