@@ -202,10 +202,9 @@ def repeated_spans(docs: DataFrame, window: int = 50, seed: int = SEED) -> DataF
     single = edges.drop("words").join(owners, ["seed", "edge"]).where("doc_id > first.doc_id").drop("edge")
     # Other places of an opened segment in documents with the id of the one that it was opened in.
     again = later.where(other).select("seed", F.col("source_id").alias("doc_id"), F.col("source_row").alias("row"), "source_at", F.struct("row", "at").alias("place"))
-    again = again.groupBy("seed", "doc_id", "row", "source_at").agg(F.collect_set("place").alias("again"))
-    single = single.join(again, ["seed", "doc_id", "row", "source_at"], "left")
-    places = F.concat(F.array(F.struct("row", F.col("source_at").alias("at"))), F.coalesce("again", F.array().cast("array<struct<row: long, at: int>>")))
-    single = single.select("doc_id", "begin", "end", "first", F.explode(places).alias("place")).select(
+    own = single.withColumn("place", F.struct("row", F.col("source_at").alias("at")))
+    single = own.unionByName(single.join(again, ["seed", "doc_id", "row", "source_at"]))
+    single = single.select(
         "doc_id", F.col("place.row").alias("row"), (F.col("place.at") + F.col("begin")).alias("start"), (F.col("place.at") + F.col("end")).alias("stop"),
         F.col("first.doc_id").alias("source_id"), F.col("first.at").alias("source_at"), F.lit(window).alias("checked"), F.col("first.words").alias("words"),
     )
