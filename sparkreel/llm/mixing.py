@@ -125,10 +125,12 @@ def plan(docs: DataFrame, budget: int | None, entropy_gain: float, max_repeats:
     discard(spark, sources_at)
     placed = _by_source(docs, budgets, most_bytes).withColumn("block", block_of("source", "doc_id", F.col("blocks"), seed))
     blocks = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"), F.first("whole").alias("whole"), F.first("rest").alias("rest"), F.first("blocks").alias("blocks"))
-    blocks = _ends(blocks.withColumn("block_key", _key(F.lit(seed), F.col("source"), F.col("whole"), F.col("block"))), slice_blocks)
+    blocks, blocks_at = stored(blocks.withColumn("block_key", _key(F.lit(seed), F.col("source"), F.col("whole"), F.col("block"))), "blocks")
+    blocks = _ends(blocks, slice_blocks)
     room = (F.col("rest") - F.col("end") + F.col("tokens")).alias("room")
     edges = blocks.where("end > rest").groupBy("source").agg(F.min(F.struct("block_key", "block", room)).alias("edge"))
     edges, edges_at = stored(edges.select("source", F.col("edge.block_key").alias("edge_key"), F.col("edge.block").alias("edge"), "edge.room"), "edges")
+    discard(spark, blocks_at)
     ahead = _by_source(docs, budgets.select("source", "whole", "blocks").join(edges, "source"), most_bytes)
     ahead = ahead.where((F.col("room") > 0) & (block_of("source", "doc_id", F.col("blocks"), seed) == F.col("edge")))
     inside = Window.partitionBy("source").orderBy("doc_key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
