@@ -482,13 +482,10 @@ def test_mixture_meets_its_targets(spark, gain, repeats):
         assert n - whole[s] in (0, 1)
 
 
-@pytest.mark.parametrize(("budget", "slices", "most"), [(None, 10_000, 10**7), (None, 2, 0), (9000, 3, 0), (40_000, 1, 10**7)])
-def test_drawn_documents_by_brute_force(spark, budget, slices, most):
-    data, df = mixture(spark)
-    out = mixing.mix(df, budget=budget, block_tokens=300, slice_blocks=slices, most_bytes=most)
+def brute_draws(spark, df, budget, block_tokens):
+    """(source, doc_id, epoch) drawn from df by the plan's definition; only the hashes and the exponent come from Spark."""
     counted = df.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), mixing.token_count(F.col("text")).alias("n_tokens"))
-    plan = mixing.plan(counted, budget, 0.5, 4.0, 300, 0)
-    # Only the hashes come from Spark.
+    plan = mixing.plan(counted, budget, 0.5, 4.0, block_tokens, 0)
     keyed = counted.join(plan, "source").withColumn("block", mixing.block_of("source", "doc_id", F.col("blocks"), 0))
     keyed = keyed.select("source", "doc_id", "n_tokens", "whole", "block", F.xxhash64(F.lit(0), "source", "whole", "block").alias("block_key"), F.xxhash64(F.lit(0), "whole", "doc_id", "n_tokens").alias("doc_key"))
     by_source = {}
@@ -519,7 +516,14 @@ def test_drawn_documents_by_brute_force(spark, budget, slices, most):
                 rest -= r["n_tokens"]
                 want.append((source, r["doc_id"], whole))
             break
-    assert rows(out, "source", "doc_id", "epoch") == sorted(want)
+    return sorted(want)
+
+
+@pytest.mark.parametrize(("budget", "slices", "most"), [(None, 10_000, 10**7), (None, 2, 0), (9000, 3, 0), (40_000, 1, 10**7)])
+def test_drawn_documents_by_brute_force(spark, budget, slices, most):
+    data, df = mixture(spark)
+    out = mixing.mix(df, budget=budget, block_tokens=300, slice_blocks=slices, most_bytes=most)
+    assert rows(out, "source", "doc_id", "epoch") == brute_draws(spark, df, budget, 300)
 
 
 def test_a_budget_beyond_the_repeats_is_an_error(spark):
