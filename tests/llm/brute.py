@@ -135,7 +135,8 @@ def luhn(digits):
     return sum(d[0::2] + [sum(divmod(2 * c, 10)) for c in d[1::2]]) % 10 == 0
 
 
-def personal(text):
+def base_spans(text):
+    """(start, rank, stop, kind) of the confirmed matches."""
     out = []
     for rank, (kind, pattern) in enumerate(PATTERNS.items()):
         for m in re.finditer(pattern, text or ""):
@@ -143,4 +144,78 @@ def personal(text):
             ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else True, "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
             if ok:
                 out.append((m.start(), rank, m.end(), kind))
-    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+    return sorted(out)
+
+
+def joined(spans):
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
+
+
+def personal(text):
+    return joined(base_spans(text))
+
+
+def _contexts(text, start, stop):
+    """Patterns of a match: what stands before and after it, up to the neighbouring words."""
+    spans = [m.span() for m in SPACE.finditer(text)]
+    first = next(i for i, (a, b) in enumerate(spans) if a <= start < b)
+    last = next(i for i, (a, b) in enumerate(spans) if a < stop <= b)
+    left = text[spans[first][0] : start] or (text[slice(*spans[first - 1])] if first else "")
+    right = text[stop : spans[last][1]] or (text[slice(*spans[last + 1])] if last + 1 < len(spans) else "")
+    if not left:
+        return []
+    left, right = left.lower(), right.lower()
+    return [f"L {left}"] + ([f"B {left} {right}"] if right else [])
+
+
+def extracted(texts, trust, support):
+    """Base spans and those of unseen identifiers in the contexts of trusted patterns, for each text."""
+    kinds = list(PATTERNS)
+    bases = [base_spans(t) for t in texts]
+    edges, seeds, found = set(), set(), []
+    for t, base in zip(texts, bases, strict=True):
+        for a, _, b, kind in base:
+            seeds.add((t[a:b], kind))
+            edges |= {(p, t[a:b]) for p in _contexts(t, a, b)}
+        own = []
+        for m in SPACE.finditer(t or ""):
+            if re.search("[0-9]", m[0]):
+                core = re.sub(r"^[\W_]+|[\W_]+$", "", m[0])
+                start = m.start() + m[0].index(core)
+                if all(b <= start or a >= start + len(core) for a, _, b, _ in base):
+                    patterns = _contexts(t, *m.span())
+                    own.append((start, start + len(core), patterns))
+                    edges |= {(p, core) for p in patterns}
+        found.append(own)
+    values_of = {}
+    for p, v in edges:
+        values_of.setdefault(p, set()).add(v)
+    scores, before = dict.fromkeys(seeds, 1.0), None
+    while True:
+        patterns = {}
+        for p, values in values_of.items():
+            for kind in kinds:
+                known = [scores[v, kind] for v in values if (v, kind) in scores]
+                score = round(sum(known) / len(values), 9)
+                if len(known) >= support and score >= trust:
+                    patterns[p, kind] = score
+        now = len(patterns), sum(patterns.values())
+        if before and now[0] == before[0] and now[1] - before[1] <= 1e-6:
+            break
+        before, scores = now, dict.fromkeys(seeds, 1.0)
+        for kind in kinds:
+            wrong = {}
+            for p, v in edges:
+                if (p, kind) in patterns and (v, kind) not in seeds:
+                    wrong[v] = wrong.get(v, 1.0) * max(1 - patterns[p, kind], 1e-9)
+            scores |= {(v, kind): round(1 - w, 9) for v, w in wrong.items() if round(1 - w, 9) >= trust}
+    out = []
+    for base, own in zip(bases, found, strict=True):
+        spans = list(base)
+        for a, b, ps in own:
+            told = [(patterns[p, kind], -rank) for p in ps for rank, kind in enumerate(kinds) if (p, kind) in patterns]
+            if told:
+                rank = -max(told)[1]
+                spans.append((a, rank, b, kinds[rank]))
+        out.append(joined(spans))
+    return out

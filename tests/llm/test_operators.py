@@ -367,6 +367,13 @@ def test_media_columns(spark, docs):
     for t, r in zip(texts, out.itertuples(), strict=True):
         p = t + b"\xff" * (-len(t) % 576 or (0 if t else 576))
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        power, middle, crossings = [0] * (len(p) // 576), 0, 0
+        for n, byte in enumerate(p):
+            power[n // 576] += (byte - 128) ** 2
+            middle += byte - 128
+            crossings += n > 0 and (byte < 128) != (p[n - 1] < 128)
+        loudest = power.index(max(power)) * 576 * 1000 // 8000
+        assert r.feature == f"frames={len(power)};ms={len(p) * 1000 // 8000};mean={middle // len(p)};rms={int((sum(power) // len(p)) ** 0.5)};crossings={crossings};loudest_ms={loudest}"
     assert out.media_sha256[7] == out.media_sha256[8]
     broken = spark.createDataFrame([(1, 3, bytearray(b"OggX")), (2, 0, None)], "doc_id long, n_bytes long, media binary")
     assert media.described(broken).where("error is not null and payload_bytes is null").count() == 2
@@ -611,6 +618,24 @@ def test_base_spans_of_random_texts(docs):
     assert got == [(i, hashlib.sha256(brute.personal(t).encode()).hexdigest()) for i, t in data]
 
 
+@pytest.mark.parametrize(("trust", "support"), [(0.8, 3), (0.5, 2), (0.25, 1)])
+def test_extraction_by_brute_force(docs, trust, support):
+    draw = random.Random(21)
+    labels = ["tel:", "Tel:", "mail", "(host", "id7:", "card no", "room", "the"]
+    real = {"tel:": "+1 (017) 555-77{}", "Tel:": "+1 (017) 555-77{}", "mail": "a{}@b.org", "(host": "10.0.0.{}", "card no": "4111 1111 1111 1111", "id7:": "+49 30 123456{}", "room": "12{}", "the": "a{}b"}
+    texts = [None, "", " 5", "x"]
+    for _ in range(150):
+        part = []
+        for _ in range(draw.randint(1, 3)):
+            label = draw.choice(labels)
+            value = real[label].format(draw.randint(10, 24)) if draw.random() < 0.8 else f"{draw.randint(100, 102)}"
+            part += [draw.choice(VOCABULARY[:5]), label, value + draw.choice(["", ",", ".", ")"]), draw.choice(["end", "ok;", ""])]
+        texts.append(" ".join(part))
+    got = rows(pii.personal_data(docs(list(enumerate(texts))), trust, support), "doc_id", "spans", "n_found")
+    assert [s for _, s, _ in got] == brute.extracted([t or "" for t in texts], trust, support)
+    assert sum(n for *_, n in got) > 10
+
+
 def test_patterns_find_unseen_identifiers(spark, docs):
     seeds = [(i, f"{prose(5)} hotline: +1 (017) 555-77{10 + i} open") for i in range(20)]
     hidden = [(100 + i, f"{prose(5)} hotline: 555 {i} open and badge 00{i}") for i in range(2)]
