@@ -73,6 +73,21 @@ def test_components(spark):
     assert got == brute.components({x for e in real for x in e}, real)
 
 
+def test_a_cluster_must_name_the_shared_folder(spark):
+    class Session:
+        """What shared_folder reads of a session."""
+
+        def __init__(self, master, folder=None):
+            self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+            self.sparkContext = type("Context", (), {"master": master, "applicationId": "app-1"})
+
+    assert common.shared_folder(Session("spark://host:7077", "hdfs:///x/")) == "hdfs:///x"
+    assert common.shared_folder(Session("local[*]")) == common.shared_folder(Session("local"))
+    for master in ("spark://host:7077", "local-cluster[3,2,1024]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_folder(Session(master))
+
+
 # 1 Language-model scores
 
 
