@@ -16,11 +16,15 @@ in a register with about their Jaccard similarity.
 Only links that join different components are searched for, so large groups
 need few comparisons: every member is compared with a pivot, and those that the
 pivot does not link are compared with everything that shares a bucket. A cluster
-that is too large for a task is compared inside blocks; then each component's
-first document in a bucket with the bucket's pivot; and last, in buckets that
-still hold several components, the documents outside the largest one with the
-others. Blocks of a group of near copies become one component in the second
-step, so the work follows the documents that are not linked, not the group.
+that is too large for a task is compared inside blocks, in which documents with
+the same largest bucket stay together; then each component's first document in a
+bucket with the bucket's pivot; and last, in buckets that still hold several
+components, the documents outside the largest one with the others. Blocks of a
+group of near copies become one component in the second step, so the work follows
+the documents that are not linked, not the group.
+
+Different sets of which one has n elements have a similarity of n / (n + 1) at
+most: sets too small for the threshold take no part in the search.
 """
 
 from __future__ import annotations
@@ -45,8 +49,9 @@ MISS = 1e-7
 SLACK = 0.1
 #: Points that a step generates at most, unless it has more elements.
 STEP_POINTS = 30_000
-#: Shingles of one block of a cluster; larger clusters are compared block by block.
+#: Shingles and documents of one block of a cluster; larger clusters are compared block by block.
 BLOCK_SHINGLES = 6_000_000
+BLOCK_DOCUMENTS = 1_000
 
 
 def band_rows(threshold: float, registers: int = REGISTERS, miss: float = MISS) -> int:
@@ -288,12 +293,12 @@ def _pair_task(k: int, percent: int, rows: int = 64):
 
 
 def _open_buckets(keyed: DataFrame, found: DataFrame) -> DataFrame:
-    """Postings of the buckets that hold several components, with label, home and pivot.
+    """Postings of the buckets of keyed(doc_id, cluster, keys) that hold several components, with label, home and pivot.
 
     home is the component with the most documents in the bucket, pivot its smallest one there.
     """
     labels = components(found).withColumnRenamed("node", "doc_id")
-    own = keyed.join(labels, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+    own = keyed.join(labels, "doc_id", "left").select("doc_id", "cluster", F.coalesce("component", "doc_id").alias("label"), F.explode("keys").alias("key"))
     held = own.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("head"))
     homes = held.groupBy("key").agg(F.max(F.struct("n", "head", "label")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     return own.join(homes.select("key", F.col("most.label").alias("home"), F.col("most.head").alias("pivot")), "key")
@@ -305,11 +310,18 @@ def _pivot_pairs(opened: DataFrame) -> DataFrame:
     return heads.select("a", "b").distinct()
 
 
-def _grid(opened: DataFrame, totals: DataFrame, block_shingles: int) -> DataFrame:
+def _parts(shingles, documents, block_shingles: int, block_documents: int):
+    """Blocks for so many shingles and documents."""
+    return F.ceil(F.greatest(shingles / block_shingles, documents / block_documents)).cast("int")
+
+
+def _grid(opened: DataFrame, totals: DataFrame, block_shingles: int, block_documents: int) -> DataFrame:
     """doc_id, label, few, cluster, cell: blocks of documents outside a bucket's home (few) against blocks of all in open buckets."""
     rows = opened.groupBy("doc_id", "cluster", "label").agg(F.bool_or(F.col("label") != F.col("home")).alias("strays"))
     rows = rows.join(totals.withColumnRenamed("node", "doc_id"), "doc_id")
-    blocks = rows.groupBy("cluster").agg(F.ceil(F.sum(F.when(F.col("strays"), F.col("n"))) / block_shingles).cast("int").alias("high"), F.ceil(F.sum("n") / block_shingles).cast("int").alias("wide"))
+    high = _parts(F.sum(F.when(F.col("strays"), F.col("n"))), F.count_if("strays"), block_shingles, block_documents)
+    wide = _parts(F.sum("n"), F.count(F.lit(1)), block_shingles, block_documents)
+    blocks = rows.groupBy("cluster").agg(high.alias("high"), wide.alias("wide"))
     rows = rows.join(blocks, "cluster")
 
     def dealt(few: bool) -> DataFrame:
@@ -321,7 +333,7 @@ def _grid(opened: DataFrame, totals: DataFrame, block_shingles: int) -> DataFram
     return dealt(True).unionByName(dealt(False))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float = SLACK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float = SLACK, block_shingles: int = BLOCK_SHINGLES, block_documents: int = BLOCK_DOCUMENTS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text).
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their
@@ -336,29 +348,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float
     prints = ["n_shingles", "print_a", "print_b"]
     filled = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy(*prints).agg(F.min("doc_id").alias("rep"))
-    reps = classes.join(filled.withColumnRenamed("doc_id", "rep"), [*prints, "rep"]).select(F.col("rep").alias("doc_id"), "n_shingles", "keys")
+    linkable = f"n_shingles * {100 - percent} >= {percent}"
+    reps = classes.where(linkable).join(filled.withColumnRenamed("doc_id", "rep"), [*prints, "rep"]).select(F.col("rep").alias("doc_id"), "n_shingles", "keys")
     same = filled.drop("keys").join(classes, prints).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
     keyed = reps.select("doc_id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
-    pivots = keyed.join(shared.select("key", "a"), "key").where("doc_id <> a").groupBy(F.col("doc_id").alias("b")).agg(F.array_sort(F.collect_set("a")).alias("a"))
+    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count(F.lit(1)).alias("size")).where("a < z")
+    own = keyed.join(shared.drop("z"), "key").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.when(F.col("doc_id") != F.col("a"), F.col("a")))).alias("a"), F.max(F.struct("size", "key")).alias("home"))
+    own = cut(own, "pivots")
     # Its smallest pivot linked to the others and to the document: as connected as links to each pivot, but mostly the same ones in a group.
-    star = F.explode(F.concat(F.slice("a", 2, F.size("a")), F.array("b")))
-    candidates = pivots.select(F.get("a", F.lit(0)).alias("a"), star.alias("b")).distinct()
+    star = F.explode(F.concat(F.slice("a", 2, F.size("a")), F.array("doc_id")))
+    candidates = own.where(F.size("a") > 0).select(F.get("a", F.lit(0)).alias("a"), star.alias("b")).distinct()
     clusters = components(candidates)
 
     totals = sketches.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n_shingles").alias("n"))
-    sizes = clusters.join(totals, "node").groupBy("component").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("parts"))
-    placed = clusters.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("block"))
+    sizes = clusters.join(totals, "node").groupBy("component").agg(_parts(F.sum("n"), F.count(F.lit(1)), block_shingles, block_documents).alias("parts"))
+    # Documents with one largest bucket share a block, or as many as that bucket needs by itself.
+    within = F.pmod(F.xxhash64("node"), F.ceil(F.col("home.size") / block_documents))
+    block = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("home.key", within), F.col("parts"))).otherwise(0).cast("int")
+    placed = clusters.join(sizes, "component").join(own.select(F.col("doc_id").alias("node"), "home"), "node")
+    placed = placed.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "parts", block.alias("block"))
     task = _link_task(k, rows_per_band, percent, slack)
     found = docs.join(placed.drop("parts"), "doc_id").groupBy("cluster", "block").applyInArrow(task, _LINKS).union(same)
     if not sizes.where("parts > 1").isEmpty():
         found = cut(found, "links")
-        wide = keyed.join(placed.where("parts > 1").select("doc_id", "cluster"), "doc_id")
+        wide = reps.select("doc_id", "keys").join(placed.where("parts > 1").select("doc_id", "cluster"), "doc_id")
         pairs = _pivot_pairs(_open_buckets(wide, found))
         texts = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         found = cut(found.union(texts.mapInArrow(_pair_task(k, percent), _LINKS)), "links")
-        left = _grid(cut(_open_buckets(wide, found), "open"), totals, block_shingles)
+        left = _grid(cut(_open_buckets(wide, found), "open"), totals, block_shingles, block_documents)
         found = found.union(docs.join(left, "doc_id").groupBy("cluster", "cell").applyInArrow(task, _LINKS))
     joined = components(found)
     labelled = sketches.drop("keys").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
