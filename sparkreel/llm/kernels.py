@@ -115,10 +115,10 @@ def sliced(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[range, n
         row = stop
 
 
-def words(texts: pa.Array, lower: bool = False, limit: int = SLICE_BYTES) -> Iterator[Words]:
-    """Words are runs of bytes other than space and \\t \\n \\v \\f \\r; lower folds A-Z only."""
+def words(texts: pa.Array, lower: bool = False, limit: int = SLICE_BYTES, space: np.ndarray = _SPACE) -> Iterator[Words]:
+    """Words are runs of bytes other than `space`, by default space and \\t \\n \\v \\f \\r; lower folds A-Z only."""
     for rows, buf, offsets in sliced(texts, limit):
-        solid = ~_SPACE[buf]
+        solid = ~space[buf]
         edge = np.zeros(len(buf) + 1, bool)
         edge[offsets] = True
         before, after = np.empty(len(buf), bool), np.empty(len(buf), bool)

@@ -134,3 +134,26 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(m AS BIGINT) AS payload_bytes,
 def source_tokens() -> str:
     """Tokens and documents of every source."""
     return f"""SELECT coalesce(source, '') AS source, CAST(sum(len({words("coalesce(text, '')")})) AS BIGINT) AS tokens, count(*) AS documents FROM documents GROUP BY coalesce(source, '')"""
+
+
+def phrases(least: int, top: int, inside: int) -> str:
+    """Phrases of two and three words by language."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, coalesce(lang, 'und') AS lang, {lowered("coalesce(text, '')")} AS t FROM documents),
+p AS (SELECT row_id, lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS t, generate_subscripts(string_split_regex(t, '[.,;:!?\x0A-\x0D]'), 1) AS piece FROM d),
+w AS (SELECT lang, row_id, piece, list_filter(string_split_regex(t, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+one AS (SELECT lang, row_id, piece, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, x, lead(x) OVER s AS y, lead(x, 2) OVER s AS z FROM one WINDOW s AS (PARTITION BY row_id, piece ORDER BY i)),
+f1 AS (SELECT lang, x, count(*) AS f FROM g GROUP BY ALL),
+f2 AS (SELECT lang, x, y, count(*) AS f FROM g WHERE y IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, x, y, z, count(*) AS f FROM g WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= {least}),
+n AS (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang),
+c AS (SELECT f2.lang, x || ' ' || y AS phrase, f2.f AS a, 1 AS k, p.f AS l, q.f AS r FROM f2 JOIN f1 p USING (lang, x) JOIN f1 q ON q.lang = f2.lang AND q.x = f2.y
+      WHERE f2.f >= {least} AND NOT EXISTS (FROM f3 WHERE f3.lang = f2.lang AND f3.x = f2.x AND f3.y = f2.y AND 100 * f3.f >= {inside} * f2.f)
+      AND NOT EXISTS (FROM f3 WHERE f3.lang = f2.lang AND f3.y = f2.x AND f3.z = f2.y AND 100 * f3.f >= {inside} * f2.f)
+      UNION ALL SELECT f3.lang, x || ' ' || f3.y || ' ' || f3.z, f3.f, 1, p.f, q.f FROM f3 JOIN f1 p USING (lang, x) JOIN f2 q ON q.lang = f3.lang AND q.x = f3.y AND q.y = f3.z
+      UNION ALL SELECT f3.lang, x || ' ' || y || ' ' || f3.z, f3.f, 2, p.f, q.f FROM f3 JOIN f2 p USING (lang, x, y) JOIN f1 q ON q.lang = f3.lang AND q.x = f3.z),
+s AS (SELECT *, CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS score FROM c),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o JOIN n USING (lang) WHERE rank <= {top}"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    collocations,
     decontaminate,
     language_id,
     line_dedup,
@@ -70,6 +71,10 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(_table(spark, folder, "documents"))
 
 
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.phrases(_table(spark, folder, "documents"))
+
+
 def media_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """What SQL can say of op6_media."""
     return op6_media(spark, folder).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_near_dedup": op9_near_dedup,
     "op10_pii": op10_pii,
+    "op13_collocations": op13_collocations,
     # Columns of an operator that SQL can express, where it cannot express all.
     "media_payloads": media_payloads,
     "url_rules": url_rules,
@@ -114,6 +120,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": oracles.substring_dedup(50),
     "op4_decontaminate": oracles.leaks(5, 80),
     "op9_near_dedup": oracles.near_duplicates(3, 85),
+    "op13_collocations": oracles.phrases(collocations.LEAST, collocations.TOP, collocations.INSIDE),
     "media_payloads": oracles.media_payloads(media.FRAME),
     "url_rules": oracles.listed_urls(url_filter.LISTED),
     "mixing_sources": oracles.source_tokens(),
