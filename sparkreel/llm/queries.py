@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    alignment,
     collocations,
     decontaminate,
     language_id,
@@ -22,6 +24,9 @@ from . import (
     url_filter,
 )
 
+#: Folder of the public vocabulary files.
+TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -71,6 +76,10 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(_table(spark, folder, "documents"))
 
 
+def op11_alignment(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return alignment.aligned(_table(spark, folder, "documents"), f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model")
+
+
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.phrases(_table(spark, folder, "documents"))
 
@@ -107,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_near_dedup": op9_near_dedup,
     "op10_pii": op10_pii,
+    "op11_alignment": op11_alignment,
     "op13_collocations": op13_collocations,
     # Columns of an operator that SQL can express, where it cannot express all.
     "media_payloads": media_payloads,

@@ -219,3 +219,48 @@ def extracted(texts, trust, support):
                 spans.append((a, rank, b, kinds[rank]))
         out.append(joined(spans))
     return out
+
+
+def alignment(docs, first, second):
+    """{row: digests} of (doc_id, text) rows: whole texts encoded at once, links found byte by byte."""
+    import hashlib
+
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    a, b = Tokenizer.from_file(first), SentencePieceProcessor(model_file=second)
+    a.encode_special_tokens = True
+    letters = sorted(ByteLevel.alphabet())
+    printable = {c: ord(c) for c in letters if ord(c) < 256}
+    rest = iter(sorted(set(range(256)) - set(printable.values())))
+    letter = printable | {c: next(rest) for c in letters if c not in printable}
+    spans, counts, top = [], {}, {}
+    for _, text in docs:
+        whole = (" " + (text or "")).encode()
+        x = a.encode(" " + text, add_special_tokens=False).ids if text else []
+        y = b.encode(text) if text else []
+        spelled_x = [bytes(letter[c] for c in a.id_to_token(i)) for i in x]
+        spelled_y = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("\u2581", " ").encode() for i in y]
+        if not text or b"".join(spelled_x) != whole or b"".join(spelled_y) != whole:
+            x = y = spelled_x = spelled_y = []
+        owner_x = [i for i, s in enumerate(spelled_x) for _ in s]
+        owner_y = [i for i, s in enumerate(spelled_y) for _ in s]
+        links = sorted(set(zip(owner_x, owner_y, strict=True)))
+        borders = lambda o: {i + 1 for i in range(len(o)) if i + 1 == len(o) or o[i] != o[i + 1]}
+        groups, start = [], 0
+        for stop in sorted(borders(owner_x) & borders(owner_y)):
+            side = [",".join(str(ids[i]) for i in sorted(set(o[start:stop]))) for ids, o in ((x, owner_x), (y, owner_y))]
+            groups.append("|".join(side))
+            start = stop
+        spans.append((x, y, links, groups))
+        for i, j in links:
+            counts[x[i], y[j]] = counts.get((x[i], y[j]), 0) + 1
+    for (_, j), n in counts.items():
+        top[j] = max(top.get(j, 0), n)
+    out = []
+    for (doc_id, _), (x, y, links, groups) in zip(docs, spans, strict=True):
+        found = [(counts[x[i], y[j]], top[y[j]]) for i, j in links]
+        digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if x else ""
+        out.append((doc_id, len(x), len(y), len(groups), len(links), sum(n == m for n, m in found), sum(n for n, _ in found), digest))
+    return out
