@@ -53,6 +53,10 @@ low AS (SELECT s AS doc_id, min(t) AS component_id FROM reach GROUP BY s)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN low USING (doc_id)"""
 
 
+def linked_documents(k: int, percent: int) -> str:
+    return f"SELECT doc_id, n_shingles, component_id FROM ({near_duplicates(k, percent)})"
+
+
 def line_dedup(width: int) -> str:
     key = " || chr(10) || ".join(f"lead(t, {j}) OVER w" if j else "t" for j in range(width))
     return f"""

@@ -18,6 +18,7 @@ from . import (
     media,
     mixing,
     near_dedup,
+    ngram_join,
     oracles,
     pii,
     substring_dedup,
@@ -80,6 +81,10 @@ def op11_alignment(spark: SparkSession, folder: str, tokenizers: str = TOKENIZER
     return alignment.aligned(_table(spark, folder, "documents"), f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model")
 
 
+def op12_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.linked_documents(_table(spark, folder, "documents"), k=4, percent=85)
+
+
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.phrases(_table(spark, folder, "documents"))
 
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": op9_near_dedup,
     "op10_pii": op10_pii,
     "op11_alignment": op11_alignment,
+    "op12_ngram_join": op12_ngram_join,
     "op13_collocations": op13_collocations,
     # Columns of an operator that SQL can express, where it cannot express all.
     "media_payloads": media_payloads,
@@ -130,6 +136,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": oracles.substring_dedup(50),
     "op4_decontaminate": oracles.leaks(5, 80),
     "op9_near_dedup": oracles.near_duplicates(3, 85),
+    "op12_ngram_join": oracles.linked_documents(4, 85),
     "op13_collocations": oracles.phrases(collocations.LEAST, collocations.TOP, collocations.INSIDE),
     "media_payloads": oracles.media_payloads(media.FRAME),
     "url_rules": oracles.listed_urls(url_filter.LISTED),

@@ -90,7 +90,7 @@ class Shards(NamedTuple):
         return self.at(self.rank(keys), column, missing)
 
 
-def _write_task(folder: str, columns: list[str]):
+def _write_task(folder: str, columns: list[str], unique: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = [b.select(columns) for b in batches if b.num_rows]
         if not batches:
@@ -98,8 +98,8 @@ def _write_task(folder: str, columns: list[str]):
         table = pa.Table.from_batches(batches).combine_chunks()
         table = table.cast(pa.schema([(f.name, pa.large_string() if pa.types.is_string(f.type) else f.type) for f in table.schema]))
         keys = table["key"].to_numpy()
-        if (keys[1:] <= keys[:-1]).any():
-            raise ValueError("keys of a shard must ascend and differ")
+        if (keys[1:] < keys[:-1]).any() or (unique and (keys[1:] == keys[:-1]).any()):
+            raise ValueError("keys of a shard must ascend, and differ unless they may repeat")
         files, where = place(folder)
         files.create_dir(where, recursive=True)
         name = f"{uuid.uuid4().hex}.arrow"
@@ -110,10 +110,13 @@ def _write_task(folder: str, columns: list[str]):
     return run
 
 
-def written(df: DataFrame, name: str) -> Shards:
-    """Shards of df(key long, ...), whose partitions are ranges of key and sorted. A task holds one partition, the driver a line for each."""
+def written(df: DataFrame, name: str, unique: bool = True) -> Shards:
+    """Shards of df(key long, ...), whose partitions are ranges of key and sorted. A task holds one partition, the driver a line for each.
+
+    With unique, a key that repeats is an error; without, rank() gives its first place.
+    """
     folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    made = sorted(df.mapInArrow(_write_task(folder, df.columns), "path string, first long, n long").collect(), key=lambda r: r["first"])
+    made = sorted(df.mapInArrow(_write_task(folder, df.columns, unique), "path string, first long, n long").collect(), key=lambda r: r["first"])
     return Shards(tuple(r["path"] for r in made), np.array([r["first"] for r in made], np.int64), np.cumsum([0, *(r["n"] for r in made)]))
 
 
