@@ -34,7 +34,7 @@ INSIDE = 50
 #: Word occurrences for each range of keys, and dictionary entries for each shard.
 RANGE_WORDS = 2_000_000
 SHARD_ROWS = 2_000_000
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Inside a task two numbers, of words or of a pair and a word, are one int64.
 ID_BITS = 31
 _ID = (1 << ID_BITS) - 1
@@ -123,18 +123,18 @@ def _phrase_task(ranges: Ranges, parts: int, pairs: Shards | None):
     words = ranges.words
 
     def rows(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(keys), 200_000):
-            some = keys[at : at + 200_000]
+        for at in range(0, len(keys), 50_000):
+            some = keys[at : at + 50_000]
             pair = some if pairs is None else pairs.at(some >> ID_BITS, "key")
             ids = np.stack([pair >> ID_BITS, pair & _ID] + ([] if pairs is None else [some & _ID]), axis=1)
             binary = packed(ids)
             ends = (np.arange(len(ids) + 1) * binary.shape[1]).astype(np.int32)
             part = np.minimum((ranges.place(ids) * parts).astype(np.int32), parts - 1)
             key = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(binary)])
-            yield pa.record_batch([pa.array(part), key, pa.array(counts[at : at + 200_000])], names=["part", "key", "n"])
+            yield pa.record_batch([pa.array(part), key, pa.array(counts[at : at + 50_000])], names=["part", "key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+        tally = Tally(1_000_000)
         for batch in batches:
             for _, hashes, goes_on in _words(batch):
                 keys, back = np.unique(hashes, return_inverse=True)
