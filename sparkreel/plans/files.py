@@ -9,8 +9,9 @@ from ..functions import bits as B
 from ..functions import headers
 from ..functions.sync import first_sync
 from ..operators import framing
+from ..sinks import files as file_sink
 from ..sinks import images, wave
-from ..sources import containers
+from ..sources import containers, split
 from . import pipeline
 from .registry import query
 from .views import PICTURES, PIXELS, SAMPLES, Tables
@@ -35,14 +36,32 @@ def _files(t: Tables, begin: Column, record: Column) -> DataFrame:
     return joined.select(F.col("l_orderkey").cast("string").alias("path"), F.concat(begin, F.unhex("joined")).alias("content"))
 
 
-def _flv_files(t: Tables) -> DataFrame:
-    """FLV files of audio, video and script tags with at least five bytes each."""
+def _large_files(t: Tables, begin: Column, record: Column, suffix: str) -> str:
+    """A folder of files with the lines of a thousand order keys each."""
+    rows = t.read("lineitem").select(F.floor(F.col("l_orderkey") / 1000).cast("bigint").alias("file"), "l_orderkey", *_PLACE, F.hex(record).alias("record"))
+    joined = framing.coalesced(rows.select("file", F.struct("l_orderkey", *_PLACE).alias("place"), "record"), ["file"], "place", "record")
+    folder = file_sink.scratch(t.spark, "containers")
+    file_sink.register(t.spark)
+    named = joined.select(F.concat(F.col("file").cast("string"), F.lit(suffix)).alias("name"), F.concat(begin, F.unhex("joined")).alias("content"))
+    named.write.format("namedfiles").mode("append").save(folder)
+    return folder
+
+
+def _flv_record() -> Column:
+    """Audio, video and script tags with at least five bytes each."""
     kind, size, ms, late = F.col("l_partkey") % 3, F.col("l_suppkey") % 50 + 5, F.col("l_partkey") * 40, F.col("l_suppkey") % 7
     video = F.concat(F.when(late % 2 == 0, _hex("17")).otherwise(_hex("27")), _hex("01"), B.to_be(late, 3))
     body = F.when(kind == 0, _hex("AF01000000")).when(kind == 1, video).otherwise(_hex("0200000000"))
     code = F.when(kind == 0, _hex("08")).when(kind == 1, _hex("09")).otherwise(_hex("12"))
     head = [_hex("00000000"), code, B.to_be(size, 3), B.to_be(ms % (1 << 24), 3), B.to_be(F.shiftright(ms, 24), 1), _hex("000000")]
-    return _files(t, _hex("464C56010500000009"), F.concat(*head, body, _zeros(size - 5)))
+    return F.concat(*head, body, _zeros(size - 5))
+
+
+_FLV = "464C56010500000009"
+
+
+def _flv_files(t: Tables) -> DataFrame:
+    return _files(t, _hex(_FLV), _flv_record())
 
 
 _TAGS = f"""r AS (SELECT l_orderkey, row_number() OVER w - 1 AS seq, l_partkey % 3 AS kind, l_suppkey % 50 + 5 AS size, l_partkey * 40 AS ms, l_suppkey % 7 AS late,
@@ -58,6 +77,36 @@ def flv_files(t: Tables) -> DataFrame:
     return rows.select("path", "seq", "at", "stream_id", "size", "ms", "pts_hns", "dur_hns", F.col("video.key").alias("key"), "error")
 
 
+_MANY_TAGS = f"""r AS (SELECT l_orderkey // 1000 AS file, row_number() OVER w - 1 AS seq, l_partkey % 3 AS kind, l_suppkey % 50 + 5 AS size, l_partkey * 40 AS ms, l_suppkey % 7 AS late,
+  CAST(9 + coalesce(sum(15 + l_suppkey % 50 + 5) OVER (PARTITION BY l_orderkey // 1000 ORDER BY l_orderkey, {_BY} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM lineitem WINDOW w AS (PARTITION BY l_orderkey // 1000 ORDER BY l_orderkey, {_BY})),
+n AS (SELECT *, CASE kind WHEN 0 THEN 'audio' WHEN 1 THEN 'video' ELSE 'script' END AS stream_id, 10000 * (ms + CASE kind WHEN 1 THEN late ELSE 0 END) AS pts_hns FROM r)"""
+#: A range of a file; the files of the queries below have many.
+_RANGE = 16_384
+
+
+@query(f"""WITH {_MANY_TAGS} SELECT file || '.flv' AS path, seq, "at", stream_id, size, ms, pts_hns, pts_hns - coalesce(lag(pts_hns) OVER (PARTITION BY file, stream_id ORDER BY seq), 0) AS dur_hns,
+CASE kind WHEN 1 THEN late % 2 = 0 END AS key, CAST(NULL AS VARCHAR) AS error FROM n""")
+def flv_ranges(t: Tables) -> DataFrame:
+    """Tags of larger FLV files in a folder, each read by several tasks."""
+    rows = containers.flv(t.spark, _large_files(t, _hex(_FLV), _flv_record(), ".flv"), payload=False, width=_RANGE)
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("path"), "seq", "at", "stream_id", "size", "ms", "pts_hns", "dur_hns", F.col("video.key").alias("key"), "error")
+
+
+@query(f"""WITH {_MANY_TAGS} SELECT file || '.flv' AS path, seq, "at", size, '27' || '01' || printf('%06X', CAST(late AS BIGINT)) || repeat('00', CAST(size - 5 AS INTEGER)) AS payload FROM n WHERE kind = 1 AND late % 2 = 1
+UNION ALL SELECT file || '.flv', seq, "at", size, '17' || '01' || printf('%06X', CAST(late AS BIGINT)) || repeat('00', CAST(size - 5 AS INTEGER)) FROM n WHERE kind = 1 AND late % 2 = 0""")
+def flv_selected(t: Tables) -> DataFrame:
+    """Payloads of the video tags alone: the reader takes the filter over and passes by the other tags' bytes."""
+    rows = split.records(t.spark, _large_files(t, _hex(_FLV), _flv_record(), ".flv"), "flv", width=_RANGE)
+    return rows.where("code = 9").select(F.element_at(F.split("path", "/"), -1).alias("path"), "seq", "at", "size", F.hex("payload").alias("payload"))
+
+
+@query(f"""WITH {_MANY_TAGS} SELECT file || '.flv' AS path, CAST(CASE kind WHEN 0 THEN 8 ELSE 9 END AS BIGINT) AS code, arg_min(pts_hns, seq) AS first_pts, arg_max(pts_hns, seq) AS last_pts, arg_max(pts_hns, seq) - arg_min(pts_hns, seq) AS dur_hns FROM n WHERE kind < 2 GROUP BY file, kind""")
+def flv_durations(t: Tables) -> DataFrame:
+    """Times of the first and last audio and video tags of the same files, read from their ends."""
+    found = split.durations(t.spark, _large_files(t, _hex(_FLV), _flv_record(), ".flv"), "flv", {8, 9})
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("path"), "code", "first_pts", "last_pts", "dur_hns")
+
+
 @query(f"""WITH {_TAGS} SELECT CAST(l_orderkey AS VARCHAR) AS path, stream_id, count(*) AS samples, CAST(sum(size) AS BIGINT) AS bytes, arg_min(pts_hns, seq) AS first_pts, arg_max(pts_hns, seq) AS last_pts,
 arg_max(pts_hns, seq) - arg_min(pts_hns, seq) AS dur_hns FROM n GROUP BY l_orderkey, stream_id""")
 def flv_catalog(t: Tables) -> DataFrame:
@@ -65,13 +114,16 @@ def flv_catalog(t: Tables) -> DataFrame:
     return containers.catalog(containers.flv_rows(_flv_files(t)))
 
 
-@query(f"""WITH r AS (SELECT l_orderkey, row_number() OVER w - 1 AS i, l_partkey, l_suppkey % 40 AS n, l_suppkey % 3 AS junk,
-  coalesce(sum(14 + 17 + l_suppkey % 40 + l_suppkey % 3) OVER (PARTITION BY l_orderkey ORDER BY {_BY} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {_BY})),
-u AS (SELECT l_orderkey, 2 * i AS seq, "at", 186 AS code, 14 AS size, NULL AS kind, NULL AS number, l_partkey * 300 AS scr, NULL AS pts FROM r UNION ALL
-SELECT l_orderkey, 2 * i + 1, "at" + 14, CASE l_partkey % 2 WHEN 0 THEN 192 + l_partkey % 32 ELSE 224 + l_partkey % 16 END, 17 + n - 3, CASE l_partkey % 2 WHEN 0 THEN 'audio' ELSE 'video' END, CASE l_partkey % 2 WHEN 0 THEN l_partkey % 32 ELSE l_partkey % 16 END, NULL, l_partkey * 300 FROM r)
-SELECT CAST(l_orderkey AS VARCHAR) AS path, seq, CAST("at" AS BIGINT) AS "at", CAST(code AS BIGINT) AS code, CAST(CASE code WHEN 186 THEN 14 ELSE size END AS BIGINT) AS size, kind, CAST(number AS BIGINT) AS number, CAST(scr AS BIGINT) AS scr, CAST(pts AS BIGINT) AS pts FROM u""")
-def program_files(t: Tables) -> DataFrame:
-    """Packs and packets of program streams, with up to two bytes between them that belong to none."""
+def _program_sql(key: str, order: str, path: str) -> str:
+    return f"""WITH r AS (SELECT {key} AS file, row_number() OVER w - 1 AS i, l_partkey, l_suppkey % 40 AS n, l_suppkey % 3 AS junk,
+  coalesce(sum(14 + 17 + l_suppkey % 40 + l_suppkey % 3) OVER (PARTITION BY {key} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM lineitem WINDOW w AS (PARTITION BY {key} ORDER BY {order})),
+u AS (SELECT file, 2 * i AS seq, "at", 186 AS code, 14 AS size, NULL AS kind, NULL AS number, l_partkey * 300 AS scr, NULL AS pts FROM r UNION ALL
+SELECT file, 2 * i + 1, "at" + 14, CASE l_partkey % 2 WHEN 0 THEN 192 + l_partkey % 32 ELSE 224 + l_partkey % 16 END, 17 + n - 3, CASE l_partkey % 2 WHEN 0 THEN 'audio' ELSE 'video' END, CASE l_partkey % 2 WHEN 0 THEN l_partkey % 32 ELSE l_partkey % 16 END, NULL, l_partkey * 300 FROM r)
+SELECT {path} AS path, seq, CAST("at" AS BIGINT) AS "at", CAST(code AS BIGINT) AS code, CAST(CASE code WHEN 186 THEN 14 ELSE size END AS BIGINT) AS size, kind, CAST(number AS BIGINT) AS number, CAST(scr AS BIGINT) AS scr, CAST(pts AS BIGINT) AS pts FROM u"""
+
+
+def _program_record() -> Column:
+    """A pack and a packet, with up to two bytes after them that belong to none."""
 
     def stamp(mark: int, value: Column) -> Column:
         word = B.pack((F.lit(mark), 36), (B.bits(value, 33, 0, 3), 33), (F.lit(1), 32), (B.bits(value, 33, 3, 15), 17), (F.lit(1), 16), (B.bits(value, 33, 18, 15), 1), (F.lit(1), 0))
@@ -84,8 +136,24 @@ def program_files(t: Tables) -> DataFrame:
     packet = F.concat(_hex("000001"), B.to_be(code, 1), B.to_be(n + 8, 2), _hex("808005"), stamp(2, clock), _zeros(n))
     junk = F.unhex(F.repeat(F.lit("FF"), (F.col("l_suppkey") % 3).cast("int")))
     # A packet's own length counts what follows it: three flag bytes, the stamp, the data.
-    rows = containers.mpegps_rows(_files(t, F.lit("").cast("binary"), F.concat(pack, packet, _hex("FFFFFF"), junk)), payload=False)
-    return rows.select("path", "seq", "at", "code", "size", "kind", "number", F.col("pack.scr").alias("scr"), F.col("packet.pts").alias("pts"))
+    return F.concat(pack, packet, _hex("FFFFFF"), junk)
+
+
+def _packets() -> list[Column]:
+    return [*map(F.col, ("seq", "at", "code", "size", "kind", "number")), F.col("pack.scr").alias("scr"), F.col("packet.pts").alias("pts")]
+
+
+@query(_program_sql("l_orderkey", _BY, "CAST(file AS VARCHAR)"))
+def program_files(t: Tables) -> DataFrame:
+    """Packs and packets of program streams, with bytes between them that belong to none."""
+    return containers.mpegps_rows(_files(t, F.lit("").cast("binary"), _program_record()), payload=False).select("path", *_packets())
+
+
+@query(_program_sql("(l_orderkey // 1000)", f"l_orderkey, {_BY}", "file || '.mpg'"))
+def program_ranges(t: Tables) -> DataFrame:
+    """Packs and packets of larger program streams in a folder, each read by several tasks."""
+    rows = containers.mpegps(t.spark, _large_files(t, F.lit("").cast("binary"), _program_record(), ".mpg"), payload=False, width=_RANGE)
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("path"), *_packets())
 
 
 def _frames_sql(size: str, junk: str) -> str:

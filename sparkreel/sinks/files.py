@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import posixpath
+import re
+import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -72,5 +74,15 @@ class NamedFiles(DataSource):
         return _Writer(self.options["path"])
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; where that is unset and tasks run in this process, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors and the driver share")
+        base = tempfile.mkdtemp(prefix=f"{spark.sparkContext.applicationId}-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(NamedFiles)

@@ -1,13 +1,15 @@
 """Containers as rows: FLV tags, program-stream packets, audio frames, WAV files.
 
-Files come from `binaryFile`; one task walks one file, as each record tells where
-the next one starts. Header fields are then read by expressions over the
-records' bytes. `payload=False` leaves payloads null and keeps only their sizes.
+FLV and program-stream files are read by ranges (`split`), many tasks to a file;
+audio frames and WAV files come from `binaryFile`, as do contents that a table
+has, where one task walks one content. Header fields are read by expressions over
+the records' first bytes. `payload=False` leaves payloads where they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,15 +18,14 @@ from pyspark.sql import functions as F
 from ..functions import clock, headers
 from ..functions import tables as T
 from ..operators import timeline
+from . import split, walk
+from .walk import Record
 
 _ROWS = "path string, seq bigint, at bigint, code bigint, size bigint, stamp bigint, head binary, payload binary, error string"
 _TYPES = [("seq", pa.int64()), ("at", pa.int64()), ("code", pa.int64()), ("size", pa.int64()), ("stamp", pa.int64()), ("head", pa.binary()), ("payload", pa.binary()), ("error", pa.string())]
 #: Records of one Arrow batch.
 _BATCH = 512
 
-Record = tuple[int, int | None, int | None, int | None, bytes, bytes, str | None]
-
-
 def after_sei(data: bytes) -> bytes:
     """An AVC payload of length-prefixed units without supplemental information units at its start."""
     at = 0
@@ -33,50 +34,14 @@ def after_sei(data: bytes) -> bytes:
     return data[min(at, len(data)) :]
 
 
-def flv_tags(data: bytes) -> Iterator[Record]:
-    """(at, type, size, ms, head, payload, error) of each tag after the file header; a record with an error is the last."""
-    if len(data) < 9 or data[:3] != b"FLV" or data[3] != 1 or int.from_bytes(data[5:9], "big") != 9:
-        yield 0, None, None, None, data[:9], b"", "no FLV header"
-        return
-    at = 9
-    while at + 4 < len(data):
-        head = data[at + 4 : at + 15]
-        if len(head) < 11:
-            yield at, None, None, None, head, b"", "cut tag"
-            return
-        kind, size = head[0] & 0x1F, int.from_bytes(head[1:4], "big")
-        ms = int.from_bytes(head[4:7], "big") | head[7] << 24
-        body = data[at + 15 : at + 15 + size]
-        error = "reserved bits" if head[0] & 0xC0 else "cut tag" if len(body) < size else None
-        yield at, kind, size, ms, head, body, error
-        if error:
-            return
-        at += 15 + size
+def flv_tags(data: bytes, wanted: Callable[[int], bool] = walk.every) -> Iterator[Record]:
+    """(at, type, size, ms, head and lead, payload, error) of each tag after the file header; a record with an error is the last."""
+    return walk.Flv.whole(walk.Held(data), wanted)
 
 
-def program_packets(data: bytes) -> Iterator[Record]:
+def program_packets(data: bytes, wanted: Callable[[int], bool] = walk.every) -> Iterator[Record]:
     """(at, code, size, None, head, payload, error) of each pack, system header and packet. Payload starts after the packet's length."""
-    at = data.find(b"\x00\x00\x01")
-    while 0 <= at <= len(data) - 4:
-        code = data[at + 3]
-        if code == 0xB9:
-            yield at, code, 4, None, data[at : at + 4], b"", None
-            return
-        if code == 0xBA:
-            two = len(data) > at + 4 and data[at + 4] >> 6 == 1
-            size = 14 + (data[at + 13] & 7 if two and len(data) > at + 13 else 0) if two else 12
-            error = None if at + size <= len(data) else "cut pack"
-            yield at, code, size, None, data[at : at + size], b"", error
-        elif code >= 0xBB:
-            size = 6 + int.from_bytes(data[at + 4 : at + 6], "big")
-            error = None if at + size <= len(data) else "cut packet"
-            yield at, code, size, None, data[at : at + 32], data[at + 6 : at + size], error
-        else:
-            size, error = 4, None
-            yield at, code, size, None, data[at : at + 4], b"", None
-        if error:
-            return
-        at = data.find(b"\x00\x00\x01", at + size)
+    return walk.ProgramStream.whole(walk.Held(data), wanted)
 
 
 def mpa_length(head: bytes) -> int | None:
@@ -122,12 +87,12 @@ def ac3_frames(data: bytes) -> Iterator[Record]:
     return frames(data, ac3_length, b"\x0b\x77")
 
 
-def _walk_task(walk: Callable[[bytes], Iterator[Record]], payload: bool):
+def _walk_task(records: Callable[[bytes], Iterator[Record]], payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 rows: list[tuple] = []
-                for seq, (at, code, size, stamp, head, body, error) in enumerate(walk(content.as_py() or b"")):
+                for seq, (at, code, size, stamp, head, body, error) in enumerate(records(content.as_py() or b"")):
                     rows.append((seq, at, code, size, stamp, head, body if payload else None, error))
                     if len(rows) == _BATCH:
                         yield _batch(path.as_py(), rows)
@@ -147,13 +112,17 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def _records(files: DataFrame, walk: Callable, payload: bool) -> DataFrame:
-    return files.select("path", "content").mapInArrow(_walk_task(walk, payload), _ROWS)
+def _records(files: DataFrame, records: Callable, payload: bool) -> DataFrame:
+    return files.select("path", "content").mapInArrow(_walk_task(records, payload), _ROWS)
 
 
-def flv(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """flv_rows of the files at a path."""
-    return flv_rows(_files(spark, path), payload)
+def _skipping(tags: Callable, payload: bool) -> Callable:
+    return tags if payload else partial(tags, wanted=walk.none)
+
+
+def flv(spark: SparkSession, path: str, payload: bool = True, width: int = split.RANGE) -> DataFrame:
+    """flv_rows of the files at a path, read by ranges of `width` bytes. A filter on code leaves other tags' payloads unread."""
+    return _flv(split.records(spark, path, "flv", payload, width))
 
 
 def flv_rows(files: DataFrame, payload: bool = True) -> DataFrame:
@@ -162,22 +131,28 @@ def flv_rows(files: DataFrame, payload: bool = True) -> DataFrame:
     The composition time of a video tag is part of its time; durations are those
     of each stream.
     """
-    tags = _records(files, flv_tags, True)
-    kind = T.named({8: "audio", 9: "video", 18: "script"}, F.col("code"))
-    video, audio = F.when(F.col("code") == 9, headers.flv_video(F.col("payload"))), F.when(F.col("code") == 8, headers.flv_audio(F.col("payload")))
-    rows = tags.select("path", "seq", "at", kind.alias("stream_id"), "size", F.col("stamp").alias("ms"), video.alias("video"), audio.alias("audio"), (F.col("payload") if payload else F.lit(None).cast("binary")).alias("payload"), "error")
+    return _flv(_records(files, _skipping(flv_tags, payload), payload))
+
+
+def _flv(tags: DataFrame) -> DataFrame:
+    kind, lead = T.named({8: "audio", 9: "video", 18: "script"}, F.col("code")), F.substring("head", 12, walk.LEAD)
+    video, audio = F.when(F.col("code") == 9, headers.flv_video(lead)), F.when(F.col("code") == 8, headers.flv_audio(lead))
+    rows = tags.select("path", "seq", "at", "code", kind.alias("stream_id"), "size", F.col("stamp").alias("ms"), video.alias("video"), audio.alias("audio"), "payload", "error")
     rows = rows.withColumn("pts_hns", clock.from_ms(F.col("ms"), F.coalesce("video.composition_ms", F.lit(0))))
     return timeline.lag_duration(rows, ["path", "stream_id"], "seq", "pts_hns")
 
 
-def mpegps(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """mpegps_rows of the files at a path."""
-    return mpegps_rows(_files(spark, path), payload)
+def mpegps(spark: SparkSession, path: str, payload: bool = True, width: int = split.RANGE) -> DataFrame:
+    """mpegps_rows of the files at a path, read by ranges of `width` bytes. A filter on code leaves other packets' payloads unread."""
+    return _mpegps(split.records(spark, path, "mpegps", payload, width))
 
 
 def mpegps_rows(files: DataFrame, payload: bool = True) -> DataFrame:
     """One row for each pack, system header and packet with its fields, of files(path, content)."""
-    rows = _records(files, program_packets, payload)
+    return _mpegps(_records(files, _skipping(program_packets, payload), payload))
+
+
+def _mpegps(rows: DataFrame) -> DataFrame:
     kind = headers.stream_class(F.col("code"))
     return rows.select(
         "path", "seq", "at", "code", "size", kind["kind"].alias("kind"), kind["number"].alias("number"),
@@ -225,8 +200,8 @@ def screen_stream(spark: SparkSession, per_second: int = 10) -> DataFrame:
 
 
 def ranges(spark: SparkSession, path: str, start: int, length: int) -> DataFrame:
-    """range_rows of the files at a path."""
-    return range_rows(_files(spark, path), start, length)
+    """split.ranges: size and bytes of the files at a path, of which nothing else is read."""
+    return split.ranges(spark, path, start, length)
 
 
 def range_rows(files: DataFrame, start: int, length: int) -> DataFrame:
