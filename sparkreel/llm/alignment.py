@@ -18,7 +18,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import chain
 
 import numpy as np
@@ -51,26 +51,44 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+#: Fixed value: how byte-level vocabularies split a text before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class ByteLevel:
     """Ids and bytes of a byte-level BPE vocabulary file, without special tokens."""
 
     def __init__(self, path: str):
-        # A task has one core; threads of the library would only wait for each other.
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.encoder = Tokenizer.from_file(path)
-        self.encoder.encode_special_tokens = True
-        letters = byte_letters()
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            content = json.load(file)
+        vocabulary, letters = content["model"]["vocab"], byte_letters()
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
+        special = {t["content"] for t in content.get("added_tokens", ())}
         for token, number in vocabulary.items():
-            # Special tokens, which are never encoded, may have other letters.
-            self.bytes[number] = bytes(letters[c] for c in token) if all(c in letters for c in token) else b""
+            if token not in special:
+                self.bytes[number] = bytes(letters[c] for c in token)
+        merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in content["model"]["merges"]]
+        split = content.get("pre_tokenizer") or {}
+        if merged == sorted(merged) and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space"):
+            # Ids in the order of merges are ranks, which need no library of merges.
+            import tiktoken
+
+            ranks = {b: i for i, b in enumerate(self.bytes) if b}
+            self.encode = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            # A task has one core; threads of the library would only wait for each other.
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            encoder = Tokenizer.from_file(path)
+            encoder.encode_special_tokens = True
+            self.encode = lambda text: encoder.encode(text, add_special_tokens=False).ids
 
-    def encode(self, some: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.encoder.encode_batch([" " + u for u in some], add_special_tokens=False)]
+    def unit(self, u: str) -> list[int]:
+        return self.encode(" " + u)
+
+    def joined(self, some: list[str]) -> list[int]:
+        return self.encode(" " + " ".join(some))
 
 
 class Pieces:
@@ -84,55 +102,65 @@ class Pieces:
         self.blank = pieces.index("▁")
         self.bytes = [bytes([int(p[3:5], 16)]) if self.encoder.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
-    def encode(self, some: list[str]) -> list[list[int]]:
+    def unit(self, u: str) -> list[int]:
         # Alone, an empty unit would be an empty text; after others it is a blank.
-        return [ids if u else [self.blank] for u, ids in zip(some, self.encoder.encode(some, num_threads=1), strict=True)]
+        return self.encoder.encode(u, num_threads=1) if u else [self.blank]
+
+    def joined(self, some: list[str]) -> list[int]:
+        # The library slows down on long texts; every part gets its first blank by itself.
+        parts = [" ".join(some[i : i + 32]) for i in range(0, len(some), 32)]
+        return list(chain.from_iterable(self.encoder.encode(parts, num_threads=1)))
+
+
+class _Table:
+    """What a codec's ids are in bytes and in digits."""
+
+    def __init__(self, codec: ByteLevel | Pieces):
+        self.codec = codec
+        self.sizes = np.array([len(x) for x in codec.bytes], np.int64)
+        self.digits = [[f"{i}{sign}" for i in range(len(codec.bytes))] for sign in ",|;"]
 
 
 @lru_cache(maxsize=2)
-def _codecs(first: str, second: str) -> tuple[ByteLevel, Pieces]:
-    return ByteLevel(first), Pieces(second)
+def _codecs(first: str, second: str) -> tuple[_Table, _Table]:
+    return _Table(ByteLevel(first)), _Table(Pieces(second))
 
 
 class Side:
     """One tokenizer's tokens of many units, one after the other."""
 
-    def __init__(self, codec: ByteLevel | Pieces, some: list[str]):
-        ids = codec.encode(some)
-        self.per_unit = np.array([len(x) for x in ids], np.int64)
-        self.ids = np.fromiter(chain.from_iterable(ids), np.int64, int(self.per_unit.sum()))
-        self.found = [codec.bytes[i] for i in self.ids.tolist()]
-        self.ends = np.cumsum([len(x) for x in self.found]) if self.found else np.empty(0, np.int64)
+    def __init__(self, table: _Table, ids: np.ndarray, stops: np.ndarray):
+        """stops: where units end in bytes."""
+        self.table, self.ids = table, ids
+        self.ends = np.cumsum(table.sizes[ids])
+        self.per_unit = np.diff(np.r_[0, np.searchsorted(self.ends, stops, "right")])
 
-    def spelled(self) -> list[bytes]:
-        whole, cuts = b"".join(self.found), np.r_[0, self.ends][np.r_[0, np.cumsum(self.per_unit)]]
-        return [whole[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    def digits(self, sign: np.ndarray) -> list[str]:
+        return [self.table.digits[s][i] for s, i in zip(sign.tolist(), self.ids.tolist(), strict=True)]
 
 
 class Aligned:
     """Units that both tokenizers spell as they are: tokens, groups and links, one unit after the other."""
 
-    def __init__(self, a: Side, b: Side, all_units: int):
-        """all_units: how many there are with those that are spelled otherwise, which come last."""
-        self.all_units = all_units
+    def __init__(self, a: Side, b: Side, stops: np.ndarray, written: bool):
         self.n_a, self.n_b = a.per_unit, b.per_unit
-        stops = np.r_[0, a.ends][np.cumsum(self.n_a)] if len(self.n_a) else np.empty(0, np.int64)
-        every, common = np.union1d(a.ends, b.ends), np.intersect1d(a.ends, b.ends, assume_unique=True)
+        ends = np.sort(np.concatenate([a.ends, b.ends]), kind="stable")
+        again = ends[1:] == ends[:-1]
+        every, common = ends[np.r_[True, ~again]] if len(ends) else ends, ends[1:][again]
         self.pairs = a.ids[np.searchsorted(a.ends, every)] << 32 | b.ids[np.searchsorted(b.ends, every)]
         self.pair_unit = np.searchsorted(stops, every)
         self.n_links = np.bincount(self.pair_unit, minlength=len(stops))
         self.n_groups = np.bincount(np.searchsorted(stops, common), minlength=len(stops))
-        self.groups = self._written(a, b, common)
+        self.groups = self._written(a, b, common) if written else []
 
     def _written(self, a: Side, b: Side, common: np.ndarray) -> list[str]:
         """Each unit's groups as text, every group ended by a semicolon."""
-        group = np.concatenate([np.searchsorted(common, a.ends), np.searchsorted(common, b.ends)])
-        side = np.repeat([0, 1], [len(a.ids), len(b.ids)])
-        order = np.lexsort((side, group))
-        group, side, ids = group[order], side[order], np.concatenate([a.ids, b.ids])[order]
-        last = np.r_[(group[1:] != group[:-1]) | (side[1:] != side[:-1]), True] if len(ids) else np.empty(0, bool)
-        sign = np.where(last, side + 1, 0)
-        text = [f"{i}{',|;'[s]}" for i, s in zip(ids.tolist(), sign.tolist(), strict=True)]
+        groups = [np.searchsorted(common, side.ends) for side in (a, b)]
+        last = [np.r_[g[1:] != g[:-1], True][: len(g)] for g in groups]
+        text = [side.digits(np.where(at, i + 1, 0)) for i, (side, at) in enumerate(zip((a, b), last, strict=True))]
+        # Tokens by group, the first tokenizer's before the second's.
+        order = np.argsort(np.concatenate([2 * groups[0], 2 * groups[1] + 1]), kind="stable").tolist()
+        text = list(map((text[0] + text[1]).__getitem__, order))
         cuts = np.r_[0, np.cumsum(self.n_a + self.n_b)].tolist()
         return ["".join(text[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
@@ -140,39 +168,66 @@ class Aligned:
 class Known:
     """Units seen so far in a task, each aligned once."""
 
-    def __init__(self, first: str, second: str):
-        self.codecs = _codecs(first, second)
+    def __init__(self, first: str, second: str, written: bool):
+        """written: with the groups as text."""
+        self.tables, self.written = _codecs(first, second), written
         self.forget()
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
         self.size = 0
         self.good = np.empty(0, bool)
-        self.parts: list[Aligned] = []
+        self.parts: list[Aligned | int] = []
 
-    def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[Aligned]]:
+    def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[Aligned | int]]:
         """(units of all texts, where each text's begin, what is new); null and empty texts have no unit."""
         split = [units(t) if t else [] for t in texts]
         flat = list(chain.from_iterable(split))
+        before = len(self.parts)
         fresh = [u for u in dict.fromkeys(flat) if u not in self.at]
-        made = [self._add(fresh)] if fresh else []
+        # Units that end in white space would run into the next one, and U+2581 is spelled as a blank.
+        plain = [u for u in fresh if u and not u[-1].isspace() and "▁" not in u]
+        if plain and not self._add_joined(plain):
+            self._add_each(plain)
+        if len(plain) < len(fresh):
+            some = set(plain)
+            self._add_each([u for u in fresh if u not in some])
         cuts = np.cumsum([0, *map(len, split)])
-        return np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat)), cuts, made
-
-    def _add(self, fresh: list[str]) -> Aligned:
-        sides = [Side(c, fresh) for c in self.codecs]
-        spelled = [(" " + u).encode() for u in fresh]
-        good = np.array([x == y == z for x, y, z in zip(spelled, sides[0].spelled(), sides[1].spelled(), strict=True)], bool)
-        if not good.all():
-            # Units that differ are numbered behind the others; they have no tokens.
-            fresh = [*(u for u, g in zip(fresh, good, strict=True) if g), *(u for u, g in zip(fresh, good, strict=True) if not g)]
-            sides = [Side(c, fresh[: int(good.sum())]) for c in self.codecs]
-        self.at.update(zip(fresh, range(len(self.at), len(self.at) + len(fresh)), strict=True))
-        self.size += sum(map(len, fresh)) + 8 * len(fresh)
-        self.good = np.r_[self.good, np.sort(good)[::-1]]
-        made = Aligned(*sides, len(fresh))
-        self.parts.append(made)
-        return made
+        return np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat)), cuts, self.parts[before:]
+
+    def _add_joined(self, some: list[str]) -> bool:
+        """Units encoded as one text; False if that is not spelled by its tokens."""
+        whole = (" " + " ".join(some)).encode()
+        ids = [np.array(t.codec.joined(some), np.int64) for t in self.tables]
+        if any(b"".join(map(t.codec.bytes.__getitem__, i.tolist())) != whole for t, i in zip(self.tables, ids, strict=True)):
+            return False
+        stops = np.cumsum(_sizes(some))
+        self._keep(some, Aligned(*map(partial(Side, stops=stops), self.tables, ids), stops, self.written))
+        return True
+
+    def _add_each(self, some: list[str]) -> None:
+        found = [[np.array(t.codec.unit(u), np.int64) for u in some] for t in self.tables]
+        spelled = [[b"".join(map(t.codec.bytes.__getitem__, i.tolist())) for i in x] for t, x in zip(self.tables, found, strict=True)]
+        good = [x == y == (" " + u).encode() for u, x, y in zip(some, *spelled, strict=True)]
+        kept = [u for u, g in zip(some, good, strict=True) if g]
+        if kept:
+            stops = np.cumsum(_sizes(kept))
+            ids = [np.concatenate([i for i, g in zip(x, good, strict=True) if g]) for x in found]
+            self._keep(kept, Aligned(*map(partial(Side, stops=stops), self.tables, ids), stops, self.written))
+        if len(kept) < len(some):
+            self._keep([u for u, g in zip(some, good, strict=True) if not g], None)
+
+    def _keep(self, some: list[str], made: Aligned | None) -> None:
+        """made: None for units that are spelled otherwise, which have no tokens; of those, parts has the number."""
+        self.at.update(zip(some, range(len(self.at), len(self.at) + len(some)), strict=True))
+        self.size += sum(map(len, some)) + 8 * len(some)
+        self.good = np.r_[self.good, np.full(len(some), made is not None)]
+        self.parts.append(len(some) if made is None else made)
+
+
+def _sizes(some: list[str]) -> list[int]:
+    """Bytes of units with their blanks."""
+    return [len(u.encode()) + 1 for u in some]
 
 
 def _slices(texts: list[str | None], limit: int = SLICE) -> Iterator[tuple[int, int]]:
@@ -200,14 +255,16 @@ def _count_task(first: str, second: str, remembered: int):
             yield pa.record_batch([pa.array(keys[at : at + 100_000]), pa.array(counts[at : at + 100_000])], names=["key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tally, seen = Known(first, second), Tally(), np.zeros(0, np.int64)
+        known, tally, seen = Known(first, second, False), Tally(), np.zeros(0, np.int64)
 
         def linked() -> Iterator[pa.RecordBatch]:
             start = 0
             for part in known.parts:
-                # A part's good units come first.
+                if isinstance(part, int):
+                    start += part
+                    continue
                 counts = seen[start : start + len(part.n_a)][part.pair_unit]
-                start += part.all_units
+                start += len(part.n_a)
                 keys, back = np.unique(part.pairs[counts > 0], return_inverse=True)
                 sums = np.zeros(len(keys), np.int64)
                 np.add.at(sums, back, counts[counts > 0])
@@ -237,19 +294,21 @@ def _digest_task(first: str, second: str, counts: Shards, best: np.ndarray, reme
     names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table, groups = Known(first, second), np.zeros((len(names), 0), np.int64), []
+        known, table, groups = Known(first, second, True), np.zeros((len(names), 0), np.int64), []
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
             for a, b in _slices(texts):
                 codes, cuts, made = known.codes(texts[a:b])
                 for part in made:
+                    if isinstance(part, int):
+                        table, groups = np.pad(table, ((0, 0), (0, part))), groups + [""] * part
+                        continue
                     found = counts.values(part.pairs, "n")
                     top = found == best[part.pairs & 0xFFFFFFFF]
                     total = np.zeros(len(part.n_a), np.int64)
                     np.add.at(total, part.pair_unit, found)
                     rows = np.stack([part.n_a, part.n_b, part.n_groups, part.n_links, np.bincount(part.pair_unit[top], minlength=len(part.n_a)), total])
-                    table = np.concatenate([table, np.pad(rows, ((0, 0), (0, part.all_units - len(part.n_a))))], axis=1)
-                    groups += part.groups + [""] * (part.all_units - len(part.n_a))
+                    table, groups = np.concatenate([table, rows], axis=1), groups + part.groups
                 ok = _ok(known.good[codes], cuts)
                 upto = np.concatenate([np.zeros((len(names), 1), np.int64), np.cumsum(table[:, codes], axis=1)], axis=1)
                 sums = (upto[:, cuts[1:]] - upto[:, cuts[:-1]]) * ok
