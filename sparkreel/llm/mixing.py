@@ -8,7 +8,8 @@ tokens. It is realised as whole passes over the source and one partial pass.
 
 In a pass, documents come in permuted blocks: blocks in the order of a hash of
 source, pass and block, documents in a block in the order of a hash of pass and
-document. The partial pass takes whole blocks while they fit and documents of
+document. A document is known by the hash of its row and its number among equal
+rows, so rows without ids, with one id or with one text are dealt like others. The partial pass takes whole blocks while they fit and documents of
 the next block while they fit. So the plan is one row a source: its passes, the
 block at which the partial pass ends and the last document key there.
 
@@ -34,6 +35,8 @@ SLICE_BLOCKS = 10_000
 #: A plan (one row a source) of more bytes is not broadcast; each source then has SALTS join keys.
 BROADCAST_BYTES = 8_000_000
 SALTS = 64
+#: Equal rows that are numbered in one go; more are numbered in several tasks.
+NUMBERS = 100_000
 
 
 def token_count(text: Column) -> Column:
@@ -89,7 +92,7 @@ def _by_source(rows: DataFrame, table: DataFrame, most_bytes: int = BROADCAST_BY
     if size <= most_bytes:
         return rows.join(F.broadcast(table), "source")
     salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(_key(F.lit(1), F.col("doc_id"), F.col("n_tokens")), F.lit(SALTS)).cast("int")
+    salt = F.pmod(_key(F.lit(1), F.col("row_a"), F.col("number")), F.lit(SALTS)).cast("int")
     return rows.withColumn("__salt", salt).join(salted, ["source", "__salt"]).drop("__salt")
 
 
@@ -106,7 +109,7 @@ def _ends(blocks: DataFrame, slice_blocks: int) -> DataFrame:
 
 
 def plan(docs: DataFrame, budget: int | None, entropy_gain: float, max_repeats: float, block_tokens: int, seed: int, slice_blocks: int = SLICE_BLOCKS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """source, blocks, whole, edge_key, edge, last_key of docs(doc_id, source, n_tokens): whole passes, then the partial pass.
+    """source, blocks, whole, edge_key, edge, last_key of numbered rows: whole passes, then the partial pass.
 
     It draws the blocks before (edge_key, edge) and of that block the documents up
     to last_key; without an edge it draws nothing.
@@ -123,7 +126,7 @@ def plan(docs: DataFrame, budget: int | None, entropy_gain: float, max_repeats:
     budgets = budgets.select("source", F.expr("budget div tokens").cast("int").alias("whole"), F.expr("budget % tokens").alias("rest"), F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens)).alias("blocks"))
     budgets, budgets_at = stored(budgets, "budgets")
     discard(spark, sources_at)
-    placed = _by_source(docs, budgets, most_bytes).withColumn("block", block_of("source", "doc_id", F.col("blocks"), seed))
+    placed = _by_source(docs, budgets, most_bytes).withColumn("block", block_of(F.col("blocks"), seed))
     blocks = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"), F.first("whole").alias("whole"), F.first("rest").alias("rest"), F.first("blocks").alias("blocks"))
     blocks, blocks_at = stored(blocks.withColumn("block_key", _key(F.lit(seed), F.col("source"), F.col("whole"), F.col("block"))), "blocks")
     blocks = _ends(blocks, slice_blocks)
@@ -132,7 +135,7 @@ def plan(docs: DataFrame, budget: int | None, entropy_gain: float, max_repeats:
     edges, edges_at = stored(edges.select("source", F.col("edge.block_key").alias("edge_key"), F.col("edge.block").alias("edge"), "edge.room"), "edges")
     discard(spark, blocks_at)
     ahead = _by_source(docs, budgets.select("source", "whole", "blocks").join(edges, "source"), most_bytes)
-    ahead = ahead.where((F.col("room") > 0) & (block_of("source", "doc_id", F.col("blocks"), seed) == F.col("edge")))
+    ahead = ahead.where((F.col("room") > 0) & (block_of(F.col("blocks"), seed) == F.col("edge")))
     inside = Window.partitionBy("source").orderBy("doc_key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = ahead.withColumn("doc_key", _doc_key(seed)).withColumn("end", F.sum("n_tokens").over(inside)).where("end <= room")
     limits = ahead.groupBy("source").agg(F.max("doc_key").alias("last_key"))
@@ -144,11 +147,39 @@ def plan(docs: DataFrame, budget: int | None, entropy_gain: float, max_repeats:
 
 
 def _doc_key(seed: int) -> Column:
-    return _key(F.lit(seed), F.col("whole"), F.col("doc_id"), F.col("n_tokens"))
+    return _key(F.lit(seed), F.col("whole"), F.col("row_a"), F.col("number"))
 
 
-def block_of(source: str, doc_id: str, blocks: Column, seed: int) -> Column:
-    return F.pmod(_key(F.lit(seed + 1), F.col(source), F.col(doc_id)), blocks).cast("int")
+def block_of(blocks: Column, seed: int) -> Column:
+    return F.pmod(_key(F.lit(seed + 1), F.col("source"), F.col("row_a"), F.col("number")), blocks).cast("int")
+
+
+def hashed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, n_tokens, the columns in keep, and row_a, row_b: two hashes of id, source, text and what is kept. Nulls differ from all values."""
+    text = F.col("text").cast("string")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), token_count(text).alias("n_tokens"), text.alias("__text"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
+    parts = ["doc_id", "source", "__text", *[f"__keep_{c}" for c in keep if c != "text"]]
+    shown = [x for c in parts for x in (F.col(c).isNull(), F.col(c))]
+    return own.withColumns({"row_a": _key(F.lit(1), *shown), "row_b": _key(F.lit(2), *shown)}).drop("__text")
+
+
+def numbered(own: DataFrame) -> DataFrame:
+    """One row for each row of hashed(): equal ones are counted, then numbered from 0, so a group of them is never in one task."""
+    groups = own.groupBy("doc_id", "source", "n_tokens", "row_a", "row_b").agg(F.count(F.lit(1)).alias("many"))
+    parts = groups.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(many - 1) div {NUMBERS}"))))
+    few, rest = parts.where(f"many <= {NUMBERS}"), parts.where(f"many > {NUMBERS}").repartition("row_a", "part")
+    first = F.col("part") * NUMBERS
+    return few.unionByName(rest).withColumn("number", F.explode(F.sequence(first, F.least(first + NUMBERS, "many") - 1))).drop("part")
+
+
+def _with_kept(own: DataFrame, counted: DataFrame) -> DataFrame:
+    """Numbered rows with the columns that are kept. Rows that repeat come from one of them; all others pass as they are."""
+    again = cut(counted.where("many > 1").select("row_a", "row_b", "number"), "repeated")
+    keys = again.where("number = 0").drop("number")
+    once = own.join(keys, ["row_a", "row_b"], "left_anti").withColumn("number", F.lit(0).cast("long"))
+    kept = [c for c in own.columns if c not in ("row_a", "row_b")]
+    one = own.join(keys, ["row_a", "row_b"], "left_semi").groupBy("row_a", "row_b").agg(*[F.first(c).alias(c) for c in kept])
+    return once.unionByName(one.join(again, ["row_a", "row_b"]))
 
 
 def mix(docs: DataFrame, budget: int | None = None, entropy_gain: float = 0.5, max_repeats: float = 4.0, block_tokens: int = BLOCK_TOKENS, seed: int = 0, keep: tuple[str, ...] = (), slice_blocks: int = SLICE_BLOCKS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -156,18 +187,20 @@ def mix(docs: DataFrame, budget: int | None = None, entropy_gain: float = 0.5, m
 
     budget counts tokens (None: as many as there are); more than max_repeats times
     the tokens there are is an error. Read in the order of (epoch, block_key,
-    doc_key) a source's rows are its block permutations. Documents with equal keys
-    (repeated rows) are drawn together or not at all. A null source is the source
-    '', null text has no tokens; sources without tokens are not drawn. An empty
+    doc_key) a source's rows are its block permutations. Each row is a document of
+    its own, whatever its id; equal rows are drawn one by one, and stand for each
+    other. A null source is the source '', null text has no tokens; sources
+    without tokens are not drawn. An empty
     table gives no rows. Other columns are not read. A plan of up to most_bytes is
     broadcast; beyond, it is joined with salted sources.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), token_count(F.col("text").cast("string")).alias("n_tokens"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
-    counted, counted_at = stored(own.select("doc_id", "source", "n_tokens"), "tokens")
+    own = hashed(docs, keep)
+    counted, counted_at = stored(numbered(own.drop(*[f"__keep_{c}" for c in keep])), "tokens")
     plans = plan(counted, budget, entropy_gain, max_repeats, block_tokens, seed, slice_blocks, most_bytes)
+    rows = counted
     if keep:
-        discard(docs.sparkSession, counted_at)
-    drawn = _by_source(own if keep else counted, plans, most_bytes).withColumn("block", block_of("source", "doc_id", F.col("blocks"), seed))
+        rows = _with_kept(own, counted)
+    drawn = _by_source(rows, plans, most_bytes).withColumn("block", block_of(F.col("blocks"), seed))
     place = F.struct(_key(F.lit(seed), F.col("source"), F.col("whole"), F.col("block")).alias("edge_key"), F.col("block").alias("edge"))
     edge = F.struct("edge_key", "edge")
     partial = F.when(F.col("edge").isNull(), False).when(place == edge, F.coalesce(_doc_key(seed) <= F.col("last_key"), F.lit(False))).otherwise(place < edge)
@@ -175,6 +208,6 @@ def mix(docs: DataFrame, budget: int | None = None, entropy_gain: float = 0.5, m
     return drawn.select(
         "doc_id", "source", "n_tokens", "epoch", "block",
         _key(F.lit(seed), F.col("source"), F.col("epoch"), F.col("block")).alias("block_key"),
-        _key(F.lit(seed), F.col("epoch"), F.col("doc_id"), F.col("n_tokens")).alias("doc_key"),
+        _key(F.lit(seed), F.col("epoch"), F.col("row_a"), F.col("number")).alias("doc_key"),
         *[F.col(f"__keep_{c}").alias(c) for c in keep],
     )

@@ -506,10 +506,10 @@ def test_mixture_meets_its_targets(spark, gain, repeats):
 
 def brute_draws(spark, df, budget, block_tokens):
     """(source, doc_id, epoch) drawn from df by the plan's definition; only the hashes and the exponent come from Spark."""
-    counted = df.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), mixing.token_count(F.col("text")).alias("n_tokens"))
+    counted = mixing.numbered(mixing.hashed(df))
     plan = mixing.plan(counted, budget, 0.5, 4.0, block_tokens, 0)
-    keyed = counted.join(plan, "source").withColumn("block", mixing.block_of("source", "doc_id", F.col("blocks"), 0))
-    keyed = keyed.select("source", "doc_id", "n_tokens", "whole", "block", F.xxhash64(F.lit(0), "source", "whole", "block").alias("block_key"), F.xxhash64(F.lit(0), "whole", "doc_id", "n_tokens").alias("doc_key"))
+    keyed = counted.join(plan, "source").withColumn("block", mixing.block_of(F.col("blocks"), 0))
+    keyed = keyed.select("source", "doc_id", "n_tokens", "whole", "block", F.xxhash64(F.lit(0), "source", "whole", "block").alias("block_key"), F.xxhash64(F.lit(0), "whole", "row_a", "number").alias("doc_key"))
     by_source = {}
     for r in keyed.collect():
         by_source.setdefault(r["source"], []).append(r)
@@ -538,7 +538,29 @@ def brute_draws(spark, df, budget, block_tokens):
                 rest -= r["n_tokens"]
                 want.append((source, r["doc_id"], whole))
             break
-    return sorted(want)
+    return sorted(want, key=lambda x: (x[0], x[1] is not None, x[1], x[2]))
+
+
+@pytest.mark.parametrize("keep", [(), ("text", "lang")])
+def test_budgets_hold_without_ids(spark, monkeypatch, keep):
+    """2,000 equal rows without an id in one source, one id for all in another, ids in the third."""
+    monkeypatch.setattr(mixing, "NUMBERS", 300)
+    data = [(None, "w " * 10, "a", "en")] * 2000 + [(7, prose(10), "b", "en") for _ in range(100)] + [(i, prose(10), "c", None) for i in range(100)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, lang string")
+    for budget in (10_000, 30_000):
+        out = mixing.mix(df, budget=budget, block_tokens=200, keep=keep)
+        want = {}
+        for source, _, _ in brute_draws(spark, df.drop("lang"), budget, 200):
+            want[source] = want.get(source, 0) + 10
+        total, a = 22_000, mixing.exponent(spark.createDataFrame([("a", 20_000), ("b", 1000), ("c", 1000)], "source string, tokens long"), budget, 0.5, 4.0)
+        raised = {s: (t / total) ** a for s, t in (("a", 20_000), ("b", 1000), ("c", 1000))}
+        drawn = dict(rows(out.groupBy("source").agg(F.sum("n_tokens").alias("t"))))
+        for s, r in raised.items():
+            share = r / sum(raised.values()) * budget
+            assert share - 11 <= drawn[s] <= share + 1 and share - 11 <= want[s] <= share + 1
+        assert rows(out) == rows(mixing.mix(df.repartition(5), budget=budget, block_tokens=200, keep=keep))
+        if keep:
+            assert out.where("source = 'a' and (text <> repeat('w ', 10) or lang <> 'en')").count() == 0 and out.where("source = 'c' and lang is not null").count() == 0
 
 
 @pytest.mark.parametrize(("budget", "slices", "most"), [(None, 10_000, 10**7), (None, 2, 0), (9000, 3, 0), (40_000, 1, 10**7)])
