@@ -19,9 +19,12 @@ keeps fragments small, and summed over the fragments.
 
 Components. Only links between different components are needed. Every document
 is compared with one pivot of its buckets; then, in buckets that hold several
-components, the largest one's head with the others' heads, as long as that finds
-links; and last every document outside a bucket's largest component with all the
-others' there. Equal sets are one node throughout.
+components, one node of each with one of the largest; and last every document
+outside a bucket's largest component with all the others' there. These are not
+listed as pairs, as near copies around the threshold would be nearly all pairs of
+their group: tasks get blocks of such documents against blocks of all, add up the
+overlaps fragment by fragment, stop where the rest cannot suffice, and give the
+links alone. Equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -43,6 +46,12 @@ COUNTER_BITS = 18
 #: Shingles of a fragment when overlaps are counted, about.
 FRAGMENT = 1024
 SHARD_ROWS = 2_000_000
+#: Rounds in which components of a bucket meet at single nodes before all their nodes do.
+ROUNDS = 2
+#: Nodes and shingles of a block in the last comparison, and fragments in which a task adds up overlaps.
+BLOCK_NODES = 1_000
+BLOCK_SHINGLES = 2_000_000
+PARTS = 8
 
 
 def may_differ(sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -183,12 +192,16 @@ def _segments(node: int, own: np.ndarray, percent: int) -> Iterator[pa.RecordBat
         yield pa.record_batch(columns, names=["node", "level", "fragment", "grams"])
 
 
+def _segments_of(docs: DataFrame, nodes: DataFrame, some: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, level, fragment, grams of these nodes, read from the texts of their rows."""
+    wanted, _ = stored(some.join(nodes, "node").select(F.col("row_hash").alias("key"), "node", "print_a", "print_b"), "wanted")
+    placed = wanted.repartitionByRange(wanted.count() // SHARD_ROWS + 1, "key").sortWithinPartitions("key", "print_a", "print_b")
+    return docs.mapInArrow(_segment_task(k, percent, written(placed, "wanted", unique=False)), _SEGMENTS)
+
+
 def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of pairs(a, b, n_a, n_b) whose overlap, counted in each fragment and summed, is large enough; stored."""
-    some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(F.col("row_hash").alias("key"), "node", "print_a", "print_b")
-    some, path = stored(some, "wanted")
-    wanted = written(some.repartitionByRange(some.count() // SHARD_ROWS + 1, "key").sortWithinPartitions("key", "print_a", "print_b"), "wanted", unique=False)
-    segments = docs.mapInArrow(_segment_task(k, percent, wanted), _SEGMENTS)
+    segments = _segments_of(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), k, percent)
     # A row that repeats gives its node's fragments again; a pair's overlap in a fragment is the same each time.
     one = pairs.withColumn("level", _fragment_level(F.greatest("n_a", "n_b"))).join(segments.select(F.col("node").alias("b"), "level", "fragment", F.col("grams").alias("grams_b")), ["b", "level"])
     two = one.join(segments.select(F.col("node").alias("a"), "level", "fragment", F.col("grams").alias("grams_a")), ["a", "level", "fragment"])
@@ -207,9 +220,110 @@ def _open(postings: DataFrame, links: DataFrame) -> DataFrame:
     """Postings in buckets that hold several components, with label, and the home: the component most of the bucket's nodes are in."""
     labels = components(links).withColumnRenamed("component", "label")
     own = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    held = own.groupBy("key", "label").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("node", "n")).alias("head"))
-    homes = held.groupBy("key").agg(F.max(F.struct("many", "head", "label")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return own.join(homes.select("key", F.col("most.label").alias("home"), F.col("most.head").alias("home_head")), "key")
+    held = own.groupBy("key", "label").agg(F.count(F.lit(1)).alias("many"))
+    homes = held.groupBy("key").agg(F.max(F.struct("many", "label")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return own.join(homes.select("key", F.col("most.label").alias("home")), "key")
+
+
+def _met(open_: DataFrame, number: int) -> DataFrame:
+    """In each bucket one node of every component beside its home, and one of the home; other ones in each round."""
+    drawn = F.min(F.struct(F.xxhash64(F.lit(number), "node"), "node", "n"))
+    one = open_.groupBy("key", "label", "home").agg(drawn.alias("one"))
+    home = one.where("label = home").select("key", F.col("one").alias("host"))
+    return one.where("label <> home").join(home, "key").select(*_ordered(F.struct("one.node", "one.n"), F.struct("host.node", "host.n")))
+
+
+def _cells(open_: DataFrame, block_nodes: int, block_shingles: int) -> DataFrame:
+    """node, n, label, few, keys, cluster, cell: blocks of nodes outside a home (few) against blocks of all nodes that their buckets connect."""
+    own = cut(open_.groupBy("node", "n", "label").agg(F.bool_or(F.col("label") != F.col("home")).alias("strays"), F.collect_set("key").alias("keys")), "members")
+    first = open_.groupBy("key").agg(F.min("node").alias("a"))
+    clusters = components(open_.join(first, "key").select("a", F.col("node").alias("b")).distinct())
+    own = own.join(clusters.withColumnRenamed("component", "cluster"), "node")
+
+    def parts(which):
+        many, shingles = F.count_if(which), F.sum(F.when(which, F.col("n")))
+        return F.ceil(F.greatest(many / block_nodes, shingles / block_shingles)).cast("int")
+
+    own = own.join(own.groupBy("cluster").agg(parts(F.col("strays")).alias("high"), parts(F.lit(True)).alias("wide")), "cluster")
+
+    def dealt(few: bool) -> DataFrame:
+        mine, other = ("high", "wide") if few else ("wide", "high")
+        block, across = F.pmod(F.xxhash64("node"), F.col(mine)), F.sequence(F.lit(0), F.col(other) - 1)
+        cells = F.transform(across, lambda x: block * F.col("wide") + x if few else x * F.col("wide") + block)
+        return (own.where("strays") if few else own).select("node", "n", "label", F.lit(few).alias("few"), "keys", "cluster", F.explode(cells).alias("cell"))
+
+    return dealt(True).unionByName(dealt(False))
+
+
+class _Sets:
+    """Nodes of a cell with their shingles as places in the cell's order, and where that order's parts begin in each."""
+
+    def __init__(self, rows: pa.Table):
+        grams = rows["grams"].combine_chunks()
+        sizes, flat = grams.value_lengths().to_numpy(), grams.flatten().to_numpy().view(np.uint64)
+        self.nodes, first, at = np.unique(rows["node"].to_numpy(), return_index=True, return_inverse=True)
+        self.labels, self.sizes = rows["label"].to_numpy()[first], rows["n"].to_numpy()[first]
+        self.keys = [rows["keys"][int(i)].values.to_numpy() for i in first]
+        owner = np.repeat(at, sizes)
+        order = np.lexsort((flat, owner))
+        flat, owner = flat[order], owner[order]
+        # Fragments of rows that repeat are there more than once.
+        kept = np.r_[True, (owner[1:] != owner[:-1]) | (flat[1:] != flat[:-1])] if len(flat) else np.empty(0, bool)
+        flat, owner = flat[kept], owner[kept]
+        every, self.codes = np.unique(flat, return_inverse=True)
+        self.many = len(every)
+        steps = np.linspace(0, self.many, PARTS + 1).astype(np.int64)
+        # Codes of a node ascend, and so do owner * many + code.
+        spread = owner * self.many + self.codes
+        self.cuts = np.searchsorted(spread, (np.arange(len(self.nodes)) * self.many)[:, None] + steps[None, :])
+
+
+def _overlaps(sets: _Sets, mark: np.ndarray, x: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """Those of the others that are linked with x, whose shingles are marked."""
+    need = -(-percent * (sets.sizes[x] + sets.sizes[others]) // (100 + percent))
+    total = np.zeros(len(others), np.int64)
+    for part in range(PARTS):
+        starts, stops = sets.cuts[others, part], sets.cuts[others, part + 1]
+        sizes = stops - starts
+        ends = np.cumsum(sizes)
+        at = np.repeat(starts - np.r_[0, ends[:-1]], sizes) + np.arange(ends[-1])
+        held = np.r_[0, np.cumsum(mark[sets.codes[at]])]
+        total += held[ends] - held[ends - sizes]
+        left = np.minimum(sets.cuts[others, PARTS] - stops, sets.cuts[x, PARTS] - sets.cuts[x, part + 1])
+        hopeful = total + left >= need
+        others, total, need = others[hopeful], total[hopeful], need[hopeful]
+        if not len(others):
+            break
+    return others
+
+
+def _cell_task(percent: int):
+    """Links (a, b) between the components of a cell."""
+
+    def run(group: pa.Table) -> pa.Table:
+        sets, few = _Sets(group), np.unique(group["node"].to_numpy()[group["few"].to_numpy(zero_copy_only=False)])
+        wide = np.isin(sets.nodes, np.unique(group["node"].to_numpy()[~group["few"].to_numpy(zero_copy_only=False)]))
+        holders: dict[int, list[int]] = {}
+        for i in np.flatnonzero(wide).tolist():
+            for key in sets.keys[i].tolist():
+                holders.setdefault(key, []).append(i)
+        labels, mark, found = sets.labels.copy(), np.zeros(sets.many, bool), []
+        for x in np.searchsorted(sets.nodes, few).tolist():
+            others = np.unique(np.concatenate([np.array(holders.get(key, ()), np.int64) for key in sets.keys[x].tolist()]))
+            small, large = np.minimum(sets.sizes[others], sets.sizes[x]), np.maximum(sets.sizes[others], sets.sizes[x])
+            others = others[(labels[others] != labels[x]) & (100 * small >= percent * large)]
+            if not len(others):
+                continue
+            own = sets.codes[sets.cuts[x, 0] : sets.cuts[x, PARTS]]
+            mark[own] = True
+            for y in _overlaps(sets, mark, x, others, percent).tolist():
+                if labels[y] != labels[x]:
+                    found.append((int(sets.nodes[x]), int(sets.nodes[y])))
+                    labels[labels == labels[y]] = labels[x]
+            mark[own] = False
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return run
 
 
 def _ordered(a, b) -> list:
@@ -218,7 +332,7 @@ def _ordered(a, b) -> list:
     return [first["node"].alias("a"), second["node"].alias("b"), first["n"].alias("n_a"), second["n"].alias("n_b")]
 
 
-def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = ROUNDS, block_nodes: int = BLOCK_NODES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text).
 
     Two rows are linked if 100 * |intersection| >= percent * |union| of their
@@ -245,23 +359,21 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     tried = cut(tries.groupBy("node").agg(F.max(F.struct("many", "a", "b", "n_a", "n_b")).alias("x")).select("x.a", "x.b", "x.n_a", "x.n_b").distinct(), "pairs")
     links = _linked(docs, nodes, tried, k, percent)
     postings = postings.drop("pivot")
-    while True:
-        opened_ = _open(postings, links)
-        heads = opened_.where("label <> home").groupBy("key", "label").agg(F.min(F.struct("node", "n")).alias("head"), F.first("home_head").alias("home"))
-        fresh = cut(heads.select(*_ordered(F.col("head"), F.col("home"))).where(_sized(percent)).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    for number in range(rounds):
+        met = _met(_open(postings, links), number)
+        fresh = cut(met.where(_sized(percent)).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
             break
         found = _linked(docs, nodes, fresh, k, percent)
         links, tried = cut(links.union(found), "links"), cut(tried.union(fresh), "pairs")
         if found.isEmpty():
             break
-    opened_ = cut(_open(postings, links), "open")
-    strays = opened_.where("label <> home").select("key", F.struct("node", "n").alias("x"), F.col("label").alias("own"))
-    others = opened_.select("key", F.struct("node", "n").alias("y"), "label")
-    cross = strays.join(others, "key").where("own <> label").select(*_ordered(F.col("x"), F.col("y"))).where(_sized(percent)).distinct()
-    fresh = cut(cross.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    if not fresh.isEmpty():
-        links = cut(links.union(_linked(docs, nodes, fresh, k, percent)), "links")
+    open_ = cut(_open(postings, links), "open")
+    if not open_.isEmpty():
+        cells = cut(_cells(open_, block_nodes, block_shingles), "cells").withColumn("level", _fragment_level(F.col("n")))
+        segments = _segments_of(docs, nodes, cells.select("node").distinct(), k, percent)
+        met = cells.join(segments.drop("fragment"), ["node", "level"]).drop("level")
+        links = cut(links.union(met.groupBy("cluster", "cell").applyInArrow(_cell_task(percent), "a long, b long")), "links")
 
     labels = components(links)
     named = rows.drop("keys", "row_hash").join(classes, prints, "left").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node", -1 - F.col("row_id")))

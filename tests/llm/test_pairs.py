@@ -8,7 +8,7 @@ from tests.compare import connect, differences
 from tests.conftest import rows
 
 from . import brute
-from .test_operators import ODD, corpus, empty
+from .test_operators import ODD, corpus, edited, empty
 
 FIRST, SECOND = f"{queries.TOKENIZERS}/byte_bpe_50k.json", f"{queries.TOKENIZERS}/piece_bpe_32k.model"
 STRANGE = ["abc ", " abc", "  a  b", "a\n b", "a \n  b\t c", "<s> x </s> <unk>", "<|endoftext|> q", "\u2581a", "a\u2581b", "\u00a0a", "\x00 a\x01", "  ", " ", "\n", "a\u3000b",
@@ -110,3 +110,83 @@ def test_phrases_of_nothing(spark):
 def test_phrases_query_equals_sql(spark):
     folder = "/root/testdata/sf0.001"
     assert differences(queries.op13_collocations(spark, folder), connect(folder), queries.ORACLE_SQL["op13_collocations"]) is None
+
+
+# N-gram join
+
+
+def components_of(found, k, percent):
+    """{row: (set size, smallest id reachable)} by comparing all pairs of rows."""
+    sets = [brute.shingles(t, k) for _, t in found]
+    root = list(range(len(found)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(found)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    low = {}
+    for i, (doc_id, _) in enumerate(found):
+        if doc_id is not None:
+            low[top(i)] = min(low.get(top(i), doc_id), doc_id)
+    return [(doc_id, len(sets[i]), low.get(top(i))) for i, (doc_id, _) in enumerate(found)]
+
+
+@pytest.mark.parametrize(("k", "percent", "rounds", "nodes", "shingles"), [(4, 85, 2, 1000, 2_000_000), (4, 85, 0, 5, 2_000_000), (5, 80, 1, 1000, 500), (2, 60, 0, 7, 900)])
+def test_ngram_join_equals_all_pairs(docs, k, percent, rounds, nodes, shingles):
+    from sparkreel.llm import ngram_join
+
+    draw = random.Random(k)
+    base = " ".join(draw.choice("abcdefghijklmnop") + str(draw.randrange(9)) for _ in range(60))
+    near = [edited(base, draw.randint(0, 4), draw) for _ in range(80)]
+    small = [" ".join(draw.choice("ab") for _ in range(draw.randint(1, 9))) for _ in range(60)]
+    found = [*corpus(), *((1000 + i, t) for i, t in enumerate(near + small)), (None, near[0]), (None, near[1] + " x"), (None, "alone here today you"), (2000, near[2]), (2000, "other text with this id"), *ODD]
+    got = ngram_join.linked_documents(docs(found), k=k, percent=percent, rounds=rounds, block_nodes=nodes, block_shingles=shingles)
+    assert rows(got) == rows(got.sparkSession.createDataFrame(components_of(found, k, percent), "doc_id long, n_shingles long, component_id long"))
+
+
+def test_fragments_of_linked_sets_meet():
+    import numpy as np
+
+    from sparkreel.llm import kernels, ngram_join
+
+    draw = random.Random(9)
+    counts = np.array([draw.randrange(50) for _ in range(1 << ngram_join.COUNTER_BITS)], np.int64)
+    for percent in (60, 80, 85):
+        for _ in range(300):
+            n = draw.choice([3, 6, 7, 8, 12, 20, 45, 150, 900])
+            m = draw.randint(n, 100 * n // percent)
+            least = -(-percent * (n + m) // (100 + percent))
+            if least > n:
+                continue
+            every = np.unique(kernels.mix(np.array([draw.randrange(2**64) for _ in range(n + m - least)], np.uint64)))
+            draw_order = list(range(len(every)))
+            draw.shuffle(draw_order)
+            one, two = np.sort(every[draw_order[:n]]), np.sort(every[draw_order[n - least :]])
+            if 100 * least < percent * (n + m - least) or n == m == least:
+                continue
+            keys, owner = ngram_join.kept_fragments(np.concatenate([one, two]), np.array([0, len(one), len(one) + len(two)]), percent, counts)
+            assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+
+
+def test_long_sets_meet_in_fragments(docs, monkeypatch):
+    from sparkreel.llm import ngram_join
+
+    draw = random.Random(2)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(9000)]
+    cut = base[: int(len(base) * 0.87)]
+    far = base[:4000] + [f"v{i}" for i in range(5000)]
+    found = [(1, " ".join(base)), (2, " ".join(cut)), (3, " ".join(far)), (4, " ".join(base[:-1] + ["end"])), (5, " ".join(cut[:200]))]
+    got = ngram_join.linked_documents(docs(found), k=4, percent=85)
+    assert [r[2] for r in rows(got)] == [1, 1, 3, 1, 5]
+
+
+def test_ngram_join_of_nothing(spark):
+    from sparkreel.llm import ngram_join
+
+    assert ngram_join.linked_documents(empty(spark)).count() == 0
+    assert rows(ngram_join.linked_documents(spark.createDataFrame([(1, ""), (2, None), (None, None)], "doc_id long, text string"))) == [(None, 0, None), (1, 0, 1), (2, 0, 2)]
