@@ -30,12 +30,15 @@ FROM d LEFT JOIN kept USING (doc_id)"""
 
 def leaks(k: int, percent: int) -> str:
     def sets(table: str, key: str) -> str:
-        return f"SELECT {key}, {shingles('w', k)} AS s FROM (SELECT {key}, {words(lowered('text'))} AS w FROM {table} WHERE text IS NOT NULL AND {key} IS NOT NULL)"
+        return f"SELECT {key}, w, {shingles('w', k)} AS s FROM (SELECT {key}, {words(lowered('text'))} AS w FROM {table} WHERE text IS NOT NULL AND {key} IS NOT NULL)"
 
     return f"""
-WITH d AS (SELECT doc_id, unnest(s) AS g FROM ({sets("documents", "doc_id")})),
-b AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM ({sets("benchmark", "item_id")})),
-c AS (SELECT doc_id, item_id, any_value(n) AS n, count(*) AS m FROM d JOIN b USING (g) GROUP BY doc_id, item_id)
+WITH ds AS ({sets("documents", "doc_id")}), bs AS ({sets("benchmark", "item_id")}),
+d AS (SELECT doc_id, unnest(s) AS g FROM ds WHERE len(w) >= {k}),
+b AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM bs WHERE len(w) >= {k}),
+short AS (SELECT item_id, ' ' || array_to_string(w, ' ') || ' ' AS t FROM bs WHERE len(w) BETWEEN 1 AND {k - 1}),
+c AS (SELECT doc_id, item_id, any_value(n) AS n, count(*) AS m FROM d JOIN b USING (g) GROUP BY doc_id, item_id
+      UNION ALL SELECT doc_id, item_id, 1, 1 FROM ds JOIN short ON contains(' ' || array_to_string(ds.w, ' ') || ' ', short.t))
 SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_shingles, CAST(m AS BIGINT) AS n_shared, CAST(m AS DOUBLE) / CAST(n AS DOUBLE) AS containment
 FROM c WHERE 100 * m >= {percent} * n"""
 

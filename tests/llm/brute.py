@@ -115,8 +115,10 @@ def leaks(docs, items, k, percent):
     sets = {j: shingles(t, k) for j, t in items if j is not None}
     out = []
     for i, t in docs:
-        own = shingles(t, k)
+        w = words(t, True)
+        grams = {n: {tuple(w[a : a + n]) for a in range(len(w) - n + 1)} for n in range(1, k + 1)}
         for j, s in sets.items():
+            own = grams[len(next(iter(s)))] if s else set()
             if i is not None and s and 100 * len(s & own) >= percent * len(s):
                 out.append((i, j, len(s), len(s & own)))
     return sorted(out)

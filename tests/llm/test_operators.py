@@ -246,6 +246,21 @@ def test_leak_edges(spark, docs):
     assert decontaminate.decontaminated(docs(ODD), none).count() == len(ODD)
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_short_items_inside_documents_and_rows_without_ids(spark, docs, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "INDEX_LIMIT", limit)
+    items = [(1, "alpha beta gamma"), (2, "Zeta"), (3, "one two three four"), (4, " ".join(f"i{n}" for n in range(12)))]
+    texts = ["x y alpha beta gamma z", "alpha beta", "ALPHA beta gamma", "so Zeta so", "zetas", "one two three", "and one two three four five", "alpha gamma beta", " ".join(f"i{n}" for n in range(12)), "", None]
+    data = [(n, t) for n, t in enumerate(texts)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = rows(decontaminate.leaks(docs(data), table, index_limit=limit), "doc_id", "item_id", "n_shingles", "n_shared")
+    assert got == brute.leaks(data, items, 5, 80) == [(0, 1, 1, 1), (2, 1, 1, 1), (3, 2, 1, 1), (6, 3, 1, 1), (8, 4, 8, 8)]
+    # One id for all, and none.
+    for same in (None, 7):
+        left = rows(decontaminated := decontaminate.decontaminated(docs([(same, t) for t in texts]), table), "text")
+        assert left == sorted(((t,) for n, t in data if n not in {0, 2, 3, 6, 8}), key=lambda r: (r[0] is not None, r[0])) and "key" in decontaminated.columns
+
+
 # 5 Language ID
 
 
