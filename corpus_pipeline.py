@@ -52,8 +52,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def not_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that hold a benchmark item's five-word shingles to 0.8 or more.
 
-    All rows of an id go if one of its texts holds an item. Null and empty texts and
-    rows without an id hold none and stay; items without an id or words are none.
+    A row goes if its own text holds an item, whatever its id. Null and empty texts
+    hold none and stay; items without an id or words are none.
     """
     return decontaminate.decontaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=5, percent=80)
 
