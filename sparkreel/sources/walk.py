@@ -67,6 +67,16 @@ class Container:
     def guess(source: Bytes, low: int, high: int) -> int | None:
         raise NotImplementedError
 
+    @staticmethod
+    def after(record: Record) -> int:
+        """Where a whole record ends."""
+        raise NotImplementedError
+
+    @staticmethod
+    def resume(source: Bytes, at: int) -> int | None:
+        """Where the first record from the end of another one on begins; None if that is not there yet."""
+        raise NotImplementedError
+
     @classmethod
     def whole(cls, source: Bytes, wanted: Callable[[int], bool] = every) -> Walk:
         at = yield from cls.begin(source)
@@ -104,6 +114,14 @@ class Flv(Container):
             at = end
         return at if at + 4 < source.size else None
 
+    @staticmethod
+    def after(record: Record) -> int:
+        return record[0] + 15 + record[2]
+
+    @staticmethod
+    def resume(source: Bytes, at: int) -> int | None:
+        return at if at + 15 <= source.size else None
+
     @staticmethod
     def guess(source: Bytes, low: int, high: int) -> int | None:
         """The first place where a tag may stand whose size agrees with the size after it."""
@@ -160,6 +178,15 @@ class ProgramStream(Container):
             at = source.find(cls.mark, at + size)
         return at if 0 <= at <= source.size - 4 else None
 
+    @staticmethod
+    def after(record: Record) -> int:
+        return record[0] + record[2]
+
+    @classmethod
+    def resume(cls, source: Bytes, at: int) -> int | None:
+        place = source.find(cls.mark, at)
+        return place if 0 <= place <= source.size - 4 else None
+
     @staticmethod
     def guess(source: Bytes, low: int, high: int) -> int | None:
         """The first pack with the mark bits of a version."""
