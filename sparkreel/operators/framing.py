@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sync import first_sync  # noqa: F401
+from .timeline import last_known
 
 
 def marker_places(data: Column, marker: bytes) -> Column:
@@ -50,9 +51,10 @@ def chunk_states(codes: DataFrame, keys: list[str], order: str, code: str = "cod
     Units: slice (1 to 175), picture (0), sequence (179), extension (181), user (178),
     end (183), gop (184), else other. A sequence, group or picture unit begins an
     access unit if the one before it in its stream was a slice or there was none.
+    The order is a BIGINT that is unique in a stream.
     """
     c = F.col(code)
     unit = F.when(c == 0, "picture").when(c.between(1, 0xAF), "slice").when(c == 0xB3, "sequence").when(c == 0xB5, "extension").when(c == 0xB2, "user").when(c == 0xB7, "end").when(c == 0xB8, "gop").otherwise("other")
-    before = F.lag("unit").over(Window.partitionBy(*keys).orderBy(order))
-    begins = F.col("unit").isin("sequence", "gop", "picture") & (before.isNull() | (before == "slice"))
-    return codes.withColumn("unit", unit).withColumn("begins", F.coalesce(begins, F.lit(False)))
+    begins = F.col("unit").isin("sequence", "gop", "picture") & (F.col("__before").isNull() | (F.col("__before") == "slice"))
+    known = last_known(codes.withColumn("unit", unit), keys, order, F.col("unit"), "__before", before=True)
+    return known.withColumn("begins", F.coalesce(begins, F.lit(False))).drop("__before")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .timeline import last_known
+
 
 def transitions(log: DataFrame, keys: list[str], order: str, state: str) -> DataFrame:
-    """The log with the state before each event (`start` for the first)."""
-    return log.withColumn("from_state", F.coalesce(F.lag(state).over(Window.partitionBy(*keys).orderBy(order)), F.lit("start")))
+    """The log with the state before each event (`start` for the first), by a BIGINT order that is unique in a key."""
+    out = last_known(log, keys, order, F.struct(F.col(state).alias("state")), "__earlier", before=True)
+    return out.withColumn("from_state", F.coalesce("__earlier.state", F.lit("start"))).drop("__earlier")
 
 
 def checked(log: DataFrame, keys: list[str], order: str, state: str, allowed: DataFrame) -> DataFrame:

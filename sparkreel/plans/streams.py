@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock, headers, pixel
-from ..operators import framing, multi, routing, state, timeline
+from ..operators import framing, machine, multi, routing, state, timeline
 from .registry import query
 from .views import BLOCKS, PICTURES, SAMPLES, Tables, word
 
@@ -364,8 +364,44 @@ b AS (SELECT *, lag(unit) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unit, unit IN ('sequence', 'gop', 'picture') AND (before IS NULL OR before = 'slice') AS begins FROM b""")
 def chunk_states(t: Tables) -> DataFrame:
     codes = F.array(*[F.lit(x) for x in (0, 1, 2, 179, 181, 184, 178, 183, 200, 3, 4, 0)])
-    rows = t.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.element_at(codes, (F.col("l_partkey") % 12 + 1).cast("int")).alias("code"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("place"))
-    return framing.chunk_states(rows, ["l_orderkey"], "place").drop("code", "place")
+    rows = t.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.element_at(codes, (F.col("l_partkey") % 12 + 1).cast("int")).alias("code"))
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return framing.chunk_states(rows.withColumn("place", F.row_number().over(place).cast("bigint")), ["l_orderkey"], "place").drop("code", "place")
+
+
+def _machine_sql(moves: dict, otherwise: dict, start: str, rows: str, keys: str, order: str, columns: str) -> str:
+    """Rows r(k, n, event) run one after the other through a table of moves."""
+    legal = ", ".join(f"('{s}', '{e}', '{to}')" for (s, e), to in moves.items())
+    other = " ".join(f"WHEN '{s}' THEN '{to}'" for s, to in otherwise.items())
+    rest = lambda x: f"CASE {x} {other} ELSE {x} END" if other else x
+    return f"""WITH RECURSIVE e AS ({rows}), x AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS __n FROM e), m(a, b, c) AS (VALUES {legal}),
+r AS (SELECT x.*, '{start}' AS from_state, coalesce(m.c, {rest(f"'{start}'")}) AS to_state, m.c IS NOT NULL AS ok FROM x LEFT JOIN m ON m.a = '{start}' AND m.b = x.event WHERE __n = 1
+UNION ALL SELECT x.*, r.to_state, coalesce(m.c, {rest("r.to_state")}), m.c IS NOT NULL FROM r JOIN x ON x.{keys} = r.{keys} AND x.__n = r.__n + 1 LEFT JOIN m ON m.a = r.to_state AND m.b = x.event)
+SELECT {columns}, event, from_state, to_state, ok FROM r"""
+
+
+_COMMANDS = {"click": "play", "view": "pause", "purchase": "stop", "error": "close", "signup": "open"}
+_COMMAND_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _COMMANDS.items())
+
+
+@query(_machine_sql(machine.SESSION.moves, machine.SESSION.otherwise, machine.SESSION.start, f"SELECT user_id, event_id, CASE event_type {_COMMAND_SQL} END AS event FROM events", "user_id", "event_id", "user_id, event_id"))
+def session_states(t: Tables) -> DataFrame:
+    """States of sessions by the commands they get; blocks are short, so a user's log is in many."""
+    command = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in _COMMANDS.items()])
+    return machine.run(t.read("events").select("user_id", "event_id", command.alias("event")), ["user_id"], "event_id", "event", machine.SESSION, width=1000, group=3)
+
+
+_UNITS = ("picture", "slice", "slice", "sequence", "extension", "gop", "user", "end", "other", "slice", "slice", "picture")
+
+
+@query(_machine_sql(machine.VIDEO.moves, machine.VIDEO.otherwise, machine.VIDEO.start, f"SELECT l_orderkey // 20 AS stream, row_number() OVER (PARTITION BY l_orderkey // 20 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS place, {list(_UNITS)}[1 + l_partkey % 12] AS event FROM lineitem", "stream", "place", "stream, place"))
+def video_states(t: Tables) -> DataFrame:
+    """What a video parser waits for at each unit of a stream, and whether the unit is in its place."""
+    units = F.array(*[F.lit(u) for u in _UNITS])
+    place = Window.partitionBy("stream").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = t.read("lineitem").withColumn("stream", F.floor(F.col("l_orderkey") / 20).cast("bigint"))
+    rows = rows.select("stream", F.row_number().over(place).cast("bigint").alias("place"), F.element_at(units, (F.col("l_partkey") % 12 + 1).cast("int")).alias("event"))
+    return machine.run(rows, ["stream"], "place", "event", machine.VIDEO, width=16, group=2)
 
 
 @query("""WITH h AS (SELECT p_partkey, p_size % 2 + 1 AS channels, CASE p_partkey % 3 WHEN 0 THEN 44100 ELSE 48000 END AS rate FROM part)

@@ -143,3 +143,25 @@ def test_durations_and_fills_do_not_depend_on_blocks(spark):
         assert all(durations[n] == (None if n % 4 == 0 else n * n - (0 if n % 4 == 1 else (n - 1) ** 2)) for n in range(50))
         filled = dict(rows(timeline.gap_fill(df, [], "n", "pts", F.lit(5), width=width), "n", "filled"))
         assert all(filled[n] == (n * n if n % 4 else None if n == 0 else (n - 1) ** 2 + 5) for n in range(50))
+
+
+# State machines
+
+
+@pytest.mark.parametrize(("n", "width", "group"), [(3000, 7, 5), (3000, 100_000, 1000), (1, 10, 2)])
+def test_a_machine_in_blocks_is_the_machine_in_a_row(spark, n, width, group):
+    from sparkreel.operators import machine
+
+    draw = random.Random(n + width)
+    for rules, words in ((machine.SESSION, ["play", "pause", "stop", "close", "open", "other", None]), (machine.VIDEO, ["sequence", "gop", "picture", "slice", "extension", "user", "end", "other"])):
+        log = [(draw.choice(["one", "one", "one", None, "two"]), i * 3 - 500, draw.choice(words), i) for i in range(n)]
+        want, state = [], {}
+        for key, place, event, x in log:
+            before = state.get(key, rules.start)
+            after = rules.moves.get((before, event), rules.otherwise.get(before, before))
+            want.append((key, place, event, x, before, after, (before, event) in rules.moves))
+            state[key] = after
+        df = spark.createDataFrame(log, "key string, place long, event string, map long").repartition(3)
+        got = machine.run(df, ["key"], "place", "event", rules, width, group)
+        assert rows(got) == rows(spark.createDataFrame(want, got.schema))
+    assert machine.run(df.limit(0), ["key"], "place", "event", machine.VIDEO).count() == 0
