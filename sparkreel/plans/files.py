@@ -172,13 +172,18 @@ def mpa_files(t: Tables) -> DataFrame:
 _AC3_SIZE = "(4 * [32, 40, 48, 56][CAST(1 + l_partkey % 4 AS BIGINT)])"
 
 
-@query(_frames_sql(_AC3_SIZE, "l_suppkey % 5"))
-def ac3_files(t: Tables) -> DataFrame:
-    """Frames of AC-3 files, with up to four bytes between them."""
+def ac3_contents(t: Tables) -> DataFrame:
+    """Frames of AC-3, with up to four bytes between them."""
     code = F.col("l_partkey") % 4
     size = F.element_at(F.array(*[F.lit(4 * x) for x in (32, 40, 48, 56)]), (code + 1).cast("int"))
     frame = F.concat(_hex("0B770000"), B.to_be(code * 2, 1), _hex("4040"), _zeros(size - 7), _zeros(F.col("l_suppkey") % 5))
-    return containers.ac3_rows(_files(t, F.lit("").cast("binary"), frame), payload=False).select("path", "seq", "at", "size")
+    return _files(t, F.lit("").cast("binary"), frame)
+
+
+@query(_frames_sql(_AC3_SIZE, "l_suppkey % 5"))
+def ac3_files(t: Tables) -> DataFrame:
+    """Frames of AC-3 files."""
+    return containers.ac3_rows(ac3_contents(t), payload=False).select("path", "seq", "at", "size")
 
 
 @query("""WITH p AS (SELECT page_id, string_split(html, '<p>') AS parts FROM pages), e AS (SELECT page_id, unnest(range(1, len(parts))) AS i, parts FROM p)

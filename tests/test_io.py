@@ -169,3 +169,28 @@ def test_release_waits_for_the_clock(spark, tmp_path):
     got = rows(spark.table("gone"), "pts_ms", "seq", "late_ms")
     assert got[0][1] == 1 and got == sorted(got)
     assert {n for _, n, _ in got} >= {0, 1, 2, 3, 4} and all(late >= 0 for *_, late in got)
+
+
+def test_zip_of_streams_in_any_order(spark):
+    import random
+
+    from sparkreel.streaming import pairs, replay
+
+    draw = random.Random(3)
+    sides = [[(i, first, i * 10 + first, None if i % 7 == 3 else i) for i in range(n)] for first, n in ((True, 40), (False, 25))]
+    mixed = sides[0] + sides[1]
+    draw.shuffle(mixed)
+    schema = "seq long, first boolean, pts_hns long, payload long"
+    parts = [spark.createDataFrame(mixed[i::3], schema) for i in range(3)]
+    want = [(i, i * 10 + 1, None if i % 7 == 3 else i, None if i % 7 == 3 else i) for i in range(25)]
+    assert rows(replay.to_end(pairs.zipped(replay.replayed(parts, ["seq"], 2), keys=3))) == want
+    with pytest.raises(Exception, match="wait for the other stream"):
+        replay.to_end(pairs.zipped(replay.replayed(parts[:1], ["seq"], 2), keys=1, most=5))
+
+
+def test_epochs_are_left_behind(spark):
+    from sparkreel.streaming import pairs, replay
+
+    parts = [[("a", 1, 0), ("a", 2, 1), ("b", 3, 5)], [("a", 4, 0), ("b", 5, 6), ("a", 6, 1)], [("b", 7, 5), ("a", 8, 3)]]
+    stream = replay.replayed([spark.createDataFrame(p, "k string, n long, epoch long") for p in parts], ["k"], 1)
+    assert rows(replay.to_end(pairs.current(stream, "k"))) == [("a", 2, 1), ("a", 6, 1), ("a", 8, 3), ("b", 3, 5), ("b", 5, 6)]
