@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..operators import framing
 from ..sinks import files as file_sink
 from ..sinks import images, wave
 from ..sources import containers, split
-from . import pipeline
+from . import graph, pipeline
 from .registry import query
 from .views import PICTURES, PIXELS, SAMPLES, Tables
 
@@ -317,3 +319,34 @@ def named_mixer(t: Tables) -> DataFrame:
     """A registered transform with two inputs."""
     s = t.samples()
     return pipeline.apply("mixer", s.where("stream_id = 'click'"), s.where("stream_id = 'view'")).select("seq", "pts_hns", "mixed")
+
+
+_RGB_SQL = f"""{PIXELS}, f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, y / 256.0::DOUBLE - 0.0625::DOUBLE AS y, u / 256.0::DOUBLE - 0.5::DOUBLE AS u, v / 256.0::DOUBLE - 0.5::DOUBLE AS v FROM pixels),
+c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest(least(y * 1.164::DOUBLE + v * 1.596::DOUBLE, 1::DOUBLE), 0::DOUBLE) AS r, greatest(least(y * 1.164::DOUBLE + u * (-0.391)::DOUBLE + v * (-0.813)::DOUBLE, 1::DOUBLE), 0::DOUBLE) AS g,
+greatest(least(y * 1.164::DOUBLE + u * 2.018::DOUBLE, 1::DOUBLE), 0::DOUBLE) AS b FROM f)"""
+
+
+@query(f"""WITH {_RGB_SQL} SELECT 'swapped' AS branch, l_orderkey, l_linenumber, l_partkey, l_suppkey, 1::DOUBLE - b AS r, 1::DOUBLE - r AS g, 1::DOUBLE - g AS b FROM c
+UNION ALL SELECT 'plain', l_orderkey, l_linenumber, l_partkey, l_suppkey, 1::DOUBLE - r, 1::DOUBLE - g, 1::DOUBLE - b FROM c""")
+def branched_effects(t: Tables) -> DataFrame:
+    """One source, which likes to be read as JPEG, converted once and sent through two branches."""
+    parts = {
+        "colours": graph.Part("to_rgb", ("camera",)),
+        "turned": graph.Part("swizzle", ("colours",), {"mode": 2}),
+        "swapped": graph.Part("negative", ("turned",)),
+        "plain": graph.Part("negative", ("colours",)),
+    }
+    ends = graph.built(parts, {"camera": graph.Source((graph.JPEG, graph.YUV), lambda kind: t.pixels())})
+    columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "r", "g", "b")
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("branch"), *columns) for name, df in ends.items()])
+
+
+@query(f"""WITH {SAMPLES}, a AS (SELECT * FROM samples WHERE stream_id = 'click'), b AS (SELECT * FROM samples WHERE stream_id = 'view'), c AS (SELECT * FROM samples WHERE stream_id = 'signup'),
+m AS (SELECT seq, a.pts_hns, greatest(least(a.payload + b.payload, 32767), -32768) AS payload FROM a JOIN b USING (seq))
+SELECT seq, m.pts_hns, greatest(least(m.payload + c.payload, 32767), -32768) AS mixed FROM m JOIN c USING (seq)""")
+def mixer_graph(t: Tables) -> DataFrame:
+    """Three streams through two mixers, one after the other."""
+    s = t.samples()
+    parts = {"first": graph.Part("mixer", ("click", "view")), "again": graph.Part("as_payload", ("first",)), "out": graph.Part("mixer", ("again", "signup"))}
+    sources = {n: graph.Source((graph.PCM16,), lambda kind, n=n: s.where(F.col("stream_id") == n).select("seq", "pts_hns", "payload")) for n in ("click", "view", "signup")}
+    return graph.built(parts, sources)["out"].select("seq", "pts_hns", "mixed")

@@ -63,6 +63,7 @@ def _register() -> None:
 
     transform("mixer", "audio effect", (), (), gives=("a", "b", "mixed"))(lambda a, b, on=("seq",), carry=("pts_hns",): multi.mix_streams(a, b, list(on), list(carry)))
     transform("zip", "audio effect", (), (), gives=("a", "b"))(lambda a, b, on=("seq",), carry=("pts_hns",): multi.zip_streams(a, b, list(on), list(carry)))
+    transform("as_payload", "audio effect", ("mixed",), gives=("payload",))(lambda df: df.withColumn("payload", F.col("mixed")).drop("a", "b", "mixed"))
     transform("byte_times", "audio decoder", ("payload",), gives=("dur_hns",))(lambda df, per_second: df.withColumn("dur_hns", clock.of_bytes(F.octet_length("payload"), per_second)))
     transform("reorder", "video decoder", gives=("display_seq",))(lambda df, keys=("gop",): timeline.display_order(df, list(keys), "decode_seq", "ptype", "temporal_ref"))
     transform("references", "video decoder", ("decode_seq", "ptype"), gives=("forward", "backward"))(lambda df, keys=("gop",): timeline.references(df, list(keys), "decode_seq", "ptype", "decode_seq"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import pixel
 from ..operators import routing
+from ..sinks import batches, multipart
+from ..sinks.files import scratch
 from ..streaming import framer, pairs, pictures, replay
 from . import files, streams  # noqa: F401
 from .registry import SQL, query
@@ -52,3 +54,17 @@ def reorder_stream(t: Tables) -> DataFrame:
     parts = [p.where("decode_seq < 2"), p.where("decode_seq >= 2"), last]
     shown = replay.to_end(pictures.reordered(replay.replayed(parts, ["stream_id"])))
     return shown.select(F.col("stream_id").cast("bigint").alias("gop"), "decode_seq", "display_seq")
+
+
+@query(SQL["http_frames"])
+def http_stream(t: Tables) -> DataFrame:
+    """Multipart parts as files of a stream's batches, read back by the batches' manifests."""
+    spark, folder = t.spark, scratch(t.spark, "batches")
+    parts = t.read("documents").select(F.col("doc_id").cast("string").alias("name"), multipart.part(F.col("text").cast("binary")).alias("content"))
+    batches.register(spark)
+    stream = replay.replayed([parts.where("cast(name AS bigint) % 2 = 0"), parts.where("cast(name AS bigint) % 2 = 1")], ["name"])
+    query = stream.writeStream.format("filebatches").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = batches.listed(spark, f"{folder}/out").select(F.col("name").cast("bigint").alias("doc_id"), F.regexp_extract("path", "parts/.*", 0).alias("place"))
+    held = spark.read.format("binaryFile").load(f"{folder}/out/parts/*").select(F.regexp_extract("path", "parts/.*", 0).alias("place"), "content")
+    return found.join(held, "place").select("doc_id", F.col("content").cast("string").alias("part"))

@@ -194,3 +194,36 @@ def test_epochs_are_left_behind(spark):
     parts = [[("a", 1, 0), ("a", 2, 1), ("b", 3, 5)], [("a", 4, 0), ("b", 5, 6), ("a", 6, 1)], [("b", 7, 5), ("a", 8, 3)]]
     stream = replay.replayed([spark.createDataFrame(p, "k string, n long, epoch long") for p in parts], ["k"], 1)
     assert rows(replay.to_end(pairs.current(stream, "k"))) == [("a", 2, 1), ("a", 6, 1), ("a", 8, 3), ("b", 3, 5), ("b", 5, 6)]
+
+
+def test_a_batch_that_is_done_again_counts_once(spark, tmp_path):
+    from sparkreel.sinks import batches
+
+    folder, row = str(tmp_path / "out"), lambda name, data: {"name": name, "content": data}
+    writer = batches._Stream(folder)
+    first = [writer.write([row("a", b"xy"), row("b", None)]), writer.write([]), None]
+    writer.commit(first, 0)
+    # The stream was restarted before it knew of the commit, and does the batch again.
+    writer.commit([writer.write([row("a", b"xy")]), writer.write([row("b", None)])], 0)
+    # Another batch fails, and is done again.
+    writer.abort([writer.write([row("c", b"half")])], 1)
+    writer.commit([writer.write([row("c", b"whole"), row("a", b"again")])], 1)
+    got = rows(batches.listed(spark, folder), "batch", "name", "size")
+    assert got == [("0" * 20, "a", 2), ("0" * 20, "b", 0), ("0" * 19 + "1", "a", 5), ("0" * 19 + "1", "c", 5)]
+    paths = [r["path"] for r in batches.listed(spark, folder).collect()]
+    assert sorted(open(p, "rb").read() for p in paths) == [b"", b"again", b"whole", b"xy"]
+    assert sorted(str(p) for p in (tmp_path / "out/parts").glob("*/*")) == sorted(paths)
+
+
+def test_file_batches_of_streams_and_tables(spark, tmp_path):
+    from sparkreel.sinks import batches
+    from sparkreel.streaming import replay
+
+    batches.register(spark)
+    parts = [spark.createDataFrame([(f"f{i}", bytes([i]) * i) for i in range(a, a + 5)], "name string, content binary") for a in (0, 5)]
+    for _ in range(2):
+        stream = replay.replayed(parts, ["name"], 2) if not (tmp_path / "state").exists() else stream
+        stream.writeStream.format("filebatches").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination(120)
+        assert rows(batches.listed(spark, str(tmp_path / "out")), "name", "size") == [(f"f{i}", i) for i in range(10)]
+    parts[0].write.format("filebatches").mode("append").save(str(tmp_path / "table"))
+    assert rows(batches.listed(spark, str(tmp_path / "table")), "name", "size") == [(f"f{i}", i) for i in range(5)]

@@ -165,3 +165,26 @@ def test_a_machine_in_blocks_is_the_machine_in_a_row(spark, n, width, group):
         got = machine.run(df, ["key"], "place", "event", rules, width, group)
         assert rows(got) == rows(spark.createDataFrame(want, got.schema))
     assert machine.run(df.limit(0), ["key"], "place", "event", machine.VIDEO).count() == 0
+
+
+# Graphs of parts
+
+
+def test_graphs_agree_on_kinds():
+    from sparkreel.plans import graph
+    from sparkreel.plans.graph import JPEG, PCM8, PCM16, RGB, YUV, Part
+
+    mixed = {"out": Part("mixer", ("a", "b"))}
+    assert graph.agreed(mixed, {"a": (PCM16, PCM8), "b": (PCM8,)}) == {"a": PCM8, "b": PCM8, "out": PCM8}
+    with pytest.raises(ValueError, match="out does not take audio/pcm16 with audio/pcm8"):
+        graph.agreed(mixed, {"a": (PCM16,), "b": (PCM8,)})
+    effects = {"rgb": Part("to_rgb", ("in",)), "one": Part("negative", ("rgb",)), "two": Part("gray", ("rgb",))}
+    assert graph.agreed(effects, {"in": (JPEG, YUV)})["two"] == RGB
+    with pytest.raises(ValueError, match="rgb does not take in: video/jpeg"):
+        graph.agreed(effects, {"in": (JPEG,)})
+    with pytest.raises(ValueError, match="x waits for y; y waits for x"):
+        graph.ordered({"x": Part("negative", ("y",)), "y": Part("negative", ("x",))}, set())
+    with pytest.raises(ValueError, match="is a source and a part"):
+        graph.ordered({"x": Part("negative", ("x",))}, {"x"})
+    with pytest.raises(ValueError, match="1 inputs, mixer takes 2"):
+        graph.agreed({"x": Part("mixer", ("a",))}, {"a": (PCM16,)})
