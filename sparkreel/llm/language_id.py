@@ -7,8 +7,8 @@ smallest loss, where a bit's loss is weighted by how reliable the bit was on the
 training rows. A small distance to the runner-up flags the text as ambiguous.
 
 Training uses at most about `rows_per_language` rows of each of the
-`max_languages` most frequent languages, chosen by a hash of the id; rarer names
-are not learned. Prediction reads whole texts.
+`max_languages` most frequent languages, chosen by a hash of id and text; rarer
+names are not learned. Prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -131,25 +131,29 @@ def _margin_task(languages: list[str], code: np.ndarray, weights: np.ndarray):
 
 
 def _sample(rows: DataFrame, rows_per_language: int, max_languages: int) -> DataFrame:
-    """lang, text of about rows_per_language rows of each of the most frequent languages, by a hash of the id; all of a language with fewer.
+    """lang, text of about rows_per_language different rows of each of the most frequent languages, by a hash of id and text; one of each at least.
 
-    Ties of frequency go to the first name. The broadcast table has max_languages rows at most.
+    Equal rows are one, so a text that is there very often neither fills the sample
+    nor stands for a language alone. Ties of frequency go to the first name. The
+    broadcast table has max_languages rows at most.
     """
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_languages)
+    rows = rows.withColumn("hash", F.xxhash64(F.lit(5), "doc_id", "text"))
+    different = rows.select("lang", "hash").distinct()
+    sizes = different.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("first")).orderBy(F.col("n").desc(), "lang").limit(max_languages)
     share = F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.col("n"))
-    drawn = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return rows.join(F.broadcast(sizes.select("lang", share.alias("share"))), "lang").where(drawn < F.col("share")).select("lang", "text")
+    drawn = F.pmod("hash", F.lit(1 << 20)) / F.lit(float(1 << 20))
+    some = rows.join(F.broadcast(sizes.select("lang", share.alias("share"), "first")), "lang").where((drawn < F.col("share")) | (F.col("hash") == F.col("first")))
+    return some.select("lang", "hash", "text").dropDuplicates(["lang", "hash"]).select("lang", "text")
 
 
-def train(rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, parts: int = 12, max_languages: int = MAX_LANGUAGES) -> Model:
+def train(rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
     """A model from rows(doc_id, text, lang); rows without one of them teach nothing.
 
     The sample is stored once. To the driver come the names of the languages that
-    it has, max_languages at most, and a table of SLOTS counts for each. A language
-    whose few rows the draw leaves out is not learned.
+    it has, max_languages at most, and a table of SLOTS counts for each.
     """
     rows = rows.where("lang is not null and text is not null and doc_id is not null")
-    sample, sample_at = stored(_sample(rows, rows_per_language, max_languages).repartition(parts), "sample")
+    sample, sample_at = stored(_sample(rows, rows_per_language, max_languages), "sample")
     languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())  # at most max_languages
     code = codewords(len(languages))
     if code.size == 0:

@@ -311,6 +311,14 @@ def plain_slots(text):
     return [((ring[i] << 16 | ring[i + 1] << 8 | ring[i + 2]) * 0x9E3779B1 % 2**32) >> 18 for i in range(len(low))]
 
 
+def test_languages_of_few_ids_and_texts_are_learned(spark):
+    data = [(1, f"{prose(5)} xx{i}", "xx") for i in range(7000)] + [(i, f"el la los de que {i}", "es") for i in range(300)] + [(2, "the same words", "en")] * 500 + [(None, "no id teaches nothing", "zz")]
+    rows_ = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    assert language_id.train(rows_, rows_per_language=100).languages == ["en", "es", "xx"]
+    sizes = dict(rows(language_id._sample(rows_.where("doc_id is not null"), 100, 5).groupBy("lang").count()))
+    assert sizes["en"] == 1 and 60 <= sizes["xx"] <= 140 and 60 <= sizes["es"] <= 140
+
+
 def test_training_and_decoding_by_brute_force(spark, docs):
     draw = random.Random(17)
     own = {"a": "anna otto la", "b": "bob be by", "c": "ciao c'e che", "d": "der die da"}
