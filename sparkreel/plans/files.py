@@ -283,16 +283,25 @@ def screen_frames(t: Tables) -> DataFrame:
     return containers.screen_clock(t.spark)
 
 
-@query(f"""WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_BY}) - 1 AS decode_seq, l_returnflag AS flag, l_partkey AS pts FROM lineitem)
-SELECT CAST(l_orderkey AS VARCHAR) AS stream_id, decode_seq, CASE flag WHEN 'A' THEN 'I' ELSE 'P' END AS ptype, nth AS time FROM
-(SELECT r.*, (SELECT list(x.pts ORDER BY x.decode_seq) FROM r x WHERE x.l_orderkey = r.l_orderkey)[decode_seq + 1] AS nth FROM r)""")
+@query(f"""WITH RECURSIVE p AS (SELECT l_orderkey // 50 AS s, row_number() OVER (PARTITION BY l_orderkey // 50 ORDER BY l_orderkey, {_BY}) - 1 AS i, CASE l_returnflag WHEN 'A' THEN 'I' WHEN 'N' THEN 'P' ELSE 'B' END AS ptype,
+  CASE WHEN l_suppkey % 4 > 0 THEN l_partkey END AS pts, CASE l_partkey % 3 WHEN 0 THEN l_partkey WHEN 1 THEN l_partkey - 1 END AS dts FROM lineitem),
+c AS (SELECT *, count(pts) OVER (PARTITION BY s ORDER BY i) AS have FROM p),
+q AS (SELECT s, have - 1 AS j, pts, coalesce(dts <> pts, false) AS late FROM c WHERE pts IS NOT NULL),
+r AS (SELECT DISTINCT s, CAST(-1 AS BIGINT) AS i, '' AS ptype, CAST(0 AS BIGINT) AS h, CAST(NULL AS BIGINT) AS time FROM c
+  UNION ALL SELECT c.s, c.i, c.ptype, r.h + CASE WHEN r.h < c.have AND NOT (c.ptype = 'B' AND q.late) THEN 1 ELSE 0 END, CASE WHEN r.h < c.have AND NOT (c.ptype = 'B' AND q.late) THEN q.pts END
+  FROM r JOIN c ON c.s = r.s AND c.i = r.i + 1 LEFT JOIN q ON q.s = r.s AND q.j = r.h)
+SELECT CAST(s AS VARCHAR) AS stream_id, i AS decode_seq, ptype, time FROM r WHERE i >= 0""")
 def picture_times(t: Tables) -> DataFrame:
-    """Times that pictures take from the queue of packet times; each packet has one picture here."""
+    """Times that pictures take from the queue of packet times; B pictures leave those alone that are shown later than decoded."""
     from ..streaming import pictures
 
-    w = Window.partitionBy("l_orderkey").orderBy(*_PLACE)
-    rows = t.read("lineitem").select(F.col("l_orderkey").cast("string").alias("stream_id"), (F.row_number().over(w) - 1).cast("bigint").alias("decode_seq"), F.when(F.col("l_returnflag") == "A", "I").otherwise("P").alias("ptype"), F.col("l_partkey").alias("pts"), F.col("l_partkey").alias("dts"))
-    return pictures.with_times(rows)
+    w, p = Window.partitionBy("stream_id").orderBy("l_orderkey", *_PLACE), F.col("l_partkey")
+    rows = t.read("lineitem").withColumn("stream_id", F.floor(F.col("l_orderkey") / 50).cast("bigint").cast("string"))
+    rows = rows.select(
+        "stream_id", (F.row_number().over(w) - 1).cast("bigint").alias("decode_seq"), F.when(F.col("l_returnflag") == "A", "I").when(F.col("l_returnflag") == "N", "P").otherwise("B").alias("ptype"),
+        F.when(F.col("l_suppkey") % 4 > 0, p).alias("pts"), F.when(p % 3 == 0, p).when(p % 3 == 1, p - 1).alias("dts"),
+    )
+    return pictures.with_times(rows, width=64)
 
 
 @query(f"""WITH {PICTURES}, k AS (SELECT *, min(CASE WHEN ptype = 'I' THEN decode_seq END) OVER (PARTITION BY gop) AS first FROM pictures),

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
-
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators import timeline
+from ..sinks.files import scratch
+
 #: Pictures held back at most before the first is released.
 WINDOW = 20
 
@@ -70,19 +74,89 @@ def take_times(kinds: list[str], stamps: list[tuple[int | None, int | None] | No
     return out
 
 
-def with_times(pictures: DataFrame) -> DataFrame:
-    """pictures(stream_id, decode_seq, ptype, pts, dts) with time: the packet times as decoders attach them.
+def _run_block(kinds: list[str], have: list[int], first: int, items: dict[int, tuple[int | None, bool]]) -> list[int | None]:
+    """For each picture the number of the packet that it takes, or None. have: packets so far; first: packets taken before; items: (time, left to others by B pictures)."""
+    out: list[int | None] = []
+    for kind, known in zip(kinds, have, strict=True):
+        if first >= known or (kind == "B" and items[first][1]):
+            out.append(None)
+        else:
+            out.append(first)
+            first += 1
+    return out
+
+
+def _block_task(result: str):
+    """cogroup of a block's pictures and the packets that it may take: `taken`, their number, or `times`, the pictures with them."""
 
-    pts null: no packet came before the picture. The rule is sequential, so a
-    stream is one group; long streams should be keyed by file part as well.
-    """
+    def run(pictures: pa.Table, items: pa.Table) -> pa.Table:
+        if not pictures.num_rows:
+            # Packets alone: no picture is there to take them.
+            return (_TAKEN if result == "taken" else _TIMES).empty_table()
+        pictures = pictures.sort_by("decode_seq")
+        known = dict(zip(items["j"].to_pylist(), zip(items["pts"].to_pylist(), items["late"].to_pylist(), strict=True), strict=True))
+        taken = _run_block(pictures["ptype"].to_pylist(), pictures["have"].to_pylist(), pictures["first"][0].as_py(), known)
+        if result == "taken":
+            n = sum(t is not None for t in taken)
+            return pa.table({"stream_id": pictures["stream_id"].slice(0, 1), "block": pictures["block"].slice(0, 1), "taken": pa.array([n], pa.int64())}).cast(_TAKEN)
+        times = pa.array([None if t is None else known[t][0] for t in taken], pa.int64())
+        return pictures.select(["stream_id", "decode_seq", "ptype"]).append_column("time", times).cast(_TIMES)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("decode_seq")
-        known = lambda x: None if pd.isna(x) else int(x)
-        stamps = [None if pd.isna(p) else (int(p), known(d)) for p, d in zip(group["pts"], group["dts"], strict=True)]
-        return group[["stream_id", "decode_seq", "ptype"]].assign(time=pd.array(take_times(list(group["ptype"]), stamps), "Int64"))
+    return run
 
-    return pictures.select("stream_id", "decode_seq", "ptype", "pts", "dts").groupBy("stream_id").applyInPandas(run, "stream_id string, decode_seq bigint, ptype string, time bigint")
 
+_TAKEN = pa.schema([("stream_id", pa.string()), ("block", pa.int64()), ("taken", pa.int64())])
+_TIMES = pa.schema([("stream_id", pa.string()), ("decode_seq", pa.int64()), ("ptype", pa.string()), ("time", pa.int64())])
 
+
+def with_times(pictures: DataFrame, width: int = 10_000) -> DataFrame:
+    """pictures(stream_id, decode_seq, ptype, pts, dts) with time: the packet times as decoders attach them, by the rule of take_times.
+
+    pts null: no packet came before the picture; decode_seq is a BIGINT that is
+    unique in a stream. A stream is cut into blocks of `width` pictures. All that a
+    block needs of those before it is how many packets they took. That is known
+    from running minima if no B picture leaves a packet alone, and is the sum of
+    what earlier blocks took in any case: blocks are run side by side from where
+    the last round's sums put them, until the sums stand still. Each round settles
+    one more block of a stream at least, and mostly all of them, as what a block
+    takes seldom depends on where it begins. A task holds one block's pictures and
+    the packets that they may take.
+    """
+    stream = ["stream_id"]
+    own = pictures.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("decode_seq").cast("bigint").alias("decode_seq"), "ptype", F.col("pts").cast("bigint").alias("pts"), F.col("dts").cast("bigint").alias("dts"))
+    placed = timeline.numbered(own, stream, "decode_seq", "i")
+    placed = timeline.prefix_sum(placed, stream, "decode_seq", F.col("pts").isNotNull().cast("bigint"), "j")
+    placed = placed.withColumn("have", F.col("j") + F.col("pts").isNotNull().cast("bigint")).withColumn("block", F.floor(F.col("i") / F.lit(float(width))).cast("bigint"))
+    placed = _stored(placed, "pictures")
+    items = placed.where("pts is not null").select("stream_id", "j", "pts", F.coalesce(F.col("dts") != F.col("pts"), F.lit(False)).alias("late"), F.floor(F.col("j") / F.lit(float(width))).cast("bigint").alias("part"))
+
+    # If every picture takes a packet when there is one: taken up to i = i + min(1, least of have - i so far).
+    earlier = Window.partitionBy("stream_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    least = placed.groupBy("stream_id", "block").agg(F.min(F.col("have") - F.col("i")).alias("least"))
+    first = F.coalesce(F.col("block") * width - 1 + F.least(F.min("least").over(earlier), F.lit(1)), F.lit(0)).cast("bigint")
+    starts = _stored(least.select("stream_id", "block", first.alias("first"), F.lit(None).cast("bigint").alias("taken")), "starts")
+
+    def met(blocks: DataFrame, result: str, schema: str) -> DataFrame:
+        near = blocks.select("stream_id", "block", F.explode(F.array(*[F.floor(F.col("first") / F.lit(float(width))).cast("bigint") + n for n in (0, 1)])).alias("part"))
+        near = near.select(F.col("stream_id").alias("__stream"), "block", F.col("part").alias("__part"))
+        held = items.join(near, items["stream_id"].eqNullSafe(near["__stream"]) & (items["part"] == near["__part"])).select(F.col("__stream").alias("stream_id"), "block", "j", "pts", "late")
+        begun = blocks.select(F.col("stream_id").alias("__stream"), F.col("block").alias("__block"), "first")
+        rows = placed.join(begun, placed["stream_id"].eqNullSafe(begun["__stream"]) & (placed["block"] == begun["__block"])).select("stream_id", "block", "decode_seq", "ptype", "have", "first")
+        return rows.groupBy("stream_id", "block").cogroup(held.groupBy("stream_id", "block")).applyInArrow(_block_task(result), schema)
+
+    todo = starts
+    while True:
+        found = met(todo, "taken", "stream_id string, block bigint, taken bigint").select(F.col("stream_id").alias("__stream"), F.col("block").alias("__block"), F.col("taken").alias("__taken"))
+        known = starts.join(found, starts["stream_id"].eqNullSafe(found["__stream"]) & (starts["block"] == found["__block"]), "left")
+        known = known.select("stream_id", "block", "first", F.coalesce("__taken", "taken").alias("taken"))
+        sums = known.withColumn("due", F.coalesce(F.sum("taken").over(earlier), F.lit(0)).cast("bigint"))
+        starts = _stored(sums.select("stream_id", "block", F.col("due").alias("first"), "taken", (F.col("due") != F.col("first")).alias("moved")), "starts")
+        todo = starts.where("moved")
+        if todo.isEmpty():
+            return met(starts, "times", "stream_id string, decode_seq bigint, ptype string, time bigint")
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -227,3 +227,22 @@ def test_file_batches_of_streams_and_tables(spark, tmp_path):
         assert rows(batches.listed(spark, str(tmp_path / "out")), "name", "size") == [(f"f{i}", i) for i in range(10)]
     parts[0].write.format("filebatches").mode("append").save(str(tmp_path / "table"))
     assert rows(batches.listed(spark, str(tmp_path / "table")), "name", "size") == [(f"f{i}", i) for i in range(5)]
+
+
+@pytest.mark.parametrize("width", [3, 8, 1000])
+def test_picture_times_in_blocks(spark, width):
+    import random
+
+    draw, data, want = random.Random(width), [], []
+    habits = {"mixed": (0.8, 0.5, 0.4), "backlog": (1.0, 1.0, 0.7), "starved": (0.3, 0.5, 0.4), "plain": (0.9, 0.0, 0.5), None: (0.7, 0.6, 0.6)}
+    for stream, (stamped, late, b) in habits.items():
+        kinds, stamps = [], []
+        for i in range(70):
+            kinds.append("B" if draw.random() < b else draw.choice("IP"))
+            pts = i * 10
+            stamps.append((pts, draw.choice([pts - 1, pts - 2]) if draw.random() < late else draw.choice([pts, None])) if draw.random() < stamped else None)
+        data += [(stream, i * 2 - 30, k, *(s or (None, draw.choice([None, 5])))) for i, (k, s) in enumerate(zip(kinds, stamps, strict=True))]
+        want += [(stream, i * 2 - 30, k, t) for i, (k, t) in enumerate(zip(kinds, pictures.take_times(kinds, stamps), strict=True))]
+    df = spark.createDataFrame(data, "stream_id string, decode_seq long, ptype string, pts long, dts long").withColumn("block", F.lit("x")).repartition(3)
+    assert rows(pictures.with_times(df, width)) == rows(spark.createDataFrame(want, "stream_id string, decode_seq long, ptype string, time long"))
+    assert pictures.with_times(df.limit(0), width).count() == 0
