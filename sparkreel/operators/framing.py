@@ -58,3 +58,8 @@ def chunk_states(codes: DataFrame, keys: list[str], order: str, code: str = "cod
     begins = F.col("unit").isin("sequence", "gop", "picture") & (F.col("__before").isNull() | (F.col("__before") == "slice"))
     known = last_known(codes.withColumn("unit", unit), keys, order, F.col("unit"), "__before", before=True)
     return known.withColumn("begins", F.coalesce(begins, F.lit(False))).drop("__before")
+
+
+def marker_count(data: Column, marker: bytes) -> Column:
+    """How often a marker stands in bytes, without overlaps."""
+    return F.size(marker_places(data, marker)).cast("bigint")

@@ -39,3 +39,8 @@ def union_streams(**streams: DataFrame) -> DataFrame:
 def lookup(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
     """Attributes of codes from a code table; unknown codes give null. Catalyst broadcasts the table if its size allows."""
     return df.join(table, on, "left")
+
+
+def answered(samples: DataFrame, requests: DataFrame, on: str) -> DataFrame:
+    """n-th sample with n-th request; what one side has more of is left out."""
+    return samples.join(requests, on)

@@ -45,3 +45,23 @@ def frame_bytes(subtype: Column, width: Column, height: Column) -> Column:
 def valid_selection(catalog: DataFrame, key: str) -> DataFrame:
     """Whether each presentation selects a stream at all."""
     return catalog.groupBy(key).agg(F.bool_or("selected").alias("ok"))
+
+
+def accepted(subtype: Column, width: Column, height: Column, subtypes: tuple[str, ...], most_width: int) -> Column:
+    """Whether a part takes a video type: one of its subtypes, with a size that is not empty nor too wide."""
+    return subtype.isin(*subtypes) & (width > 0) & (height > 0) & (width <= most_width)
+
+
+def same_type(one: Column, other: Column) -> Column:
+    """Whether two types are equal in all fields; missing fields are equal to missing ones."""
+    return one.eqNullSafe(other)
+
+
+def video_type(subtype: Column, width: Column, height: Column) -> Column:
+    """A video type with its size in words."""
+    return F.struct(F.lit("video").alias("major"), subtype.alias("subtype"), width.alias("width"), height.alias("height"), F.concat_ws("x", width, height).alias("size"))
+
+
+def without_streams(samples: DataFrame, *names: str) -> DataFrame:
+    """Samples of all streams but the named ones."""
+    return samples.where(~F.col("stream_id").isin(*names))

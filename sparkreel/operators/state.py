@@ -25,3 +25,13 @@ def ended(log: DataFrame, keys: list[str], stream: str, is_end) -> DataFrame:
     """Streams still open for each presentation, and whether all have ended."""
     streams = log.groupBy(*keys, stream).agg(F.bool_or(is_end).alias("done"))
     return streams.groupBy(*keys).agg(F.count_if(~F.col("done")).alias("pending"), F.bool_and("done").alias("ended"))
+
+
+def byte_totals(samples: DataFrame, keys: list[str], payload: str) -> DataFrame:
+    """Bytes and buffers of each stream; a null payload is a buffer without bytes."""
+    return samples.groupBy(*keys).agg(F.sum(F.octet_length(payload).cast("bigint")).alias("bytes"), F.count(F.lit(1)).alias("buffers"))
+
+
+def least_level(samples: DataFrame, keys: list[str], level: str, most: float) -> DataFrame:
+    """The lowest level of each group, and `most` at most."""
+    return samples.groupBy(*keys).agg(F.min(F.least(level, F.lit(most))).alias("level"))

@@ -122,3 +122,13 @@ def intervals_between(df: DataFrame, keys: list[str], order: str, opens: Column,
     """Rows while the last state change before or at them opened the stream."""
     state = F.when(opens, F.lit(True)).when(closes, F.lit(False))
     return last_known(df, keys, order, state, "__open", width=width).where("__open").drop("__open")
+
+
+def preroll_ready(place: Column, needed: int) -> Column:
+    """Whether a stream has `needed` samples by the one at this place, which counts from 0."""
+    return place + 1 >= needed
+
+
+def clean_point(ptype: Column) -> Column:
+    """Whether decoding may begin at a picture."""
+    return ptype == "I"

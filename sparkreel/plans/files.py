@@ -278,9 +278,27 @@ def file_ranges(t: Tables) -> DataFrame:
     return head.join(containers.range_rows(files, -4, 4).select("path", F.hex("data").alias("tail")), "path")
 
 
-@query("SELECT range AS seq, range * 1000000 AS pts_hns, CAST(1000000 AS BIGINT) AS dur_hns FROM range(100)")
+_HOUR = 36_000_000_000
+
+
+@query(f"""WITH s AS (SELECT user_id AS stream_id, min(epoch_us(ts)) * 10 AS a, max(epoch_us(ts)) * 10 AS b FROM events GROUP BY user_id)
+SELECT stream_id, seq, CAST(a + seq * {_HOUR} AS BIGINT) AS pts_hns, CAST({_HOUR} AS BIGINT) AS dur_hns FROM (SELECT *, unnest(range(CAST((b - a + {_HOUR - 1}) // {_HOUR} AS BIGINT))) AS seq FROM s WHERE b > a)""")
 def screen_frames(t: Tables) -> DataFrame:
-    return containers.screen_clock(t.spark)
+    """Frames, one an hour, of captures that run from a user's first event to the last."""
+    pts = F.unix_micros(F.col("ts").cast("timestamp")) * 10
+    spans = t.read("events").groupBy(F.col("user_id").alias("stream_id")).agg(F.min(pts).alias("begin_hns"), F.max(pts).alias("end_hns"))
+    return containers.screen_frames(spans, _HOUR)
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS path, CAST(0 AS BIGINT) AS seq, CAST(400000 + 10000 * (p_size % 5) AS BIGINT) AS pts_hns, p_size % 2 = 0 AS key, printf('%08X', CAST(1 + p_partkey % 7 AS BIGINT)) || '65' || repeat('AB', CAST(p_partkey % 7 AS INTEGER)) AS units FROM part""")
+def avc_pictures(t: Tables) -> DataFrame:
+    """AVC units of FLV files of one tag, behind none to two supplemental units."""
+    head = F.when(F.col("p_size") % 2 == 0, _hex("17")).otherwise(_hex("27"))
+    extra, n = F.unhex(F.repeat(F.lit("00000003060102"), (F.col("p_partkey") % 3).cast("int"))), (F.col("p_partkey") % 7).cast("int")
+    body = F.concat(head, _hex("01"), B.to_be(F.col("p_size") % 5, 3), extra, B.to_be(n + 1, 4), _hex("65"), F.unhex(F.repeat(F.lit("AB"), n)))
+    record = F.concat(_hex("0000000009"), B.to_be(F.octet_length(body), 3), _hex("00002800000000"), body)
+    rows = containers.flv_rows(t.read("part").select(F.col("p_partkey").cast("string").alias("path"), F.concat(_hex(_FLV), record).alias("content")))
+    return containers.avc_units(rows).select("path", "seq", "pts_hns", "key", F.hex("units").alias("units"))
 
 
 @query(f"""WITH RECURSIVE p AS (SELECT l_orderkey // 50 AS s, row_number() OVER (PARTITION BY l_orderkey // 50 ORDER BY l_orderkey, {_BY}) - 1 AS i, CASE l_returnflag WHEN 'A' THEN 'I' WHEN 'N' THEN 'P' ELSE 'B' END AS ptype,

@@ -38,7 +38,7 @@ SELECT s.seq, s.event_id, t.conv_id, t.turn FROM samples s JOIN tokens t ON s.se
 def zip_requests(t: Tables) -> DataFrame:
     asked = t.read("conversations").where("role = 'user'").select("role", "conv_id", "turn", (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("place"))
     asked = timeline.numbered(asked, ["role"], "place", "seq", width=10**10)
-    return t.samples().where("stream_id = 'signup'").join(asked, "seq").select("seq", "event_id", "conv_id", "turn")
+    return multi.answered(t.samples().where("stream_id = 'signup'"), asked, "seq").select("seq", "event_id", "conv_id", "turn")
 
 
 @query(f"""WITH {SAMPLES} SELECT stream_id, event_id, pts_hns, payload, 1 AS segment FROM samples WHERE stream_id = 'click'
@@ -92,7 +92,7 @@ def type_negotiation(t: Tables) -> DataFrame:
 def type_equal(t: Tables) -> DataFrame:
     s = t.read("supplier").select("s_suppkey", F.struct("s_nationkey", F.col("s_suppkey") % 3).alias("kind"))
     other = s.select((F.col("s_suppkey") - 3).alias("s_suppkey"), F.col("kind").alias("other"))
-    return s.join(other, "s_suppkey").select("s_suppkey", F.col("kind").eqNullSafe(F.col("other")).alias("same"))
+    return s.join(other, "s_suppkey").select("s_suppkey", routing.same_type(F.col("kind"), F.col("other")).alias("same"))
 
 
 _SUBTYPES = ("NV12", "YV12", "I420", "RGB24", "RGB32", "AYUV")
@@ -106,7 +106,7 @@ def _catalog(t: Tables) -> DataFrame:
 
 @query(f"""WITH {_CATALOG_SQL} SELECT p_partkey, subtype IN ('NV12', 'RGB32') AND width > 0 AND height > 0 AND width <= 1920 AS accepted FROM catalog""")
 def type_acceptance(t: Tables) -> DataFrame:
-    return _catalog(t).select("p_partkey", (F.col("subtype").isin("NV12", "RGB32") & (F.col("width") > 0) & (F.col("height") > 0) & (F.col("width") <= 1920)).alias("accepted"))
+    return _catalog(t).select("p_partkey", routing.accepted(*map(F.col, ("subtype", "width", "height")), ("NV12", "RGB32"), 1920).alias("accepted"))
 
 
 @query(f"""WITH {_CATALOG_SQL} SELECT p_partkey, CASE WHEN subtype IN ('NV12', 'YV12', 'I420') THEN width * height * 3 // 2 WHEN subtype = 'RGB24' THEN width * height * 3 WHEN subtype = 'RGB32' THEN width * height * 4 END AS frame_bytes FROM catalog""")
@@ -116,7 +116,7 @@ def output_type(t: Tables) -> DataFrame:
 
 @query(f"""WITH {_CATALOG_SQL} SELECT p_partkey, 'video' AS major, subtype, width, height, width || 'x' || height AS size FROM catalog""")
 def media_type(t: Tables) -> DataFrame:
-    kind = F.struct(F.lit("video").alias("major"), "subtype", "width", "height", F.concat_ws("x", "width", "height").alias("size"))
+    kind = routing.video_type(*map(F.col, ("subtype", "width", "height")))
     return _catalog(t).select("p_partkey", kind.alias("k")).select("p_partkey", "k.*")
 
 
@@ -148,7 +148,7 @@ def skip_payload(t: Tables) -> DataFrame:
 
 @query(f"""WITH {SAMPLES} SELECT stream_id, event_id FROM samples WHERE stream_id <> 'error'""")
 def drop_script(t: Tables) -> DataFrame:
-    return t.samples().where("stream_id <> 'error'").select("stream_id", "event_id")
+    return routing.without_streams(t.samples(), "error").select("stream_id", "event_id")
 
 
 @query(f"""WITH {BLOCKS}, s AS (SELECT page_id, {word(0, 1)} AS id FROM blocks)
@@ -268,7 +268,7 @@ def discontinuity_flag(t: Tables) -> DataFrame:
 
 @query(f"""WITH {PICTURES} SELECT gop, decode_seq, ptype = 'I' AS clean_point FROM pictures""")
 def clean_point(t: Tables) -> DataFrame:
-    return t.pictures().select("gop", "decode_seq", (F.col("ptype") == "I").alias("clean_point"))
+    return t.pictures().select("gop", "decode_seq", timeline.clean_point(F.col("ptype")).alias("clean_point"))
 
 
 @query(f"""WITH {SAMPLES}, d AS (SELECT event_id, payload * 37 % 1000000 - 500000 AS early FROM samples) SELECT event_id, CASE WHEN early * 4 < -{FRAME} THEN 'present' WHEN early * 4 > {FRAME} * 3 THEN 'wait' ELSE 'poll' END AS release FROM d""")
@@ -279,7 +279,7 @@ def release_class(t: Tables) -> DataFrame:
 
 @query(f"""WITH {SAMPLES} SELECT stream_id, event_id, seq + 1 >= 3 AS ready FROM samples""")
 def preroll_ready(t: Tables) -> DataFrame:
-    return t.samples().select("stream_id", "event_id", (F.col("seq") + 1 >= 3).alias("ready"))
+    return t.samples().select("stream_id", "event_id", timeline.preroll_ready(F.col("seq"), 3).alias("ready"))
 
 
 @query(f"""WITH {SAMPLES} SELECT stream_id, min_by(pts_hns, event_id) AS first_pts, max_by(pts_hns, event_id) AS last_pts, max_by(pts_hns, event_id) - min_by(pts_hns, event_id) AS dur_hns FROM samples GROUP BY stream_id""")
@@ -349,7 +349,7 @@ def slice_geometry(t: Tables) -> DataFrame:
 
 @query("""SELECT page_id, len(string_split(html, '<p>')) - 1 AS markers FROM pages""")
 def startcode_count(t: Tables) -> DataFrame:
-    return t.read("pages").select("page_id", F.size(framing.marker_places(F.col("html").cast("binary"), b"<p>")).cast("bigint").alias("markers"))
+    return t.read("pages").select("page_id", framing.marker_count(F.col("html").cast("binary"), b"<p>").alias("markers"))
 
 
 @query("""WITH p AS (SELECT page_id, string_split(html, '<p>') AS parts FROM pages), e AS (SELECT page_id, unnest(range(1, len(parts))) AS i, parts FROM p)
@@ -431,12 +431,12 @@ def coalesce_buffers(t: Tables) -> DataFrame:
 
 @query("""SELECT source, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, count(*) AS buffers FROM documents GROUP BY source""")
 def bytes_total(t: Tables) -> DataFrame:
-    return t.read("documents").groupBy("source").agg(F.sum(F.octet_length("text").cast("bigint")).alias("bytes"), F.count(F.lit(1)).alias("buffers"))
+    return state.byte_totals(t.read("documents"), ["source"], "text")
 
 
 @query("""SELECT s_nationkey, min(least(s_acctbal, 5000.0)) AS level FROM supplier GROUP BY s_nationkey""")
 def least_level(t: Tables) -> DataFrame:
-    return t.read("supplier").groupBy("s_nationkey").agg(F.min(F.least("s_acctbal", F.lit(5000.0))).alias("level"))
+    return state.least_level(t.read("supplier"), ["s_nationkey"], "s_acctbal", 5000.0)
 
 
 @query("""SELECT doc_id, 'Content-Type: image/jpeg' || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(text)) || chr(13) || chr(10) || chr(13) || chr(10) || text || chr(13) || chr(10) || '--frame' || chr(13) || chr(10) AS part FROM documents""")

@@ -142,6 +142,21 @@ def _flv(tags: DataFrame) -> DataFrame:
     return timeline.lag_duration(rows, ["path", "stream_id"], "seq", "pts_hns")
 
 
+def _unit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        units = [None if p is None else after_sei(p[5:]) for p in batch.column("payload").to_pylist()]
+        yield batch.drop_columns(["payload"]).append_column("units", pa.array(units, pa.binary()))
+
+
+def avc_units(rows: DataFrame) -> DataFrame:
+    """path, seq, pts_hns, key, units of flv(): what AVC video tags hold behind their five header bytes and the supplemental units at their start.
+
+    Tags of other codecs, configurations and ends of sequences are left out; a payload that was not read gives null.
+    """
+    pictures = rows.where("video.codec = 7 and video.avc_type = 1").select("path", "seq", "pts_hns", F.col("video.key").alias("key"), "payload")
+    return pictures.mapInArrow(_unit_task, "path string, seq bigint, pts_hns bigint, key boolean, units binary")
+
+
 def mpegps(spark: SparkSession, path: str, payload: bool = True, width: int = split.RANGE) -> DataFrame:
     """mpegps_rows of the files at a path, read by ranges of `width` bytes. A filter on code leaves other packets' payloads unread."""
     return _mpegps(split.records(spark, path, "mpegps", payload, width))
@@ -192,6 +207,14 @@ def screen_clock(spark: SparkSession, rows: int = 100, frame_hns: int = 1_000_00
     return spark.range(rows).select(F.col("id").alias("seq"), (F.col("id") * frame_hns).alias("pts_hns"), F.lit(frame_hns).cast("bigint").alias("dur_hns"))
 
 
+def screen_frames(spans: DataFrame, frame_hns: int = 1_000_000) -> DataFrame:
+    """stream_id, seq, pts_hns, dur_hns of captures at a fixed rate over spans(stream_id, begin_hns, end_hns), from each begin on up to its end, which is left out. A span that is empty or lacks an end has no frames."""
+    n = clock.div(F.col("end_hns") - F.col("begin_hns") + (frame_hns - 1), frame_hns)
+    places = F.sequence(F.lit(0).cast("bigint"), n - 1)
+    frames = spans.where("end_hns > begin_hns").select("stream_id", "begin_hns", F.explode(places).alias("seq"))
+    return frames.select("stream_id", "seq", (F.col("begin_hns") + F.col("seq") * frame_hns).alias("pts_hns"), F.lit(frame_hns).cast("bigint").alias("dur_hns"))
+
+
 def screen_stream(spark: SparkSession, per_second: int = 10) -> DataFrame:
     """The same as an endless stream."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
