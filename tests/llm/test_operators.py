@@ -744,6 +744,6 @@ def db():
 def test_queries_equal_sql(spark, db):
     from sparkreel.llm.queries import ORACLE_SQL, QUERIES
 
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")) == list(range(1, 14))
     for name, sql in ORACLE_SQL.items():
         assert differences(QUERIES[name](spark, "/root/testdata/sf0.001"), db, sql) is None, name
