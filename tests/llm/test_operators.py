@@ -527,9 +527,9 @@ def test_mixture_meets_its_targets(spark, gain, repeats):
         assert n - whole[s] in (0, 1)
 
 
-def brute_draws(spark, df, budget, block_tokens):
+def brute_draws(spark, df, budget, block_tokens, keep=()):
     """(source, doc_id, epoch) drawn from df by the plan's definition; only the hashes and the exponent come from Spark."""
-    counted = mixing.numbered(mixing.hashed(df))
+    counted = mixing.numbered(mixing.hashed(df, keep))
     plan = mixing.plan(counted, budget, 0.5, 4.0, block_tokens, 0)
     keyed = counted.join(plan, "source").withColumn("block", mixing.block_of(F.col("blocks"), 0))
     keyed = keyed.select("source", "doc_id", "n_tokens", "whole", "block", F.xxhash64(F.lit(0), "source", "whole", "block").alias("block_key"), F.xxhash64(F.lit(0), "whole", "row_a", "number").alias("doc_key"))
