@@ -69,7 +69,9 @@ def ragged(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType | None = None
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b): component is its smallest node.
 
-    In a round a node's label jumps to its label's label, then the node and its
+    First every node goes over to the smallest among itself and its neighbours, and an
+    edge then joins what its ends went over to: a node with its neighbours becomes
+    one, and few edges are left for the rounds to read again. In a round a node's label jumps to its label's label, then the node and its
     label's node take the smallest label among the node and its neighbours. That
     is two minima with map-side combining, so a node with very many edges is split
     like any skewed join key. Every round ends in a shared table. Null ends and
@@ -77,9 +79,16 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """
     edges = edges.select(F.col("a").alias("a"), F.col("b").alias("b")).where("a is not null and b is not null and a <> b")
     spark = edges.sparkSession
-    both, kept = stored(edges.union(edges.select("b", "a")).distinct(), "edges")
+    one_way, given = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     # Small label tables as few files; a task has about EDGES_A_TASK edges at most.
-    parts = both.count() // EDGES_A_TASK + 1
+    parts = one_way.count() // EDGES_A_TASK + 1
+    near = one_way.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")))).alias("x")).select("x.*")
+    steps, stepped = stored(near.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("rep")).coalesce(parts), "steps")
+    ends = [steps.select(F.col("node").alias(end), F.col("rep").alias(new)) for end, new in (("a", "x"), ("b", "y"))]
+    met = one_way.join(ends[0], "a").join(ends[1], "b").where("x <> y")
+    sides = F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b"))))
+    both, kept = stored(met.select(sides.alias("e")).select("e.*").distinct().coalesce(parts), "edges")
+    discard(spark, given)
     first = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component"))
     labels, last = stored(first.coalesce(parts), "labels")
     nothing = F.lit(None).cast("long")
@@ -95,6 +104,9 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         discard(spark, last)
         labels, last = fresh.select("node", "component"), path
         if not moved:
-            discard(spark, kept)
-            return labels
+            ends = labels.select(F.col("node").alias("rep"), "component")
+            out = cut(steps.join(ends, "rep", "left").select("node", F.coalesce("component", "rep").alias("component")), "components")
+            for path in (kept, last, stepped):
+                discard(spark, path)
+            return out
     raise RuntimeError(f"labels still move after {rounds} rounds")

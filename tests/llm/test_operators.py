@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import zlib
 
@@ -73,6 +74,17 @@ def test_components(spark):
     assert got == brute.components({x for e in real for x in e}, real)
 
 
+def test_components_of_chains_stars_and_nothing(spark):
+    edges = [(i + 1, i) for i in range(3000)] + [(10_000, 10_001 + i) for i in range(500)] * 2 + [(20_000 + i, 20_000 + j) for i in range(30) for j in range(i)]
+    folder = common.shared_folder(spark)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    got = rows(common.components(spark.createDataFrame(edges, "a long, b long")))
+    assert len(got) == len(dict(got)) and dict(got) == {i: 0 for i in range(3001)} | {10_000 + i: 10_000 for i in range(501)} | {20_000 + i: 20_000 for i in range(30)}
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and left.pop().startswith("components-")
+    assert rows(common.components(spark.createDataFrame([(None, 1), (2, None), (None, None), (3, 3)], "a long, b long"))) == []
+
+
 def test_a_cluster_must_name_the_shared_folder(spark):
     class Session:
         """What shared_folder reads of a session."""
