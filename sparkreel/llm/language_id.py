@@ -6,9 +6,10 @@ those that have not) gives a margin. Decoding picks the codeword with the
 smallest loss, where a bit's loss is weighted by how reliable the bit was on the
 training rows. A small distance to the runner-up flags the text as ambiguous.
 
-Training uses at most about `rows_per_language` rows of each of the
-`max_languages` most frequent languages, chosen by a hash of id and text; rarer
-names are not learned. Prediction reads whole texts.
+Training uses at most about `rows_per_language` rows of each language, chosen by a
+hash of id and text, one at least. However many names there are, all are learned:
+Spark sums their counts into two tables a bit, and bits grow with the logarithm of
+the number of names. Prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -24,14 +25,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import discard, stored, text_column
+from .common import cut, discard, stored, text_column
 
 ROWS_PER_LANGUAGE = 5_000
-#: Languages that a model has at most. Its tables have SLOTS numbers for each.
-MAX_LANGUAGES = 256
 SLOTS = 1 << 14
 #: Codes of random bits beyond this many languages; all distinct splits up to it.
 EXHAUSTIVE = 5
+#: Codes of random bits that are drawn, the best of which stays, and the number of pairs of languages that they may cost; one at least.
+DRAWS, PAIRS = 200, 200 * 256**2
+#: Tasks that sum what languages add to bits.
+SUM_TASKS = 16
+#: Losses, of texts times languages, that decoding holds at a time.
+LOSSES = 1 << 22
 #: A text is ambiguous if its score stays below this.
 SURE = 0.75
 #: Trigrams after which more text no longer raises confidence in a bit.
@@ -55,8 +60,10 @@ def codewords(n: int) -> np.ndarray:
         splits = [[1, *(1 if s >> i & 1 else -1 for i in range(n - 1))] for s in range(2 ** (n - 1) - 1)]
         return np.array(splits, np.int8).reshape(-1, n).T
     bits, draw = max(15, math.ceil(10 * math.log2(n))), np.random.default_rng(0)
-    best, most = None, -1
-    for _ in range(200):
+    best, most, draws = None, -1, min(DRAWS, PAIRS // n**2)
+    if draws < 2:
+        return draw.choice(np.array([-1, 1], np.int8), (n, bits))
+    for _ in range(draws):
         tried = draw.choice(np.array([-1, 1], np.int8), (n, bits))
         agree = tried.astype(np.float32) @ tried.T
         np.fill_diagonal(agree, -bits)
@@ -92,81 +99,120 @@ def margins(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-_COUNTS = "language int, counts binary"
+_COUNTS = "lang string, slots binary, counts binary"
+_SUMS = "bit int, plus binary, minus binary"
 
 
-def _count_task(languages: list[str]):
+def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often which slots occur in a language's rows; rows come sorted by language, so one language is held at a time."""
+    lang, counts = None, np.zeros(SLOTS, np.int64)
+
+    def said() -> pa.RecordBatch:
+        some = np.flatnonzero(counts)
+        return pa.record_batch([pa.array([lang]), pa.array([some.astype(np.int32).tobytes()], pa.binary()), pa.array([counts[some].tobytes()], pa.binary())], names=["lang", "slots", "counts"])
+
+    for batch in batches:
+        names = batch.column("lang").to_pylist()
+        for rows, buf, offsets in K.sliced(batch.column("text"), 1 << 18):
+            slots = _slots(buf, offsets)
+            for row, a, b in zip(rows, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                if names[row] != lang:
+                    if lang is not None:
+                        yield said()
+                    lang = names[row]
+                    counts[:] = 0
+                np.add.at(counts, slots[a:b], 1)
+    if lang is not None:
+        yield said()
+
+
+def _sum_task(group: pa.Table) -> pa.Table:
+    total = np.zeros(SLOTS, np.int64)
+    for slots, counts in zip(group["slots"], group["counts"], strict=True):
+        total[np.frombuffer(slots.as_py(), np.int32)] += np.frombuffer(counts.as_py(), np.int64)
+    some = np.flatnonzero(total)
+    return pa.table({"lang": group["lang"].slice(0, 1), "slots": pa.array([some.astype(np.int32).tobytes()], pa.binary()), "counts": pa.array([total[some].tobytes()], pa.binary())})
+
+
+def _bit_task(languages: list[str], code: np.ndarray):
+    """For each bit the summed chances of slots in the task's languages that have the bit, and in those that have not."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages), SLOTS), np.int64)
+        sums, seen = np.zeros((2, code.shape[1], SLOTS)), False
         for batch in batches:
             which = pc.index_in(batch.column("lang"), pa.array(languages)).to_numpy(zero_copy_only=False)
-            for rows, buf, offsets in K.sliced(batch.column("text"), 1 << 18):
-                slots = _slots(buf, offsets)
-                for row, a, b in zip(rows, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    np.add.at(counts[which[row]], slots[a:b], 1)
-        some = np.flatnonzero(counts.any(axis=1))
-        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([counts[i].tobytes() for i in some], pa.binary())], names=["language", "counts"])
+            for row, slots, counts in zip(which, batch.column("slots"), batch.column("counts"), strict=True):
+                chance = np.full(SLOTS, 0.5)
+                chance[np.frombuffer(slots.as_py(), np.int32)] += np.frombuffer(counts.as_py(), np.int64)
+                chance /= chance.sum()
+                for side, sign in enumerate((1, -1)):
+                    sums[side, code[row] == sign] += chance
+                seen = True
+        for bit in range(code.shape[1] if seen else 0):
+            yield pa.record_batch([pa.array([bit], pa.int32()), *[pa.array([sums[side, bit].tobytes()], pa.binary()) for side in (0, 1)]], names=["bit", "plus", "minus"])
 
     return run
 
 
-def _sum_task(group: pa.Table) -> pa.Table:
-    total = np.zeros(SLOTS, np.int64)
-    for part in group["counts"]:
-        total += np.frombuffer(part.as_py(), np.int64)
-    return pa.table({"language": group["language"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+def _bit_sum_task(group: pa.Table) -> pa.Table:
+    sums = {side: sum(np.frombuffer(part.as_py()) for part in group[side]) for side in ("plus", "minus")}
+    return pa.table({"bit": group["bit"].slice(0, 1)} | {side: pa.array([total.tobytes()], pa.binary()) for side, total in sums.items()})
 
 
 def _margin_task(languages: list[str], code: np.ndarray, weights: np.ndarray):
-    """Size of each training row's margin for each bit, and whether it has the wrong sign."""
+    """For each bit the number of a batch's rows, the summed size of their margins and how many have the wrong sign."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = pa.array(np.arange(code.shape[1], dtype=np.int32))
         for batch in batches:
             which = pc.index_in(batch.column("lang"), pa.array(languages)).to_numpy(zero_copy_only=False)
             values = margins(batch.column("text"), weights)
-            bits = np.tile(np.arange(code.shape[1], dtype=np.int32), len(values))
-            yield pa.record_batch([pa.array(bits), pa.array(np.abs(values).ravel()), pa.array((values * code[which] <= 0).astype(np.int32).ravel())], names=["bit", "size", "wrong"])
+            yield pa.record_batch([bits, pa.array(np.full(len(bits), len(values))), pa.array(np.abs(values).sum(0)), pa.array((values * code[which] <= 0).sum(0))], names=["bit", "n", "size", "wrong"])
 
     return run
 
 
-def _sample(rows: DataFrame, rows_per_language: int, max_languages: int) -> DataFrame:
-    """lang, text of about rows_per_language different rows of each of the most frequent languages, by a hash of id and text; one of each at least.
+def _sample(rows: DataFrame, rows_per_language: int, max_languages: int | None = None) -> DataFrame:
+    """lang, text of about rows_per_language different rows of each language, or of the max_languages most frequent ones, by a hash of id and text; one of each at least.
 
     Equal rows are one, so a text that is there very often neither fills the sample
-    nor stands for a language alone. Ties of frequency go to the first name. The
-    broadcast table has max_languages rows at most.
+    nor stands for a language alone. Ties of frequency go to the first name. The table
+    of languages is stored, so that Spark broadcasts it if its size allows.
     """
     rows = rows.withColumn("hash", F.xxhash64(F.lit(5), "doc_id", "text"))
     different = rows.select("lang", "hash").distinct()
-    sizes = different.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("first")).orderBy(F.col("n").desc(), "lang").limit(max_languages)
+    sizes = different.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("first"))
+    if max_languages is not None:
+        sizes = sizes.orderBy(F.col("n").desc(), "lang").limit(max_languages)
     share = F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.col("n"))
     drawn = F.pmod("hash", F.lit(1 << 20)) / F.lit(float(1 << 20))
-    some = rows.join(F.broadcast(sizes.select("lang", share.alias("share"), "first")), "lang").where((drawn < F.col("share")) | (F.col("hash") == F.col("first")))
+    some = rows.join(cut(sizes.select("lang", share.alias("share"), "first"), "languages"), "lang").where((drawn < F.col("share")) | (F.col("hash") == F.col("first")))
     return some.select("lang", "hash", "text").dropDuplicates(["lang", "hash"]).select("lang", "text")
 
 
-def train(rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
+def train(rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, max_languages: int | None = None) -> Model:
     """A model from rows(doc_id, text, lang); rows without one of them teach nothing.
 
     The sample is stored once. To the driver come the names of the languages that
-    it has, max_languages at most, and a table of SLOTS counts for each.
+    are learned (all, unless max_languages is given), and for each bit two tables of
+    SLOTS numbers and two figures.
     """
     rows = rows.where("lang is not null and text is not null and doc_id is not null")
     sample, sample_at = stored(_sample(rows, rows_per_language, max_languages), "sample")
-    languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())  # at most max_languages
+    languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())  # names alone
     code = codewords(len(languages))
     if code.size == 0:
         discard(rows.sparkSession, sample_at)
         return Model(languages, code, np.zeros((SLOTS, 0), np.float32), np.ones(0), np.ones(0))
-    tables = sample.mapInArrow(_count_task(languages), _COUNTS).groupBy("language").applyInArrow(_sum_task, _COUNTS).collect()  # one for each language
-    counts = np.zeros((len(languages), SLOTS), np.int64)
-    for r in tables:
-        counts[r["language"]] = np.frombuffer(r["counts"], np.int64)
-    chance = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
-    weights = np.stack([np.log(chance[code[:, b] > 0].mean(0)) - np.log(chance[code[:, b] < 0].mean(0)) for b in range(code.shape[1])], axis=1).astype(np.float32)
-    judged = sample.mapInArrow(_margin_task(languages, code, weights), "bit int, size double, wrong int")
-    stats = {r["bit"]: r for r in judged.groupBy("bit").agg(F.avg("size").alias("scale"), F.avg("wrong").alias("wrong")).collect()}  # one for each bit
+    counts = sample.sortWithinPartitions("lang").mapInArrow(_count_task, _COUNTS).groupBy("lang").applyInArrow(_sum_task, _COUNTS)
+    sums = counts.coalesce(SUM_TASKS).mapInArrow(_bit_task(languages, code), _SUMS).groupBy("bit").applyInArrow(_bit_sum_task, _SUMS)
+    weights = np.zeros((SLOTS, code.shape[1]), np.float32)
+    for r in sums.collect():  # one for each bit
+        own = code[:, r["bit"]]
+        weights[:, r["bit"]] = np.log(np.frombuffer(r["plus"]) / (own > 0).sum()) - np.log(np.frombuffer(r["minus"]) / (own < 0).sum())
+    judged = sample.mapInArrow(_margin_task(languages, code, weights), "bit int, n long, size double, wrong long")
+    judged = judged.groupBy("bit").agg((F.sum("size") / F.sum("n")).alias("scale"), (F.sum("wrong") / F.sum("n")).alias("wrong"))
+    stats = {r["bit"]: r for r in judged.collect()}  # one for each bit
     discard(rows.sparkSession, sample_at)
     wrong = np.clip([stats[b]["wrong"] for b in range(code.shape[1])], 1e-3, 0.499)
     return Model(languages, code, weights, np.maximum([stats[b]["scale"] for b in range(code.shape[1])], 1e-9), np.log((1 - wrong) / wrong))
@@ -176,11 +222,18 @@ def decode(model: Model, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(language index, score) by the least reliability-weighted logistic loss to a codeword."""
     if len(model.languages) == 1:
         return np.zeros(len(values), int), np.ones(len(values))
-    agree = (values / model.scale)[:, None, :] * model.code[None]
-    loss = (np.logaddexp(0, -3 * agree) * model.reliability).sum(2) / model.reliability.mean()
-    best = loss.argmin(1)
-    near = np.exp(-(loss - loss.min(1, keepdims=True)))
-    return best, 1 / near.sum(1)
+    # A bit that a codeword has costs log(1 + exp(-x)), one that it has not costs x more.
+    x = 3 * values / model.scale
+    without = (np.logaddexp(0, -x) * model.reliability).sum(1)
+    lacks = (model.code < 0).T.astype(np.float64)
+    best, score = np.zeros(len(values), int), np.zeros(len(values))
+    step = max(1, LOSSES // len(model.languages))
+    for at in range(0, len(values), step):
+        part = slice(at, at + step)
+        loss = (without[part, None] + (x[part] * model.reliability) @ lacks) / model.reliability.mean()
+        best[part] = loss.argmin(1)
+        score[part] = 1 / np.exp(loss.min(1, keepdims=True) - loss).sum(1)
+    return best, score
 
 
 def _predict_task(model: Model):

@@ -361,12 +361,21 @@ def test_training_and_decoding_by_brute_force(spark, docs):
         assert abs(score - 1 / sum(np.exp(min(loss) - x) for x in loss)) < 1e-6 and unsure == (score < language_id.SURE)
 
 
-def test_names_beyond_the_most_frequent_languages_are_not_learned(spark):
+def test_a_limit_on_names_keeps_the_most_frequent_ones(spark):
     rows_of = [(n, "aa bb", "en") for n in range(40)] + [(100 + n, "cc dd", "fr") for n in range(30)] + [(1000 + n, "ee ff", f"x{n:05}") for n in range(10_000)]
     df = spark.createDataFrame(rows_of, "doc_id long, text string, lang string")
     model = language_id.train(df, max_languages=3)
     assert model.languages == ["en", "fr", "x00000"]
-    assert len(language_id.train(df, rows_per_language=5).languages) <= language_id.MAX_LANGUAGES
+
+
+def test_thousands_of_names_are_learned(spark, docs):
+    names = {f"x{n:04}": chr(0x4E00 + 7 * n) * 3 for n in range(2000)}
+    data = [(n, f"{word} {word}", lang) for n, (lang, word) in enumerate(names.items())] + [(10_000 + n, "the same words", "en") for n in range(50)]
+    model = language_id.train(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 2001 and model.code.shape[1] == 110
+    asked = [(n, word * 4, lang) for n, (lang, word) in enumerate(list(names.items())[::100])] + [(5000, "same words", "en")]
+    told = dict(rows(language_id.predict(docs([(n, text) for n, text, _ in asked]), model), "doc_id", "lang_pred"))
+    assert sum(told[n] == lang for n, _, lang in asked) >= 18
 
 
 # 6 Media
