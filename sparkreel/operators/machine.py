@@ -3,18 +3,19 @@
 A block of events is a map from the state before it to the state after it. Maps
 compose, so blocks are reduced side by side, then the state at each block's start
 follows from the maps before it, over groups of blocks first, and last each block
-is run from its start. No task holds more than one block of a key, or the maps of
-one group of blocks.
+is run from its start. A task takes the blocks or groups that it has one after the
+other in batches of rows, so that short blocks cost no more than their rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .timeline import BLOCK
@@ -46,40 +47,69 @@ class Machine:
         return events, to, ok
 
 
-def composed(maps: np.ndarray) -> np.ndarray:
-    """The map that does these one after the other, by halves."""
-    while len(maps) > 1:
-        even = len(maps) // 2 * 2
-        pairs = np.take_along_axis(maps[1:even:2], maps[0:even:2].astype(np.int64), axis=1)
-        maps = np.concatenate([pairs, maps[even:]])
-    return maps[0]
+def scanned(maps: np.ndarray, first: np.ndarray, carried: np.ndarray) -> np.ndarray:
+    """For each map the one that does all of its run up to it. first: where runs begin; carried: the map of the run that rows before the first start go on with."""
+    n = len(maps)
+    place = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    out, step = maps.astype(np.int64), 1
+    while n and step <= place.max():
+        late = np.flatnonzero(place >= step)
+        out[late] = np.take_along_axis(out[late], out[late - step], axis=1)
+        step *= 2
+    going = n if not first.any() else int(np.argmax(first))
+    out[:going] = out[:going][:, carried]
+    return out
 
 
-def _codes(events: dict[str, int], column: pa.ChunkedArray) -> np.ndarray:
-    return np.array([events.get(e, len(events)) for e in column.to_pylist()], np.int64)
+def _codes(events: dict[str, int], column: pa.Array) -> np.ndarray:
+    found = pc.index_in(column.cast(pa.string()), value_set=pa.array(list(events), pa.string()))
+    return pc.fill_null(found, len(events)).to_numpy(zero_copy_only=False)
 
 
-def _mapped(keys: list[str], order: str, block: str, maps: Callable[[pa.Table], np.ndarray]):
-    """A group's composed map with its keys and block number."""
+def _listed(batch: pa.RecordBatch) -> np.ndarray:
+    return np.array(batch.column("map").to_pylist(), np.int64)
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by(order)
-        one = group.select([*keys, block]).slice(0, 1)
-        return one.append_column("map", pa.array([composed(maps(group)).tolist()], pa.list_(pa.int32())))
+
+def _runs(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows in the order of their runs, marked where a run begins and where it ends. A task takes many runs, batch after batch, however short they are."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    marked = rows.withColumn("__first", F.row_number().over(w) == 1).withColumn("__last", F.lead(F.lit(1)).over(w).isNull())
+    return marked.sortWithinPartitions(*keys, order)
+
+
+def _walked(batches: Iterator[pa.RecordBatch], states: int, maps: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(batch, where runs begin, maps of runs before each row, maps of runs up to each row)"""
+    carried = np.arange(states)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        first = batch.column("__first").to_numpy(zero_copy_only=False).astype(bool)
+        after = scanned(maps(batch), first, carried)
+        before = np.concatenate([carried[None], after[:-1]])
+        carried = after[-1]
+        yield batch, first, before, after
+
+
+def _mapped(keys: list[str], states: int, maps: Callable[[pa.RecordBatch], np.ndarray]):
+    """Each run's composed map with its keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, _, after in _walked(batches, states, maps):
+            last = batch.column("__last")
+            out = pa.array(after[last.to_numpy(zero_copy_only=False).astype(bool)].tolist(), pa.list_(pa.int32()))
+            yield batch.select(keys).filter(last).append_column("map", out)
 
     return run
 
 
-def _begun(keys: list[str], order: str, kept: list[str]):
-    """The state at the start of each map of a group that begins with the state in `entry`."""
+def _begun(kept: list[str], states: int):
+    """The state at the start of each map of runs that begin with the state in `__entry`."""
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by(order)
-        state, states = group["entry"][0].as_py(), []
-        for after in group["map"].to_pylist():
-            states.append(state)
-            state = after[state]
-        return group.select([*keys, *kept]).append_column("entry", pa.array(states, pa.int32()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, first, before, _ in _walked(batches, states, _listed):
+            entry = batch.column("__entry").to_numpy()
+            state = np.where(first, entry, before[np.arange(len(entry)), entry])
+            yield batch.select(kept).append_column("__entry", pa.array(state, pa.int32()))
 
     return run
 
@@ -89,8 +119,8 @@ def _fields(df: DataFrame, names: list[str]) -> str:
 
 
 def _joined(rows: DataFrame, entries: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with `entry`, by keys that may be null."""
-    named = entries.select(*[F.col(k).alias(f"__k_{i}") for i, k in enumerate(keys)], "entry")
+    """rows with `__entry`, by keys that may be null."""
+    named = entries.select(*[F.col(k).alias(f"__k_{i}") for i, k in enumerate(keys)], "__entry")
     return rows.join(named, [rows[k].eqNullSafe(named[f"__k_{i}"]) for i, k in enumerate(keys)]).drop(*[f"__k_{i}" for i in range(len(keys))])
 
 
@@ -104,29 +134,25 @@ def run(log: DataFrame, keys: list[str], order: str, event: str, machine: Machin
     states = machine.states()
     rows = log.withColumn("__block", F.floor(F.col(order) / F.lit(float(width))).cast("bigint"))
     slim = rows.select(*keys, "__block", F.col(order).alias("__order"), F.col(event).cast("string").alias("__event"))
-    kinds = _fields(slim, [*keys, "__block"])
-    blocks = slim.groupBy(*keys, "__block").applyInArrow(_mapped(keys, "__order", "__block", lambda g: to[_codes(events, g["__event"])]), f"{kinds}, map array<int>")
+    kinds, n = _fields(slim, [*keys, "__block"]), len(states)
+    blocks = _runs(slim, [*keys, "__block"], "__order").mapInArrow(_mapped([*keys, "__block"], n, lambda b: to[_codes(events, b.column("__event"))]), f"{kinds}, map array<int>")
     blocks = blocks.withColumn("__group", F.floor(F.col("__block") / F.lit(float(group))).cast("bigint"))
-    listed = lambda g: np.array(g["map"].to_pylist(), np.int32)
-    groups = blocks.groupBy(*keys, "__group").applyInArrow(_mapped(keys, "__block", "__group", listed), f"{_fields(blocks, [*keys, '__group'])}, map array<int>")
-    first = groups.withColumn("entry", F.lit(states.index(machine.start)))
-    first = first.groupBy(*keys).applyInArrow(_begun(keys, "__group", ["__group"]), f"{_fields(blocks, [*keys, '__group'])}, entry int")
+    grouped = _fields(blocks, [*keys, "__group"])
+    groups = _runs(blocks, [*keys, "__group"], "__block").mapInArrow(_mapped([*keys, "__group"], n, _listed), f"{grouped}, map array<int>")
+    first = _runs(groups.withColumn("__entry", F.lit(states.index(machine.start))), keys, "__group").mapInArrow(_begun([*keys, "__group"], n), f"{grouped}, __entry int")
     placed = _joined(blocks, first, [*keys, "__group"])
-    entries = placed.groupBy(*keys, "__group").applyInArrow(_begun(keys, "__block", ["__block"]), f"{kinds}, entry int")
-    names = log.columns
-
-    def stepped(part: pa.Table) -> pa.Table:
-        part = part.sort_by(order)
-        state, before, legal = part["entry"][0].as_py(), [], []
-        for code in _codes(events, part[event].cast(pa.string())).tolist():
-            before.append(state)
-            legal.append(bool(ok[code, state]))
-            state = int(to[code, state])
-        after = [states[s] for s in [*before[1:], state]]
-        return part.select(names).append_column("from_state", pa.array([states[s] for s in before], pa.string())).append_column("to_state", pa.array(after, pa.string())).append_column("ok", pa.array(legal, pa.bool_()))
-
-    whole = _joined(rows, entries, [*keys, "__block"])
-    return whole.groupBy(*keys, "__block").applyInArrow(stepped, f"{_fields(log, names)}, from_state string, to_state string, ok boolean")
+    entries = _runs(placed, [*keys, "__group"], "__block").mapInArrow(_begun([*keys, "__block"], n), f"{kinds}, __entry int")
+    names, labels = log.columns, pa.array(states, pa.string())
+
+    def stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, first, before, after in _walked(batches, n, lambda b: to[_codes(events, b.column(event))]):
+            entry, code, each = batch.column("__entry").to_numpy(), _codes(events, batch.column(event)), np.arange(batch.num_rows)
+            state = np.where(first, entry, before[each, entry])
+            moved = [labels.take(pa.array(s)) for s in (state, after[each, entry])]
+            yield batch.select(names).append_column("from_state", moved[0]).append_column("to_state", moved[1]).append_column("ok", pa.array(ok[code, state], pa.bool_()))
+
+    whole = _runs(_joined(rows, entries, [*keys, "__block"]), [*keys, "__block"], order)
+    return whole.mapInArrow(stepped, f"{_fields(log, names)}, from_state string, to_state string, ok boolean")
 
 
 #: A session is played, paused and stopped only where that makes sense; an error of any call closes it.

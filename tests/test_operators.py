@@ -167,6 +167,19 @@ def test_a_machine_in_blocks_is_the_machine_in_a_row(spark, n, width, group):
     assert machine.run(df.limit(0), ["key"], "place", "event", machine.VIDEO).count() == 0
 
 
+def test_short_blocks_of_a_machine_share_tasks_and_batches(spark):
+    from sparkreel.operators import machine
+
+    log = spark.range(200).selectExpr("id % 3 AS key", "id AS place", "element_at(array('play', 'pause', 'stop', 'close', 'open'), cast(id * 7 % 5 + 1 as int)) AS event")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = machine.run(log, ["key"], "place", "event", machine.SESSION, 10, 2)
+        assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+        assert rows(got) == rows(machine.run(log, ["key"], "place", "event", machine.SESSION))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 # Graphs of parts
 
 
