@@ -62,6 +62,26 @@ def test_ranges_give_what_one_walk_gives(spark, tmp_path, kind, width):
         assert got.rdd.getNumPartitions() > len(files)
 
 
+def test_small_ranges_share_tasks(spark, tmp_path):
+    # No size stands after its tag, so no range has a guess, and each goes on where the one before ended.
+    tags = [tag(9, i, b"\x27\1\0\0\0" + b"x" * 50) for i in range(900)]
+    (tmp_path / "a.flv").write_bytes(b"FLV\1\5\0\0\0\x09" + b"".join(b"\0\0\0\0" + t for t in tags))
+    got = split.records(spark, str(tmp_path), "flv", payload=False, width=150)
+    assert got.rdd.getNumPartitions() <= 64
+    assert rows(got, "seq", "at", "error") == [(i, 9 + 70 * i, None) for i in range(900)]
+
+
+def test_records_of_small_contents_share_batches():
+    import pyarrow as pa
+
+    contents = [flv([tag(8, i, b"\xaf\1")]) for i in range(100)]
+    batch = pa.record_batch({"path": [str(i) for i in range(100)], "content": pa.array(contents, pa.binary())})
+    found = list(containers._walk_task(containers.flv_tags, True)(iter([batch])))
+    assert [b.num_rows for b in found] == [100]
+    large = pa.record_batch({"path": ["a"], "content": pa.array([flv([tag(9, i, b"\x17" * (3 << 20)) for i in range(4)])], pa.binary())})
+    assert [b.num_rows for b in containers._walk_task(containers.flv_tags, True)(iter([large]))] == [3, 1]
+
+
 def test_filters_leave_payloads_on_the_disk(spark, tmp_path):
     data = flv([tag(8 + i % 2, i, b"\xaf\1" * 50_000) for i in range(20)])
     (tmp_path / "a.flv").write_bytes(data)
