@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,44 +16,56 @@ from ..sinks.files import scratch
 
 #: Pictures held back at most before the first is released.
 WINDOW = 20
+#: Keys that streams are dealt to.
+KEYS = 4096
 
 
 class Reorder(StatefulProcessor):
-    """Holds pictures until their group is over, or until `window` later ones have come, then lets the lowest go."""
+    """Holds pictures until their group is over, or until `window` later ones have come, then lets the lowest go. Many streams share a key and its state."""
 
     def __init__(self, window: int):
         self.window = window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getListState("held", "group bigint, temporal_ref bigint, decode_seq bigint, ptype string")
-        self.place = handle.getValueState("place", "group bigint, shown bigint")
+        self.place = handle.getValueState("place", "streams array<string>, groups array<bigint>, shown array<bigint>")
+        self.held = handle.getValueState("held", "streams array<string>, groups array<bigint>, refs array<bigint>, seqs array<bigint>, kinds array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        group, shown = self.place.get() if self.place.exists() else (0, 0)
-        held = list(self.held.get()) if self.held.exists() else []
-        out = []
+        places = {s: (g, n) for s, g, n in zip(*self.place.get(), strict=True)} if self.place.exists() else {}
+        waiting: dict[str | None, list[tuple]] = {}
+        for stream, *picture in zip(*self.held.get(), strict=True) if self.held.exists() else ():
+            waiting.setdefault(stream, []).append(tuple(picture))
+        out: list[tuple] = []
         for row in pd.concat(list(rows)).sort_values("decode_seq").itertuples():
+            stream = None if pd.isna(row.stream_id) else row.stream_id
+            (group, shown), held = places.get(stream, (0, 0)), waiting.setdefault(stream, [])
             group += row.ptype == "I"
-            held.append((group, int(row.temporal_ref), int(row.decode_seq), row.ptype))
-            held.sort()
-            while held and (held[0][0] < group or len(held) > self.window):
-                out.append(held.pop(0))
-        self.held.put(held) if held else self.held.clear()
-        self.place.update((group, shown + len(out)))
+            bisect.insort(held, (group, int(row.temporal_ref), int(row.decode_seq), row.ptype))
+            gone = 0
+            while gone < len(held) and (held[gone][0] < group or len(held) - gone > self.window):
+                out.append((stream, held[gone][2], held[gone][3], shown + gone))
+                gone += 1
+            del held[:gone]
+            places[stream] = group, shown + gone
+        self.place.update((list(places), [g for g, _ in places.values()], [n for _, n in places.values()]))
+        left = [(s, *x) for s, held in waiting.items() for x in held]
+        self.held.update(tuple(map(list, zip(*left, strict=True)))) if left else self.held.clear()
         if out:
-            yield pd.DataFrame({"stream_id": [key[0]] * len(out), "decode_seq": [x[2] for x in out], "ptype": [x[3] for x in out], "display_seq": range(shown, shown + len(out))})
+            yield pd.DataFrame(out, columns=["stream_id", "decode_seq", "ptype", "display_seq"])
 
     def close(self) -> None:
         pass
 
 
-def reordered(pictures: DataFrame, window: int = WINDOW) -> DataFrame:
+def reordered(pictures: DataFrame, window: int = WINDOW, keys: int = KEYS) -> DataFrame:
     """stream_id, decode_seq, ptype, display_seq of a stream of pictures; what is held at the end comes with the next I picture.
 
     End a stream with an I picture to let all go; tables are better ordered with
-    operators.timeline.display_order, which needs no state.
+    operators.timeline.display_order, which needs no state. Streams are dealt to
+    `keys` keys, whose states are read and written as one.
     """
-    return pictures.select("stream_id", "decode_seq", "temporal_ref", "ptype").groupBy("stream_id").transformWithStateInPandas(Reorder(window), "stream_id string, decode_seq bigint, ptype string, display_seq bigint", "Append", "None")
+    dealt = pictures.select(F.pmod(F.xxhash64("stream_id"), F.lit(keys)).alias("deal"), "stream_id", "decode_seq", "temporal_ref", "ptype")
+    return dealt.groupBy("deal").transformWithStateInPandas(Reorder(window), "stream_id string, decode_seq bigint, ptype string, display_seq bigint", "Append", "None")
 
 
 def take_times(kinds: list[str], stamps: list[tuple[int | None, int | None] | None]) -> list[int | None]:

@@ -81,6 +81,22 @@ def test_streaming_frames_equal_batch(spark, tmp_path):
     assert got == [(i, AC3) for i in range(7)]
 
 
+def test_many_streams_share_a_key(spark):
+    from sparkreel.streaming import replay
+
+    n = 30
+    chunks = spark.createDataFrame([(f"s{s}" if s else None, i, bytearray((b"?" * s + AC3 * 3)[i * 100 : i * 100 + 100])) for s in range(n) for i in range(5)], "stream_id string, seq long, data binary")
+    parts = [chunks.where("seq < 2"), chunks.where("seq >= 2")]
+    found = replay.to_end(framer.framed(replay.replayed(parts, ["stream_id"], 2), "ac3", keys=2))
+    assert rows(found) == [(f"s{s}" if s else None, i, AC3) for s in sorted(range(n), key=lambda s: f"s{s}" if s else "") for i in range(3)]
+    kinds, temporal = "IPBBPBBI", [0, 3, 1, 2, 6, 4, 5, 0]
+    films = spark.createDataFrame([(f"s{s}" if s else None, i, t, k) for s in range(n) for i, (k, t) in enumerate(zip(kinds, temporal))], "stream_id string, decode_seq long, temporal_ref long, ptype string")
+    parts = [films.where("decode_seq < 3"), films.where("decode_seq >= 3")]
+    shown = replay.to_end(pictures.reordered(replay.replayed(parts, ["stream_id"], 2), window=3, keys=2))
+    order = [0, 2, 3, 1, 5, 6, 4]
+    assert sorted(((r.stream_id or "", r.display_seq, r.decode_seq) for r in shown.collect())) == sorted((f"s{s}" if s else "", i, d) for s in range(n) for i, d in enumerate(order))
+
+
 def test_streaming_reorder(spark, tmp_path):
     kinds, temporal = list("IPBBPBBI"), [0, 3, 1, 2, 6, 4, 5, 0]
     data = [("s", i, t, k) for i, (k, t) in enumerate(zip(kinds, temporal))]
