@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import bisect
+from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -87,86 +90,107 @@ def take_times(kinds: list[str], stamps: list[tuple[int | None, int | None] | No
     return out
 
 
-def _run_block(kinds: list[str], have: list[int], first: int, items: dict[int, tuple[int | None, bool]]) -> list[int | None]:
-    """For each picture the number of the packet that it takes, or None. have: packets so far; first: packets taken before; items: (time, left to others by B pictures)."""
-    out: list[int | None] = []
-    for kind, known in zip(kinds, have, strict=True):
-        if first >= known or (kind == "B" and items[first][1]):
-            out.append(None)
-        else:
-            out.append(first)
-            first += 1
-    return out
-
-
-def _block_task(result: str):
-    """cogroup of a block's pictures and the packets that it may take: `taken`, their number, or `times`, the pictures with them."""
-
-    def run(pictures: pa.Table, items: pa.Table) -> pa.Table:
-        if not pictures.num_rows:
-            # Packets alone: no picture is there to take them.
-            return (_TAKEN if result == "taken" else _TIMES).empty_table()
-        pictures = pictures.sort_by("decode_seq")
-        known = dict(zip(items["j"].to_pylist(), zip(items["pts"].to_pylist(), items["late"].to_pylist(), strict=True), strict=True))
-        taken = _run_block(pictures["ptype"].to_pylist(), pictures["have"].to_pylist(), pictures["first"][0].as_py(), known)
-        if result == "taken":
-            n = sum(t is not None for t in taken)
-            return pa.table({"stream_id": pictures["stream_id"].slice(0, 1), "block": pictures["block"].slice(0, 1), "taken": pa.array([n], pa.int64())}).cast(_TAKEN)
-        times = pa.array([None if t is None else known[t][0] for t in taken], pa.int64())
-        return pictures.select(["stream_id", "decode_seq", "ptype"]).append_column("time", times).cast(_TIMES)
-
-    return run
-
-
-_TAKEN = pa.schema([("stream_id", pa.string()), ("block", pa.int64()), ("taken", pa.int64())])
-_TIMES = pa.schema([("stream_id", pa.string()), ("decode_seq", pa.int64()), ("ptype", pa.string()), ("time", pa.int64())])
-
-
-def with_times(pictures: DataFrame, width: int = 10_000) -> DataFrame:
+#: Pictures of a stream that one task walks at most, where blocks are smaller.
+RUN = 100_000
+_WALK = "stream_id string, run bigint, kind int, place bigint, decode_seq bigint, ptype string, j bigint, pts bigint, late boolean"
+_TIMES = "stream_id string, run bigint, decode_seq bigint, ptype string, time bigint"
+#: Rows of a run in the order that they are walked in: how many packets were taken before, packets that wait since then, pictures.
+_BEGIN, _HELD, _PICTURE = 0, 1, 2
+
+
+def _walk_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pictures of sorted runs with their times. The queue is carried from batch to batch; a run's first row empties it."""
+    first, queue = 0, deque()
+    for batch in batches:
+        times, pts, kinds = [], batch.column("pts"), batch.column("kind").to_numpy()
+        stamped, bidirectional = pc.is_valid(pts), pc.fill_null(pc.equal(batch.column("ptype"), "B"), False)
+        flags = [x.to_numpy(zero_copy_only=False).tolist() for x in (stamped, bidirectional, pc.fill_null(batch.column("late"), False))]
+        numbers = [pc.fill_null(x, 0).to_numpy().tolist() for x in (batch.column("j"), pts)]
+        for kind, j, stamp, packet, b, late in zip(kinds.tolist(), *numbers, *flags, strict=True):
+            if kind == _BEGIN:
+                first = j
+                queue.clear()
+                continue
+            if packet and j >= first:
+                queue.append((stamp, late))
+            if kind == _PICTURE:
+                times.append(None if not queue or (b and queue[0][1]) else queue.popleft()[0])
+        shown = batch.filter(pc.equal(batch.column("kind"), _PICTURE))
+        yield shown.select(["stream_id", "run", "decode_seq", "ptype"]).append_column("time", pa.array(times, pa.int64()))
+
+
+def with_times(pictures: DataFrame, width: int = 10_000, group: int | None = None) -> DataFrame:
     """pictures(stream_id, decode_seq, ptype, pts, dts) with time: the packet times as decoders attach them, by the rule of take_times.
 
     pts null: no packet came before the picture; decode_seq is a BIGINT that is
-    unique in a stream. A stream is cut into blocks of `width` pictures. All that a
-    block needs of those before it is how many packets they took. That is known
-    from running minima if no B picture leaves a packet alone, and is the sum of
-    what earlier blocks took in any case: blocks are run side by side from where
-    the last round's sums put them, until the sums stand still. Each round settles
-    one more block of a stream at least, and mostly all of them, as what a block
-    takes seldom depends on where it begins. A task holds one block's pictures and
-    the packets that they may take.
+    unique in a stream. A stream is cut into blocks of `width` pictures, and `group`
+    blocks (as many as have RUN pictures) are a run, which a task walks in order
+    among many others. All that a run needs of those before it is how many packets
+    they took, and those that wait since then. That is known from running minima if
+    no B picture leaves a packet alone, and is the sum of what earlier runs took in
+    any case: runs are walked side by side from where the last round's sums put
+    them, until the sums stand still. Each round settles one more run of a stream at
+    least. A stream of one run is settled by the first. A task holds the packets that
+    wait, which are at most two runs' at a time.
     """
-    stream = ["stream_id"]
+    size = width * (group or max(RUN // width, 1))
     own = pictures.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("decode_seq").cast("bigint").alias("decode_seq"), "ptype", F.col("pts").cast("bigint").alias("pts"), F.col("dts").cast("bigint").alias("dts"))
-    placed = timeline.numbered(own, stream, "decode_seq", "i")
-    placed = timeline.prefix_sum(placed, stream, "decode_seq", F.col("pts").isNotNull().cast("bigint"), "j")
-    placed = placed.withColumn("have", F.col("j") + F.col("pts").isNotNull().cast("bigint")).withColumn("block", F.floor(F.col("i") / F.lit(float(width))).cast("bigint"))
-    placed = _stored(placed, "pictures")
-    items = placed.where("pts is not null").select("stream_id", "j", "pts", F.coalesce(F.col("dts") != F.col("pts"), F.lit(False)).alias("late"), F.floor(F.col("j") / F.lit(float(width))).cast("bigint").alias("part"))
-
-    # If every picture takes a packet when there is one: taken up to i = i + min(1, least of have - i so far).
-    earlier = Window.partitionBy("stream_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    least = placed.groupBy("stream_id", "block").agg(F.min(F.col("have") - F.col("i")).alias("least"))
-    first = F.coalesce(F.col("block") * width - 1 + F.least(F.min("least").over(earlier), F.lit(1)), F.lit(0)).cast("bigint")
-    starts = _stored(least.select("stream_id", "block", first.alias("first"), F.lit(None).cast("bigint").alias("taken")), "starts")
-
-    def met(blocks: DataFrame, result: str, schema: str) -> DataFrame:
-        near = blocks.select("stream_id", "block", F.explode(F.array(*[F.floor(F.col("first") / F.lit(float(width))).cast("bigint") + n for n in (0, 1)])).alias("part"))
-        near = near.select(F.col("stream_id").alias("__stream"), "block", F.col("part").alias("__part"))
-        held = items.join(near, items["stream_id"].eqNullSafe(near["__stream"]) & (items["part"] == near["__part"])).select(F.col("__stream").alias("stream_id"), "block", "j", "pts", "late")
-        begun = blocks.select(F.col("stream_id").alias("__stream"), F.col("block").alias("__block"), "first")
-        rows = placed.join(begun, placed["stream_id"].eqNullSafe(begun["__stream"]) & (placed["block"] == begun["__block"])).select("stream_id", "block", "decode_seq", "ptype", "have", "first")
-        return rows.groupBy("stream_id", "block").cogroup(held.groupBy("stream_id", "block")).applyInArrow(_block_task(result), schema)
-
-    todo = starts
+    placed = timeline.prefix_sums(own, ["stream_id"], "decode_seq", {"place": F.lit(1), "j": F.col("pts").isNotNull().cast("bigint")})
+    run = F.floor(F.col("place") / F.lit(float(size))).cast("bigint")
+    placed = _stored(placed.select("stream_id", run.alias("run"), "place", "decode_seq", "ptype", "j", "pts", F.coalesce(F.col("dts") != F.col("pts"), F.lit(False)).alias("late")), "pictures")
+
+    # If every picture takes a packet when there is one: taken up to a place = place + min(1, least of packets so far - place).
+    earlier = Window.partitionBy("stream_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    sofar = F.col("j") + F.col("pts").isNotNull().cast("bigint") - F.col("place")
+    runs = placed.groupBy("stream_id", "run").agg(F.min(sofar).alias("least"), F.min("j").alias("come"))
+    first = F.coalesce(F.col("run") * size - 1 + F.least(F.min("least").over(earlier), F.lit(1)), F.lit(0)).cast("bigint")
+    starts = _stored(runs.select("stream_id", "run", "come", first.alias("first"), F.lit(False).alias("ever"), F.lit(True).alias("moved")), "starts")
+
+    def same(a: DataFrame, b: DataFrame, column: str = "run") -> Column:
+        return a["stream_id"].eqNullSafe(b["__stream"]) & (a[column] == b[f"__{column}"])
+
+    def keyed(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.select(F.col("stream_id").alias("__stream"), F.col("run").alias("__run"), *columns)
+
+    def walked(todo: DataFrame, rows: DataFrame) -> DataFrame:
+        """Times of the rows, which are the pictures of the runs to do."""
+        def row(kind: int, *columns: str, **values: Column) -> list[Column]:
+            values |= {c: F.col(c) for c in columns} | {"kind": F.lit(kind)}
+            return [values.get(n, F.lit(None)).cast(t).alias(n) for n, t in (x.split() for x in _WALK.split(", "))]
+
+        parts = [todo.select(*row(_BEGIN, "stream_id", "run", j=F.col("first"))), rows.select(*row(_PICTURE, *placed.columns))]
+        behind = todo.where("first < come")
+        if not behind.isEmpty():
+            near = behind.select(F.col("stream_id").alias("__stream"), F.col("run").alias("__run"), "first", "come", F.explode(F.array(*[F.floor(F.col("first") / F.lit(float(size))).cast("bigint") + n for n in (0, 1)])).alias("__part"))
+            items = placed.where("pts is not null").select("stream_id", "j", "pts", "late", F.floor(F.col("j") / F.lit(float(size))).cast("bigint").alias("part"))
+            held = items.join(near, same(items, near, "part") & (items["j"] >= near["first"]) & (items["j"] < near["come"]))
+            parts.append(held.select(*row(_HELD, "stream_id", "j", "pts", "late", run=F.col("__run"), place=F.col("j"))))
+        whole = reduce(DataFrame.unionByName, parts).repartition("stream_id", "run").sortWithinPartitions("stream_id", "run", "kind", "place")
+        return whole.mapInArrow(_walk_task, _TIMES)
+
+    def of(todo: DataFrame) -> DataFrame:
+        named = keyed(todo)
+        return placed.join(named, same(placed, named), "left_semi")
+
+    names = [x.split()[0] for x in _TIMES.split(", ") if not x.startswith("run")]
+    times = _stored(walked(starts, placed), "times")
+    found, taken = times, F.lit(None).cast("bigint")
     while True:
-        found = met(todo, "taken", "stream_id string, block bigint, taken bigint").select(F.col("stream_id").alias("__stream"), F.col("block").alias("__block"), F.col("taken").alias("__taken"))
-        known = starts.join(found, starts["stream_id"].eqNullSafe(found["__stream"]) & (starts["block"] == found["__block"]), "left")
-        known = known.select("stream_id", "block", "first", F.coalesce("__taken", "taken").alias("taken"))
+        # A time is taken with its packet.
+        counts = keyed(found.groupBy("stream_id", "run").agg(F.count("time").alias("__taken")), "__taken")
+        known = starts.join(counts, same(starts, counts), "left").select("stream_id", "run", "come", "first", "ever", F.coalesce("__taken", taken).alias("taken"))
         sums = known.withColumn("due", F.coalesce(F.sum("taken").over(earlier), F.lit(0)).cast("bigint"))
-        starts = _stored(sums.select("stream_id", "block", F.col("due").alias("first"), "taken", (F.col("due") != F.col("first")).alias("moved")), "starts")
-        todo = starts.where("moved")
+        moved = F.col("due") != F.col("first")
+        starts = _stored(sums.select("stream_id", "run", "come", F.col("due").alias("first"), (F.col("ever") | moved).alias("ever"), moved.alias("moved"), "taken"), "starts")
+        todo, taken = starts.where("moved"), F.col("taken")
         if todo.isEmpty():
-            return met(starts, "times", "stream_id string, decode_seq bigint, ptype string, time bigint")
+            break
+        found = walked(todo, of(todo))
+    again = starts.where("ever")
+    if again.isEmpty():
+        return times.select(*names)
+    named = keyed(again)
+    return times.join(named, same(times, named), "left_anti").select(*names).unionByName(walked(again, of(again)).select(*names))
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:

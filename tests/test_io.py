@@ -262,3 +262,30 @@ def test_picture_times_in_blocks(spark, width):
     df = spark.createDataFrame(data, "stream_id string, decode_seq long, ptype string, pts long, dts long").withColumn("block", F.lit("x")).repartition(3)
     assert rows(pictures.with_times(df, width)) == rows(spark.createDataFrame(want, "stream_id string, decode_seq long, ptype string, time long"))
     assert pictures.with_times(df.limit(0), width).count() == 0
+
+
+@pytest.mark.parametrize("group", [1, 3])
+def test_picture_times_in_runs_of_blocks(spark, group):
+    import random
+
+    draw, data, want = random.Random(group), [], []
+    for stream, (stamped, late, b) in {"mixed": (0.8, 0.5, 0.4), "backlog": (1.0, 1.0, 0.7), "starved": (0.3, 0.5, 0.4), None: (0.7, 0.6, 0.6), "early": (1.0, 0.9, 0.9)}.items():
+        kinds = ["B" if draw.random() < b else "P" for _ in range(60)]
+        stamps = [(i * 10, i * 10 - (draw.random() < late)) if draw.random() < stamped else None for i in range(60)]
+        data += [(stream, i * 3 - 30, k, *(s or (None, None))) for i, (k, s) in enumerate(zip(kinds, stamps, strict=True))]
+        want += [(stream, i * 3 - 30, k, t) for i, (k, t) in enumerate(zip(kinds, pictures.take_times(kinds, stamps), strict=True))]
+    df = spark.createDataFrame(data, "stream_id string, decode_seq long, ptype string, pts long, dts long").repartition(3)
+    assert rows(pictures.with_times(df, 4, group)) == rows(spark.createDataFrame(want, "stream_id string, decode_seq long, ptype string, time long"))
+
+
+def test_short_streams_have_one_round(spark, monkeypatch):
+    kept = pictures._stored
+    names = []
+    monkeypatch.setattr(pictures, "_stored", lambda df, name: names.append(name) or kept(df, name))
+    data = [(f"s{k}", i, "BP"[i % 2], i * 10, i * 10 - (i % 3 == 0)) for k in range(5) for i in range(200)]
+    df = spark.createDataFrame(data, "stream_id string, decode_seq long, ptype string, pts long, dts long")
+    stamps = [(i * 10, i * 10 - (i % 3 == 0)) for i in range(200)]
+    want = pictures.take_times(["BP"[i % 2] for i in range(200)], stamps)
+    got = pictures.with_times(df, width=64).select("stream_id", "decode_seq", "time").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[:2]) == [(f"s{k}", i, want[i]) for k in range(5) for i in range(200)]
+    assert names.count("starts") == 2
