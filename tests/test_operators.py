@@ -201,3 +201,25 @@ def test_graphs_agree_on_kinds():
         graph.ordered({"x": Part("negative", ("x",))}, {"x"})
     with pytest.raises(ValueError, match="1 inputs, mixer takes 2"):
         graph.agreed({"x": Part("mixer", ("a",))}, {"a": (PCM16,)})
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 7, 100])
+def test_joined_runs_over_batches(spark, most):
+    data = [(None if k == 2 else k, i, None if i % 5 == 4 else bytes([k, i])) for k in range(6) for i in range(1 + 3 * k % 7)]
+    df = spark.createDataFrame(data[::-1], "k int, i int, v binary")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    try:
+        found = framing.joined_runs(df, ["k"], ["i"], F.col("v")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {k: b"".join(v for key, _, v in data if key == k and v) for k, _, _ in data}
+    assert len(found) == len(want) and {r["k"]: bytes(r["joined"]) for r in found} == want
+
+
+def test_files_are_not_shuffled_as_bytes(spark):
+    from sparkreel.plans import files
+    from sparkreel.plans.views import Tables
+
+    plan = files.ac3_contents(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Exchange" in plan
