@@ -8,6 +8,6 @@ from pyspark.sql import functions as F
 
 def first_sync(data: Column, marker: str) -> Column:
     """Byte position of the first marker, given in hex and found on byte boundaries; null if there is none."""
-    place = F.length(F.regexp_extract(F.hex(data), f"^((?:[0-9A-F]{{2}})*?){marker}", 1))
-    has = F.hex(data).rlike(f"^(?:[0-9A-F]{{2}})*?{marker}")
-    return F.when(has, F.call_function("div", place, F.lit(2)))
+    # One character for each byte, so a place in the string is one in the data.
+    place = F.instr(F.decode(data, "ISO-8859-1"), bytes.fromhex(marker).decode("latin1"))
+    return F.when(place > 0, (place - 1).cast("bigint"))

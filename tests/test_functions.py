@@ -124,3 +124,24 @@ def test_spoken_time(spark):
 def test_division_by_zero_is_null(spark):
     df = spark.createDataFrame([(10, 0)], "a long, b long")
     assert df.select(clock.of_bytes(F.col("a"), F.col("b")), clock.of_frame(F.col("b"), F.col("a"))).first() == (None, None)
+
+
+def test_sets_and_headers_are_compiled_and_whole(spark):
+    from sparkreel.functions import headers
+
+    unit = lambda *n: b"".join((len(x)).to_bytes(2, "big") + x for x in n)
+    head = b"\x17\0\0\0\0\1\x42\0\x1e\xff"
+    tags = {
+        "one": head + b"\xe1" + unit(b"gA") + b"\1" + unit(b"hB"), "three": head + b"\xe3" + unit(b"gA", b"gBB", b"gC") + b"\2" + unit(b"hD", b"hE"),
+        "none": head + b"\xe0\1" + unit(b"hB"), "cut": head + b"\xe1\0\x09gA", "short": head, "other": b"\x27\1" + head, "empty": b"", "null": None,
+    }
+    df = spark.createDataFrame([(k, v) for k, v in tags.items()], "k string, d binary")
+    got = {r["k"]: r["x"] and [r["x"][c] and bytes(r["x"][c]) for c in ("sps", "pps", "record")] for r in df.select("k", headers.avc_config(F.col("d")).alias("x")).collect()}
+    assert got == {
+        "one": [b"gA", b"hB", b"\0\0\1gA\0\0\1hB"], "three": [b"gA", b"hD", b"\0\0\1gA\0\0\1hD"], "none": [None, b"hB", None], "cut": [None] * 3, "short": [None] * 3, "other": None, "empty": None, "null": None,
+    }
+    for column in (headers.found_sequence_header(F.col("d")), headers.mpa_header(F.col("d"))):
+        plan = df.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambda" not in plan and "RLIKE" not in plan and "regexp" not in plan
+    found = spark.createDataFrame([(b"\x30\0\0\1\xb3\x16\x01\x20\x13\0\0\x20\0",), (b"\0\0\x01\x00\xb3",), (b"",), (None,), (b"\xff\0\0\1\xb3",)], "d binary")
+    assert [r[0] and (r[0]["at"], r[0]["header"]["width"]) for r in found.select(headers.found_sequence_header(F.col("d"))).collect()] == [(1, 0x160), None, None, None, (1, None)]
