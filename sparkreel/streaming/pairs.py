@@ -12,35 +12,43 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 #: Samples of one side that may wait in a key, and keys that positions are dealt to.
 WAITING = 100_000
 KEYS = 64
+#: Places of a key whose samples wait in one entry of the state.
+PAGE = 512
 
 
 class Zip(StatefulProcessor):
-    """Samples that wait for the other side's sample at their place. A side that runs too far ahead is an error, as no sample may go."""
+    """Samples that wait for the other side's sample at their place, by pages of places: a page is read and written once a batch. A side that runs too far ahead is an error, as no sample may go."""
 
-    def __init__(self, most: int):
-        self.most = most
+    def __init__(self, most: int, page: int):
+        self.most, self.page = most, page
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getMapState("waiting", "seq bigint, first boolean", "pts_hns bigint, payload bigint")
+        self.waiting = handle.getMapState("waiting", "page bigint", "seqs array<bigint>, firsts array<boolean>, times array<bigint>, payloads array<bigint>")
         self.count = handle.getValueState("count", "n bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, out = self.count.get()[0] if self.count.exists() else 0, []
+        come: dict[int, list[tuple[int, bool, int | None, int | None]]] = {}
         for frame in rows:
-            payloads = [None if p is None or pd.isna(p) else int(p) for p in frame["payload"]]
-            times = [None if t is None or pd.isna(t) else int(t) for t in frame["pts_hns"]]
-            for seq, first, pts, payload in zip(frame["seq"].astype(int), frame["first"].astype(bool), times, payloads, strict=True):
-                seq, first = int(seq), bool(first)
-                other = (seq, not first)
-                if self.waiting.containsKey(other):
-                    met = tuple(self.waiting.getValue(other))
-                    self.waiting.removeKey(other)
-                    n -= 1
-                    a, b = ((pts, payload), met) if first else (met, (pts, payload))
-                    out.append((seq, a[0], a[1], b[1]))
+            times, payloads = ([None if v is None or pd.isna(v) else int(v) for v in frame[c]] for c in ("pts_hns", "payload"))
+            for seq, first, pts, payload in zip(frame["seq"].astype("int64").tolist(), frame["first"].astype(bool).tolist(), times, payloads, strict=True):
+                come.setdefault(seq // self.page, []).append((seq, first, pts, payload))
+        for page, samples in come.items():
+            known = self.waiting.containsKey((page,))
+            held = {(seq, first): value for seq, first, *value in zip(*self.waiting.getValue((page,)), strict=True)} if known else {}
+            n -= len(held)
+            for seq, first, *value in samples:
+                met = held.pop((seq, not first), None)
+                if met is None:
+                    held[seq, first] = value
                 else:
-                    self.waiting.updateValue((seq, first), (pts, payload))
-                    n += 1
+                    a, b = (value, met) if first else (met, value)
+                    out.append((seq, a[0], a[1], b[1]))
+            n += len(held)
+            if held:
+                self.waiting.updateValue((page,), tuple(map(list, zip(*((*k, *v) for k, v in held.items()), strict=True))))
+            elif known:
+                self.waiting.removeKey((page,))
         if n > self.most:
             raise ValueError(f"{n} samples wait for the other stream")
         self.count.update((n,))
@@ -58,10 +66,10 @@ def zipped(samples: DataFrame, keys: int = KEYS, most: int = WAITING) -> DataFra
     Any order of arrival gives what operators.multi.zip_streams gives of the two
     tables; what one stream has beyond the other's end waits and is never given.
     A place must be there once in each stream. Places are dealt to `keys` keys, so
-    the state is spread over tasks.
+    the state is spread over tasks; PAGE places of a key have one entry of its state.
     """
     dealt = samples.select(F.pmod(F.col("seq"), F.lit(keys)).alias("deal"), "seq", "first", "pts_hns", F.col("payload").cast("bigint").alias("payload"))
-    return dealt.groupBy("deal").transformWithStateInPandas(Zip(most), "seq bigint, pts_hns bigint, a bigint, b bigint", "Append", "None")
+    return dealt.groupBy("deal").transformWithStateInPandas(Zip(most, keys * PAGE), "seq bigint, pts_hns bigint, a bigint, b bigint", "Append", "None")
 
 
 class Epochs(StatefulProcessor):

@@ -289,3 +289,49 @@ def test_short_streams_have_one_round(spark, monkeypatch):
     got = pictures.with_times(df, width=64).select("stream_id", "decode_seq", "time").collect()
     assert sorted(map(tuple, got), key=lambda r: r[:2]) == [(f"s{k}", i, want[i]) for k in range(5) for i in range(200)]
     assert names.count("starts") == 2
+
+
+def test_a_page_of_samples_is_read_and_written_once():
+    import pandas as pd
+
+    from sparkreel.streaming import pairs
+
+    class Map(dict):
+        calls = 0
+
+        def containsKey(self, key):
+            self.calls += 1
+            return key in self
+
+        def getValue(self, key):
+            self.calls += 1
+            return self[key]
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+        def removeKey(self, key):
+            self.calls += 1
+            del self[key]
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    zipping = pairs.Zip(1000, 100)
+    zipping.waiting, zipping.count = Map(), Value()
+    frame = lambda first, a, b: pd.DataFrame([(i, first, i * 10 + first, None if i == 7 else i) for i in range(a, b)], columns=["seq", "first", "pts_hns", "payload"])
+    found = [list(zipping.handleInputRows((0,), iter(frames), None)) for frames in ([frame(True, 0, 150)], [frame(False, 120, 300), frame(False, 0, 50)])]
+    assert found[0] == [] and zipping.count.get() == (70 + 150,)
+    got = [tuple(None if pd.isna(v) else int(v) for v in r) for f in found[1] for r in f.itertuples(index=False)]
+    assert sorted(got) == [(i, i * 10 + 1, None if i == 7 else i, None if i == 7 else i) for i in [*range(50), *range(120, 150)]]
+    assert zipping.waiting.calls < 20
