@@ -223,3 +223,16 @@ def test_files_are_not_shuffled_as_bytes(spark):
 
     plan = files.ac3_contents(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "Exchange" in plan
+
+
+def test_pictures_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    from sparkreel.plans import views
+
+    monkeypatch.setattr(views, "DEAL", 500)
+    tables = views.Tables(spark, "/root/testdata/sf0.001")
+    n = tables.read("lineitem").count()
+    shown = timeline.display_order(tables.pictures(), ["gop"], "decode_seq", "ptype", "temporal_ref")
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    # One shuffle, into as many parts as the rows need, serves every window.
+    assert plan.count("Exchange") == 1 and f"{-(-n // 500)})" in plan.split("Exchange", 1)[1].split("\n")[0]
+    assert shown.count() == n
