@@ -56,6 +56,10 @@ def reorder_stream(t: Tables) -> DataFrame:
     return shown.select(F.col("stream_id").cast("bigint").alias("gop"), "decode_seq", "display_seq")
 
 
+#: Bytes of a file of parts.
+_PACK = 64 << 20
+
+
 @query(SQL["http_frames"])
 def http_stream(t: Tables) -> DataFrame:
     """Multipart parts as files of a stream's batches, read back by the batches' manifests."""
@@ -63,8 +67,6 @@ def http_stream(t: Tables) -> DataFrame:
     parts = t.read("documents").select(F.col("doc_id").cast("string").alias("name"), multipart.part(F.col("text").cast("binary")).alias("content"))
     batches.register(spark)
     stream = replay.replayed([parts.where("cast(name AS bigint) % 2 = 0"), parts.where("cast(name AS bigint) % 2 = 1")], ["name"])
-    query = stream.writeStream.format("filebatches").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start()
+    query = stream.writeStream.format("filebatches").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").option("pack", _PACK).trigger(availableNow=True).start()
     query.awaitTermination()
-    found = batches.listed(spark, f"{folder}/out").select(F.col("name").cast("bigint").alias("doc_id"), F.regexp_extract("path", "parts/.*", 0).alias("place"))
-    held = spark.read.format("binaryFile").load(f"{folder}/out/parts/*").select(F.regexp_extract("path", "parts/.*", 0).alias("place"), "content")
-    return found.join(held, "place").select("doc_id", F.col("content").cast("string").alias("part"))
+    return batches.contents(spark, f"{folder}/out").select(F.col("name").cast("bigint").alias("doc_id"), F.col("content").cast("string").alias("part"))

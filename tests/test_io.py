@@ -335,3 +335,17 @@ def test_a_page_of_samples_is_read_and_written_once():
     got = [tuple(None if pd.isna(v) else int(v) for v in r) for f in found[1] for r in f.itertuples(index=False)]
     assert sorted(got) == [(i, i * 10 + 1, None if i == 7 else i, None if i == 7 else i) for i in [*range(50), *range(120, 150)]]
     assert zipping.waiting.calls < 20
+
+
+def test_packed_batches_have_few_files_and_short_manifests(spark, tmp_path):
+    from sparkreel.sinks import batches
+
+    batches.register(spark)
+    data = [(f"f{i}" if i % 7 else None, bytes([i]) * (i % 5)) for i in range(100)] + [("large", b"x" * 5000), ("none", None)]
+    folder = str(tmp_path / "out")
+    spark.createDataFrame(data, "name string, content binary").repartition(2).write.format("filebatches").option("pack", 64).mode("append").save(folder)
+    want = sorted((n or "", c or b"") for n, c in data)
+    assert sorted((r["name"] or "", bytes(r["content"])) for r in batches.contents(spark, folder).collect()) == want
+    assert sum(len(f.read_text().splitlines()) for f in (tmp_path / "out/manifests").glob("run-*")) <= 3
+    sizes = [p.stat().st_size for p in (tmp_path / "out/parts").glob("*/*")]
+    assert len(sizes) < 12 and sorted(sizes)[-2] <= 64
