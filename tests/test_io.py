@@ -1,3 +1,6 @@
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +63,68 @@ def test_audio_frames(spark, tmp_path, name, frame):
     assert got == [(4, n, n, True, None), (4 + n, n, n, True, None), (4 + 2 * n, n, n, True, None), (6 + 3 * n, n, n, True, None), (6 + 4 * n, n, n, True, "cut frame")]
 
 
+def walked(data, kind):
+    """The frames of one content, found one by one."""
+    out, at = [], data.find(kind.sync)
+    while at >= 0:
+        size = kind.length(data[at : at + 8])
+        if size is None:
+            at = data.find(kind.sync, at + 1)
+            continue
+        cut = at + size > len(data)
+        out.append((at, size, data[at : at + 8], data[at : at + size], "cut frame" if cut else None))
+        at = -1 if cut else data.find(kind.sync, at + size)
+    return out
+
+
+@pytest.mark.parametrize("window", [1, 50, 1 << 20])
+@pytest.mark.parametrize(("kind", "frame"), [(containers.MPA, MPA), (containers.AC3, AC3)])
+def test_frames_of_many_contents_equal_a_walk_of_each(monkeypatch, kind, frame, window):
+    rng = random.Random(7)
+    pieces = [frame, frame[:9], frame[: len(frame) // 2], frame[:20] + frame, kind.sync, kind.sync * 3, b"junk", b"\xff\xfb\x92", b"\x0b"]
+    contents = [b"".join(rng.choices([*pieces, rng.randbytes(40)], k=rng.randrange(7))) for _ in range(300)] + [None, b"", frame[:3], frame * 50]
+    rng.shuffle(contents)
+    batch = pa.record_batch([pa.array(map(str, range(len(contents)))), pa.array(contents, pa.binary())], names=["path", "content"])
+    monkeypatch.setattr(containers, "_WINDOW", window)
+    columns = ("path", "seq", "at", "size", "head", "payload", "error")
+    for part in (batch, batch.slice(37, 101)):
+        want = [(name, seq, *rest) for name, content in zip(*part.to_pydict().values()) for seq, rest in enumerate(walked(content or b"", kind))]
+        for payload in (True, False):
+            found = [tuple(r[c] for c in columns) for b in containers._frame_task(kind, payload)(iter([part])) for r in b.to_pylist()]
+            assert len(want) > 90 and found == [(*w[:5], w[5] if payload else None, w[6]) for w in want]
+
+
+@pytest.mark.parametrize("begin", [b"", b"\xff\xfd"])
+def test_built_files_equal_their_contents(spark, begin):
+    data = [(None if k == 2 else k, i, None if i == 4 else MPA + b"z" * i) for k in range(6) for i in range(1 + 3 * k % 7)]
+    df = spark.createDataFrame(data[::-1], "k bigint, i int, v binary")
+    built = containers.Built(df, "k", ("i",), F.col("v"), begin, 3)
+    columns = ("path", "seq", "at", "size", "payload", "error")
+    found = rows(containers.mpa_rows(built), *columns)
+    assert len(found) == sum(v is not None for *_, v in data) and found == rows(containers.mpa_rows(built.contents()), *columns)
+
+
+@pytest.mark.parametrize("name", ["mpa_files", "ac3_files", "program_files"])
+def test_built_files_are_sent_to_python_once(spark, monkeypatch, name):
+    from sparkreel.plans import views
+    from sparkreel.plans.registry import QUERIES
+
+    monkeypatch.setattr(views, "DEAL", 500)
+    folder = "/root/testdata/sf0.001"
+    n = views.Tables(spark, folder).read("lineitem").count()
+    plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    # Files are joined and walked by one Python step, in tasks of a bounded number of rows.
+    assert plan.count("MapInArrow") == 1 and f", {-(-n // 500)})" in plan
+
+
+def test_long_fillings(spark):
+    from sparkreel.plans.files import _zeros
+
+    found = spark.createDataFrame([(None,), (-1,), (0,), (1,), (512,), (513,), (2000,)], "n bigint").select("n", _zeros(F.col("n")).alias("z")).collect()
+    assert [r["z"] and bytes(r["z"]) for r in found[:1]] == [None]
+    assert all(bytes(r["z"]) == bytes(max(r["n"], 0)) for r in found[1:])
+
+
 @pytest.mark.parametrize(("kind", "frame"), [("mpa", MPA), ("ac3", AC3)])
 def test_split_at_every_offset(kind, frame):
     data = b"q" + frame * 2
